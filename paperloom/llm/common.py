@@ -59,6 +59,11 @@ def texts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(F.col(key), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """df, marked to be broadcast in a join if it has no more rows than that; else Spark joins by shuffling."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered up to CACHE_WORDS entries."""
 

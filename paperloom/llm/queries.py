@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from . import bpe, decontam, tokenfiles, topk
+from . import bpe, decontam, htmlmain, neardup, quality, secrets, tokenfiles, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,26 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.main_text(_table(spark, sf_dir, "pages"))
+
+
 OP6_SQL = """
 with shingles as (
   select kind, id, case when len(w) < 5 then [array_to_string(w, ' ')]
@@ -66,7 +86,12 @@ from s qualify rank <= 10
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op10_token_files": op10_token_files,
+    "op2_near_duplicates": op2_near_duplicates,
+    "op3_secrets": op3_secrets,
+    "op4_quality": op4_quality,
+    "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
+    "op7_html_main_text": op7_html_main_text,
     "op9_topk": op9_topk,
 }
 ORACLES: dict[str, str] = {"op6_decontamination": OP6_SQL, "op9_topk": OP9_SQL}

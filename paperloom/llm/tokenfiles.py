@@ -14,7 +14,6 @@ then rules as u32 pairs, their expansion lengths as u32, symbols per document as
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,11 +32,9 @@ BLOCK_IDS = 1_000_000
 #: A pair is worth a rule from this count on.
 PAIR_COUNT = 6
 #: Replacement rounds for a block, and new rules in a round; symbols stay below 2^16 while that suffices for the vocabulary.
-ROUNDS, ROUND_RULES = 8, 4096
+ROUNDS, ROUND_RULES = 6, 4096
 CACHE_CHUNKS = 1_000_000
 
-#: A stop or comma between a letter and white space: the tokenizer splits there in any case.
-_STOP = re.compile(rb"(?<=[A-Za-z])([.,])(?=[ \n]|\Z)")
 _HEAD = struct.Struct("<4s5I")
 
 
@@ -78,14 +75,11 @@ class Grammar:
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         """The ids of symbols."""
         pool, starts = self._expanded()
-        sizes = self.sizes(symbols)
-        first = np.zeros(len(symbols), np.int64)
-        above = symbols >= self.lowest
-        first[above] = starts[symbols[above].astype(np.int64) - self.lowest] + self.lowest
-        first[~above] = symbols[~above]
-        ends = np.cumsum(sizes)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - sizes), sizes)
-        return np.concatenate((np.arange(self.lowest, dtype=np.uint32), pool))[at]
+        whole = np.concatenate((np.arange(self.lowest, dtype=np.uint32), pool))
+        first = np.concatenate((np.arange(self.lowest), starts[:-1] + self.lowest)).astype(np.int32)
+        size = np.concatenate((np.ones(self.lowest, np.int32), self.lengths.astype(np.int32)))[symbols]
+        ends = np.cumsum(size, dtype=np.int32)
+        return whole[np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(first[symbols] - (ends - size), size)]
 
 
 def _slot(code: np.ndarray) -> np.ndarray:
@@ -187,7 +181,8 @@ class ChunkCodes:
     """Ids by the tokenizers library, remembered for each run between ASCII white space.
 
     For a tokenizer that drops white space, parts letters from signs, and whose normaliser and splits never
-    look across white space, the ids of a text are those of its runs one after another.
+    look across white space, the ids of a text are those of its runs one after another, and those of a run of
+    letters before one stop or comma are the word's and the sign's.
     """
 
     def __init__(self, definition: str):
@@ -199,37 +194,55 @@ class ChunkCodes:
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
         self.lowers = '"Lowercase"' in definition
-        #: An added token, which the tokenizer always splits off: many runs are encoded at once with it between.
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        #: An added token, which the tokenizer always splits off, to stand between runs encoded together.
         self.mark_id, self.mark = min((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if "<" in t.content)
-
-    def _runs(self, raw: bytes) -> list[bytes]:
-        """Runs whose ids are those of the text; fewer different ones by lower case and full stops split off words."""
-        if b"<|" not in raw:
-            raw = _STOP.sub(rb" \1", raw.translate(_LOWER) if self.lowers else raw)
-        return raw.split()
+        #: Whether an id ends a word.
+        self.ends = np.zeros(max([*self.tokenizer.get_vocab().values()]) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
+    def _learn(self, words: list[bytes]) -> None:
+        """Remember the ids of each word; words of letters alone are encoded many at a time."""
+        texts = [w.decode("utf-8") for w in words]
+        plain = [n for n, t in enumerate(texts) if t.isalpha()]
+        for at in range(0, len(plain), 1000):
+            some = plain[at : at + 1000]
+            coded = self._ids(" ".join([texts[n] for n in some]))
+            bounds = (4 * np.flatnonzero(self.ends[coded]) + 4).tolist()
+            if len(bounds) == len(some) and bounds[-1] == 4 * len(coded):
+                raw = coded.tobytes()
+                self.known.update(zip([words[n] for n in some], [raw[a:b] for a, b in zip([0, *bounds], bounds, strict=False)], strict=True))
+        rest = [(w, t) for w, t in zip(words, texts, strict=True) if w not in self.known]
+        for at in range(0, len(rest), 1000):
+            some = [x for x in rest[at : at + 1000] if "<" not in x[1]]
+            coded = self._ids(self.mark.join([t for _, t in some]))
+            cuts, raw = (4 * np.flatnonzero(coded == self.mark_id)).tolist(), coded.tobytes()
+            self.known.update([(w, raw[a:b]) for (w, _), a, b in zip(some, [0, *[c + 4 for c in cuts]], [*cuts, len(raw)], strict=False)])
+        for w, t in rest:
+            if "<" in t:
+                self.known[w] = self._ids(t).tobytes()
+
+    def _fill(self, runs: set[bytes]) -> None:
+        known, ends = self.known, (b".", b",")
+        stopped = [r for r in runs if r.endswith(ends) and r[:-1].isalpha()]
+        self._learn([w for w in (runs.difference(stopped) | {r[:-1] for r in stopped} | set(ends)) if w not in known])
+        known.update([(r, known[r[:-1]] + known[r[-1:]]) for r in stopped])
+
     def encode_all(self, some: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [self._runs(text.encode("utf-8")) for text in some]
+        raws = [text.encode("utf-8") for text in some]
+        split = [(raw.translate(_LOWER) if self.lowers and b"<|" not in raw else raw).split() for raw in raws]
         if len(self.known) >= CACHE_CHUNKS:
             self.known.clear()
-        missing = list(set().union(*split) - self.known.keys())
-        plain = [c for c in missing if b"<" not in c]
-        for at in range(0, len(plain), 1000):
-            some = plain[at : at + 1000]
-            coded = self._ids(self.mark.join([c.decode("utf-8") for c in some]))
-            cuts = np.flatnonzero(coded == self.mark_id)
-            raw = coded.tobytes()
-            bounds = [-4, *(4 * cuts).tolist(), len(raw)]
-            self.known.update(zip(some, [raw[a + 4 : b] for a, b in zip(bounds, bounds[1:], strict=False)], strict=True))
-        for c in missing:
-            if b"<" in c:
-                self.known[c] = self._ids(c.decode("utf-8")).tobytes()
-        for chunks in split:
-            yield b"".join(map(self.known.__getitem__, chunks))
+        get = self.known.get
+        found = [list(map(get, runs)) for runs in split]
+        self._fill({r for runs, ids in zip(split, found, strict=True) if None in ids for r, i in zip(runs, ids, strict=True) if i is None})
+        known = self.known
+        for runs, ids in zip(split, found, strict=True):
+            yield b"".join([known[r] if i is None else i for r, i in zip(runs, ids, strict=True)])
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1) -> None:
