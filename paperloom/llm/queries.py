@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from . import bpe, decontam, htmlmain, neardup, quality, secrets, tokenfiles, topk, toxicity
+from . import bpe, decontam, htmlmain, linededup, neardup, quality, secrets, tokenfiles, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,32 @@ where i.kind = 'item' group by all having count(*) * 100 >= 80 * any_value(n_ite
 """
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(_table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = """
+with docs as (select doc_id, text, string_split(text, chr(10)) as ls from documents),
+each as (select doc_id, unnest(ls) as line, unnest(range(len(ls))) as pos from docs),
+lines as (select doc_id, pos, line, string_split(line, ' ') as w from each where len(string_split(line, ' ')) >= 3),
+class as (select line, any_value(w) as w, min({'d': doc_id, 'p': pos}) as own from lines group by line),
+near as (select own, w, len(w) as n from class where len(w) >= 8),
+cut as (select own, w, n, unnest([{'k': n // 2, 'f': true}, {'k': (n - 1) // 2, 'f': true}, {'k': n // 2, 'f': false}, {'k': (n - 1) // 2, 'f': false}]) as c from near),
+half as (select own, w, n, c, case when c.f then w[1:c.k] else w[n - c.k + 1:n] end as h from cut),
+met as (select distinct a.own as own, a.w as x, b.w as y from half a join half b on a.c = b.c and a.h = b.h and abs(a.n - b.n) <= 1 and b.own < a.own),
+compared as (select own, x, y,
+  coalesce(list_position([p[1] is distinct from p[2] for p in list_zip(x, y)], true) - 1, least(len(x), len(y))) as pre,
+  coalesce(list_position([p[1] is distinct from p[2] for p in list_zip(list_reverse(x), list_reverse(y))], true) - 1, least(len(x), len(y))) as post from met),
+alike as (select distinct own from compared where greatest(len(x), len(y)) - least(pre + post, len(x), len(y)) <= 1),
+gone as (select l.doc_id, l.pos from lines l join class c using (line) where c.own <> {'d': l.doc_id, 'p': l.pos}
+  union select own.d, own.p from alike),
+gone_of as (select doc_id, list(pos) as g from gone group by doc_id)
+select doc_id, cast(len(ls) as bigint) as n_lines, cast(coalesce(len(g), 0) as bigint) as n_dropped,
+  case when g is null then text else coalesce(array_to_string([ls[i + 1] for i in range(len(ls)) if not list_contains(g, i)], chr(10)), '') end as text
+from docs left join gone_of using (doc_id)
+"""
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings")).withColumn("rank", F.col("rank").cast("int"))
 
@@ -92,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
     "op7_html_main_text": op7_html_main_text,
+    "op8_line_dedup": op8_line_dedup,
     "op9_topk": op9_topk,
 }
-ORACLES: dict[str, str] = {"op6_decontamination": OP6_SQL, "op9_topk": OP9_SQL}
+ORACLES: dict[str, str] = {"op6_decontamination": OP6_SQL, "op8_line_dedup": OP8_SQL, "op9_topk": OP9_SQL}
