@@ -244,6 +244,17 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text string")
 
 
+def encode_checked(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """doc_id, n_tokens, ids and exact: whether decoding the ids gives the text back."""
+    schema = pa.schema([("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("exact", pa.bool_())])
+
+    def row(codec: Codec, text: str):
+        ids = codec.encode(text)[1]
+        return len(ids), ids.astype(np.int32), codec.decode(ids) == text
+
+    return _coded(docs, vocabulary, schema, "n_tokens bigint, ids array<int>, exact boolean", row)
+
+
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Per document what its encoding and the decoding of that are: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
