@@ -9,7 +9,8 @@ Jaccard similarity of t or more, any n - ceil(t*n) + 1 values of the one hold a
    be similar to any other, and is done. Most are.
 3. Of the classes left, the full sets are ordered by how many of these classes hold a value, then by hash,
    and the first k values kept; inverted lists of these give the overlaps. First, each member of a list is
-   compared with the list's smallest doc_id alone, which joins most of a large group without its pairs.
+   compared with its most central one alone (fewest values of its own), which joins most of a large group
+   without its pairs. A pair is dropped if what follows the shared value is too little in either set.
    Then pairs of a list whose members are still in different components are compared, so that no link
    between components is missed.
 4. Pairs pass if the similarity estimated from the sketch of their union is not far below t, and are
@@ -100,17 +101,22 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _lists(full: DataFrame, percent: int) -> DataFrame:
-    """v, doc_id and n: the inverted lists of the first k values of each set, rare values before common ones."""
+    """v, doc_id, n, alone and left: the inverted lists of the first k values of each set, rare ones before common ones.
+
+    alone is how many values of the set no other set holds, left how many values from v on the set has."""
     lists = full.select("doc_id", "n", F.explode("s").alias("v"))
     often = lists.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = lists.join(often, "v").groupBy("doc_id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("at"))
     alone = F.col("n") - F.size("at")  # values that no other set holds come first and pair with nothing
     first = F.slice("at", F.lit(1), F.greatest(_k(F.col("n"), percent) - alone, F.lit(0)).cast("int"))
-    return shared.select("doc_id", "n", F.explode(F.transform(first, lambda x: x["v"])).alias("v"))
+    shared = shared.select("doc_id", "n", alone.cast("bigint").alias("alone"), F.posexplode(F.transform(first, lambda x: x["v"])).alias("i", "v"))
+    return shared.select("v", "doc_id", "n", "alone", (F.col("n") - F.col("alone") - F.col("i")).alias("left"))
 
 
-def _similar_size(a: str, b: str, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _may_link(percent: int) -> Column:
+    """Whether sets of na and nb values can be similar if the first value they share has la and lb from it on."""
+    most = F.least("la", "lb")
+    return most * 100 >= (F.col("na") + F.col("nb") - most) * percent
 
 
 def _links(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -164,17 +170,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     left = keep(_candidates(classes, percent), "candidates")
     full = keep(_full(source.join(sized(left, JOIN_ROWS), "doc_id", "left_semi")), "sets")
     lists = keep(_lists(full, percent), "lists")
-    hubs = lists.groupBy("v").agg(F.min(F.struct("doc_id", "n")).alias("h"), F.count(F.lit(1)).alias("df")).where("df > 1")
-    first = lists.join(hubs, "v").select(F.col("doc_id").alias("a"), F.col("h.doc_id").alias("b"), F.col("n").alias("na"), F.col("h.n").alias("nb"))
-    first = keep(first.where((F.col("a") != F.col("b")) & _similar_size("na", "nb", percent)).select("a", "b").distinct(), "pairs")
+    hubs = lists.groupBy("v").agg(F.min(F.struct("alone", "doc_id", "n", "left")).alias("h"), F.count(F.lit(1)).alias("df")).where("df > 1")
+    first = lists.join(hubs, "v").select(
+        F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"),
+        F.col("h.doc_id").alias("b"), F.col("h.n").alias("nb"), F.col("h.left").alias("lb"),
+    )
+    first = keep(first.where((F.col("a") != F.col("b")) & _may_link(percent)).select("a", "b").distinct(), "pairs")
     links = keep(_links(first, full, percent), "links")
     near = components(links)
-    placed = lists.join(near, "doc_id", "left").withColumn("c", F.coalesce("component_id", "doc_id")).select("v", "doc_id", "n", "c")
+    placed = lists.join(near, "doc_id", "left").withColumn("c", F.coalesce("component_id", "doc_id")).select("v", "doc_id", "n", "left", "c")
     mixed = placed.groupBy("v").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("v")
     placed = placed.join(mixed, "v", "left_semi")
-    a = placed.select("v", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    b = placed.select("v", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    rest = a.join(b, "v").where((F.col("ca") > F.col("cb")) & _similar_size("na", "nb", percent)).select("a", "b").distinct()
+    sides = [placed.select("v", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("left").alias(f"l{x}"), F.col("c").alias(f"c{x}")) for x in "ab"]
+    rest = sides[0].join(sides[1], "v").where((F.col("ca") > F.col("cb")) & _may_link(percent)).select("a", "b").distinct()
     more = _links(rest, full, percent)
     reached = components(links.union(more))
     ids = linked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
