@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries kept in a worker's word cache before it starts anew; bounds memory, not results.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -108,5 +108,12 @@ def shingle_set(words: list[bytes], cache: WordHashes, width: int) -> np.ndarray
     return distinct(sequence_hashes(hashed, width))
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of so many rows, to bound what a task makes of a batch at once."""
+    for part in batches:
+        for at in range(0, part.num_rows, rows):
+            yield part.slice(at, rows)
+
+
 def batch(columns: dict[str, Iterable], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)

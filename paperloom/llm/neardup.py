@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, ascii_lower_words, batch, keep, shingle_set, sized, texts
+from .common import WordHashes, ascii_lower_words, batch, keep, shingle_set, sized, sliced, texts
 
 WIDTH = 5
 PERCENT = 85
@@ -63,13 +63,13 @@ def _sketched(docs: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         cache = WordHashes()
-        for part in batches:
+        for part in sliced(batches):
             rows = []
             for text in part.column(1):
                 s = _set(text.as_py(), cache)
                 below = int(np.searchsorted(s, low)) if len(s) else 0
                 fp = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
-                rows.append((len(s), fp, below, s[: max(below, _first(len(s), percent))] if len(s) else s))
+                rows.append((len(s), fp, below, s[: max(below, _first(len(s), percent))].copy() if len(s) else s))
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([part.column(0), *batch(dict(zip(schema.names, cols, strict=True)), schema).columns], names=["doc_id", *schema.names])
 
@@ -82,7 +82,7 @@ def _full(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         cache = WordHashes()
-        for part in batches:
+        for part in sliced(batches):
             sets = [_set(text.as_py(), cache) for text in part.column(1)]
             made = batch({"n": [len(s) for s in sets], "s": sets}, schema)
             yield pa.RecordBatch.from_arrays([part.column(0), *made.columns], names=["doc_id", "n", "s"])
