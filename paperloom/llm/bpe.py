@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from .common import batch, texts
 
 #: Entries of a worker's caches of encoded chunks and of compatible pairs; bounds memory, not results.
-CACHE = 400_000
+CACHE = 500_000
 #: Chunks longer than this are encoded each time they occur.
 CACHED_CHARS = 64
 
@@ -33,7 +33,8 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Fixed value: the characters with the Unicode property White_Space.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Runs that SPLIT never joins to each other: an optional blank and what is not white space, or white space.
-_CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: Plain words are told apart from a stop or comma after them, where SPLIT parts them in any case.
+_CHUNK = re.compile(f" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[.,]?(?:[ \\n]|\\Z))| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 _PIECE = regex.compile(SPLIT.replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]").replace(f"[^[{SPACE}]", f"[^{SPACE}"))
 
 
@@ -72,10 +73,11 @@ class Codec:
         self.by_bytes = {self.tokens[i]: i for i in usable}
         self.automaton = ahocorasick.Automaton()
         for raw, i in self.by_bytes.items():
-            self.automaton.add_word(raw.decode("latin-1"), i)
+            self.automaton.add_word(raw.decode("latin-1"), (i, len(raw)))
         self.automaton.make_automaton()
         self.shorter = self._prefixes()
         self.fits: dict[tuple[int, int], bool] = {}
+        self.lengths = [len(t) for t in self.tokens]
         self.added = extra
         self.added_pattern = re.compile("(" + "|".join(map(re.escape, sorted(extra, key=len, reverse=True))) + ")") if extra else None
         for text, i in extra.items():
@@ -83,7 +85,11 @@ class Codec:
         self.sizes = np.array([len(t) for t in self.tokens], np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
         self.pool = np.frombuffer(b"".join(self.tokens), np.uint8)
-        self.cache: dict[str, tuple[str, bytes]] = {}
+        said = [f"{i},".encode() for i in range(size)]
+        self.said_sizes = np.array([len(t) for t in said], np.int64)
+        self.said_starts = np.concatenate(([0], np.cumsum(self.said_sizes)[:-1]))
+        self.said_pool = np.frombuffer(b"".join(said), np.uint8)
+        self.cache: dict[str, bytes] = {}
 
     def _prefixes(self) -> list[int]:
         """Of each token, the longest other token that it starts with, or -1."""
@@ -130,59 +136,68 @@ class Codec:
         whole = self.by_bytes.get(raw)
         if whole is not None:
             return [whole]
-        size = len(raw)
+        size, lengths, shorter, fits = len(raw), self.lengths, self.shorter, self.fits
         longest = [-1] * size
-        for end, i in self.automaton.iter(raw.decode("latin-1")):
-            start = end + 1 - len(self.tokens[i])
-            if longest[start] < 0 or len(self.tokens[longest[start]]) < len(self.tokens[i]):
-                longest[start] = i
+        for end, (i, n) in self.automaton.iter(raw.decode("latin-1")):
+            longest[end + 1 - n] = i  # matches come by their end, so the last one at a start is the longest
         alive = bytearray(b"\x01") * (size + 1)
         taken: list[int] = []
-        at, token = 0, longest[0]
+        at, token, last = 0, longest[0], -1
         while at < size:
             while token >= 0:
-                end = at + len(self.tokens[token])
-                if alive[end] and (not taken or self.compatible(taken[-1], token)):
-                    break
-                token = self.shorter[token]
+                if alive[at + lengths[token]]:
+                    good = last < 0 or fits.get((last, token))
+                    if good or good is None and self.compatible(last, token):
+                        break
+                token = shorter[token]
             if token >= 0:
                 taken.append(token)
-                at = end
+                at += lengths[token]
+                last = token
                 token = longest[at] if at < size else -1
             else:
                 alive[at] = 0
                 token = taken.pop()
-                at -= len(self.tokens[token])
+                at -= lengths[token]
+                last = taken[-1] if taken else -1
         return taken
 
-    def _chunk(self, chunk: str) -> tuple[str, bytes]:
-        ids = [i for piece in _PIECE.findall(chunk) for i in self.encode_piece(piece.encode("utf-8"))]
-        found = ",".join(map(str, ids)), np.array(ids, "<u4").tobytes()
+    def _chunk(self, chunk: str) -> bytes:
+        pieces = [chunk] if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()) else _PIECE.findall(chunk)
+        found = np.array([i for piece in pieces for i in self.encode_piece(piece.encode("utf-8"))], "<u4").tobytes()
         if len(chunk) <= CACHED_CHARS:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
             self.cache[chunk] = found
         return found
 
-    def encode(self, text: str) -> tuple[str, np.ndarray]:
-        """The decimal ids joined by commas, and the ids."""
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text."""
         parts = [text] if self.added_pattern is None else self.added_pattern.split(text)
         get, build = self.cache.get, self._chunk
-        found: list[tuple[str, bytes]] = []
+        found: list[bytes] = []
         for n, part in enumerate(parts):
             if n % 2:
-                i = self.added[part]
-                found.append((str(i), np.array([i], "<u4").tobytes()))
+                found.append(np.array([self.added[part]], "<u4").tobytes())
             else:
                 found += [get(c) or build(c) for c in _CHUNK.findall(part)]
-        return ",".join([x[0] for x in found]), np.frombuffer(b"".join([x[1] for x in found]), "<u4")
+        return np.frombuffer(b"".join(found), "<u4")
 
-    def decode_bytes(self, ids: np.ndarray) -> bytes:
-        """The bytes of ids, gathered from the pool by the offset table."""
-        sizes = self.sizes[ids]
+    @staticmethod
+    def _gather(ids: np.ndarray, pool: np.ndarray, starts: np.ndarray, all_sizes: np.ndarray) -> bytes:
+        """The slices of pool that belong to ids, one after another."""
+        sizes = all_sizes[ids]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
-        return self.pool[np.arange(total) + np.repeat(self.starts[ids] - (ends - sizes), sizes)].tobytes()
+        return pool[np.arange(total) + np.repeat(starts[ids] - (ends - sizes), sizes)].tobytes()
+
+    def decimal(self, ids: np.ndarray) -> bytes:
+        """The decimal ids joined by commas."""
+        return self._gather(ids, self.said_pool, self.said_starts, self.said_sizes)[:-1]
+
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        """The bytes of ids, gathered from the pool by the offset table."""
+        return self._gather(ids, self.pool, self.starts, self.sizes)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that aren't UTF-8 become U+FFFD."""
@@ -224,7 +239,7 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """
 
     def row(codec: Codec, text: str):
-        return (codec.encode(text)[1].astype(np.int32),)
+        return (codec.encode(text).astype(np.int32),)
 
     return _coded(docs, vocabulary, pa.schema([("ids", pa.list_(pa.int32()))]), "ids array<int>", row)
 
@@ -249,7 +264,7 @@ def encode_checked(docs: DataFrame, vocabulary: str) -> DataFrame:
     schema = pa.schema([("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("exact", pa.bool_())])
 
     def row(codec: Codec, text: str):
-        ids = codec.encode(text)[1]
+        ids = codec.encode(text)
         return len(ids), ids.astype(np.int32), codec.decode(ids) == text
 
     return _coded(docs, vocabulary, schema, "n_tokens bigint, ids array<int>, exact boolean", row)
@@ -264,8 +279,8 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     schema = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def row(codec: Codec, text: str):
-        said, ids = codec.encode(text)
+        ids = codec.encode(text)
         decoded = codec.decode(ids).encode("utf-8")
-        return len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        return len(ids), hashlib.sha256(codec.decimal(ids)).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
     return _coded(docs, vocabulary, schema, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", row)
