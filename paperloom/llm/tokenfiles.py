@@ -13,6 +13,7 @@ then rules as u32 pairs, their expansion lengths as u32, symbols per document as
 
 from __future__ import annotations
 
+import hashlib
 import os
 import struct
 import zlib
@@ -20,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, batch, texts, work_path
+from .common import batch, texts, work_path
 
 MAGIC = b"RPG1"
 #: Ids after which a block ends with the document at hand; bounds a task's memory together with the longest document.
@@ -33,7 +35,9 @@ BLOCK_IDS = 1_000_000
 PAIR_COUNT = 6
 #: Replacement rounds for a block, and new rules in a round; symbols stay below 2^16 while that suffices for the vocabulary.
 ROUNDS, ROUND_RULES = 6, 4096
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 700_000
+#: Characters that are split and encoded at once, unless one text has more.
+SLICE_BYTES = 10_000_000
 
 _HEAD = struct.Struct("<4s5I")
 
@@ -202,7 +206,7 @@ class ChunkCodes:
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _learn(self, words: list[bytes]) -> None:
         """Remember the ids of each word; words of letters alone are encoded many at a time."""
@@ -225,24 +229,59 @@ class ChunkCodes:
             if "<" in t:
                 self.known[w] = self._ids(t).tobytes()
 
-    def _fill(self, runs: set[bytes]) -> None:
-        known, ends = self.known, (b".", b",")
-        stopped = [r for r in runs if r.endswith(ends) and r[:-1].isalpha()]
-        self._learn([w for w in (runs.difference(stopped) | {r[:-1] for r in stopped} | set(ends)) if w not in known])
-        known.update([(r, known[r[:-1]] + known[r[-1:]]) for r in stopped])
-
-    def encode_all(self, some: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        raws = [text.encode("utf-8") for text in some]
-        split = [(raw.translate(_LOWER) if self.lowers and b"<|" not in raw else raw).split() for raw in raws]
+    def _ids_of(self, runs: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each run; what is remembered are words without their stops."""
         if len(self.known) >= CACHE_CHUNKS:
             self.known.clear()
-        get = self.known.get
-        found = [list(map(get, runs)) for runs in split]
-        self._fill({r for runs, ids in zip(split, found, strict=True) if None in ids for r, i in zip(runs, ids, strict=True) if i is None})
-        known = self.known
-        for runs, ids in zip(split, found, strict=True):
-            yield b"".join([known[r] if i is None else i for r, i in zip(runs, ids, strict=True)])
+        stops = (b".", b",")
+        words = [r[:-1] if r.endswith(stops) and r[:-1].isalpha() else r for r in runs]
+        found = list(map(self.known.get, words))
+        if None in found:
+            self._learn(list({w for w, i in zip(words, found, strict=True) if i is None}))
+            found = list(map(self.known.__getitem__, words))
+        after = {r: self._ids(r.decode()).tobytes() for r in stops}
+        return [i if w is r else i + after[r[-1:]] for r, w, i in zip(runs, words, found, strict=True)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each has. Each different run is looked up once."""
+        low = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)) if self.lowers else texts
+        split = pc.ascii_split_whitespace(low)
+        coded = split.flatten().dictionary_encode()
+        runs = self._ids_of(coded.dictionary.cast(pa.binary()).to_pylist())
+        pool = np.frombuffer(b"".join(runs), "<u4")
+        kind = np.int32 if (pc.sum(pc.binary_length(low)).as_py() or 0) < 1 << 28 else np.int64
+        length = np.fromiter(map(len, runs), kind, len(runs)) // 4
+        start = np.cumsum(length, dtype=kind) - length
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        size = length[at]
+        ends = np.zeros(len(at) + 1, kind)
+        np.cumsum(size, out=ends[1:])
+        ids = pool[np.arange(ends[-1], dtype=kind) + np.repeat(start[at] - ends[:-1], size)] if len(at) else pool
+        bounds = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return ids, np.diff(bounds)
+
+    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, encoded in slices of about SLICE_BYTES."""
+        length = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        part = np.cumsum(length) // SLICE_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            ids, sizes = self.encode(texts.slice(a, b - a))
+            ends = np.cumsum(sizes).tolist()
+            for start, end in zip([0, *ends], ends, strict=False):
+                yield ids[start:end]
+
+
+_CODES: dict[str, ChunkCodes] = {}
+
+
+def codes_of(definition: str) -> ChunkCodes:
+    """The worker's encoder of a vocabulary, with what it remembers; one in a Python worker."""
+    key = hashlib.sha256(definition.encode()).hexdigest()
+    if key not in _CODES:
+        _CODES.clear()
+        _CODES[key] = ChunkCodes(definition)
+    return _CODES[key]
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1) -> None:
@@ -257,30 +296,28 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1) -> None:
     schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("payload", pa.binary())])
 
     def blocks(batches):
-        codes = ChunkCodes(shared.value)
+        codes = codes_of(shared.value)
         lowest = codes.tokenizer.get_vocab_size()
         lowest = max(lowest, end_id + 1)
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         shard, number, start = TaskContext.get().partitionId(), 0, 0
         ids: list[int | None] = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         count = 0
 
         def made():
-            sizes = np.array([len(x) // 4 for x in held], np.int64)
-            payload = compress(np.frombuffer(b"".join(held), "<u4"), sizes, lowest)
+            sizes = np.array([len(x) + 1 for x in held], np.int64)
+            payload = compress(np.concatenate([x for ids in held for x in (ids, end)]), sizes, lowest)
             return batch({"shard": [shard], "block": [number], "start": [start], "n_tokens": [count], "doc_ids": [ids], "sizes": [sizes], "payload": [payload]}, schema)
 
         for part in batches:
-            for at in range(0, part.num_rows, 256):
-                some = part.slice(at, 256)
-                for doc_id, raw in zip(some.column(0).to_pylist(), codes.encode_all(some.column(1).to_pylist()), strict=True):
-                    ids.append(doc_id)
-                    held.append(raw + end)
-                    count += len(raw) // 4 + 1
-                    if count >= BLOCK_IDS:
-                        yield made()
-                        number, start, ids, held, count = number + 1, start + count, [], [], 0
+            for doc_id, own in zip(part.column(0).to_pylist(), codes.encode_all(part.column(1)), strict=True):
+                ids.append(doc_id)
+                held.append(own)
+                count += len(own) + 1
+                if count >= BLOCK_IDS:
+                    yield made()
+                    number, start, ids, held, count = number + 1, start + count, [], [], 0
         if held:
             yield made()
 
