@@ -1,7 +1,7 @@
 """The stages of the pipeline, each against its own brute force on its own input."""
 
 import corpus_pipeline
-from test_operators import brute_components, brute_lines, documents, odd
+from test_training_data import brute_components, brute_lines, documents, odd
 
 SMALL = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
