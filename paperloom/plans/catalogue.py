@@ -848,3 +848,63 @@ def x17_bulk_export(s, d):
     made = export.export(asked, recs, "ris")
     found = asked.join(recs.select("id", "title"), "id").groupBy("export_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "title"))), lambda x: x["title"]), "; ").alias("titles"), F.count(F.lit(1)).alias("found"))
     return found.join(made.select("export_id", "missing"), "export_id")
+
+
+# --- further joins, counters and the whole engine ---
+
+
+@registered("select n_nationkey, n_name, n_regionkey in (select r_regionkey from region where r_name like 'A%') as in_cluster from nation where n_regionkey in (select r_regionkey from region where r_name like 'A%')")
+def j20_cluster_filter(s, d):
+    chosen = table(s, d, "region").where("r_name like 'A%'")
+    n = table(s, d, "nation")
+    return n.join(chosen, n["n_regionkey"] == chosen["r_regionkey"], "left_semi").select("n_nationkey", "n_name", F.lit(True).alias("in_cluster"))
+
+
+@registered("select query_id, doc_id, coalesce(grade, 0) as grade from (select item_id as query_id, item_id * 3 as doc_id from benchmark) r left join (" + O.JUDGED + ") using (doc_id)")
+def j17_judgments(s, d):
+    r = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") * 3).alias("doc_id"))
+    return r.join(judged(s, d), "doc_id", "left").select("query_id", "doc_id", F.coalesce("grade", F.lit(0)).alias("grade"))
+
+
+@registered("select count(*) as requests, count(*) filter (event_type = 'error') as fell_back, count(*) filter (value > 50) as regenerated, count(distinct user_id) as users from events")
+def a12_stage_counters(s, d):
+    e = table(s, d, "events")
+    return e.agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("event_type") == "error").alias("fell_back"), F.count_if(F.col("value") > 50).alias("regenerated"), F.count_distinct("user_id").alias("users"))
+
+
+@registered("select lang, count(*) as n_rows, count(distinct text) as n_encoded from documents group by 1")
+def r07_embed_distinct(s, d):
+    # Each distinct text is encoded once; the count of encoded texts shows it.
+    docs = table(s, d, "documents").select("doc_id", "lang", "text")
+    met = rank.embed_distinct(docs, lambda once: once.select("sha", F.array(F.lit(1.0)).alias("vector")))
+    return met.groupBy("lang").agg(F.count("vector").alias("n_rows"), F.count_distinct("text").alias("n_encoded"))
+
+
+@registered("select * from (values ('bibtex', 'BibTeX', 'bib'), ('ris', 'RIS', 'ris'), ('apa', 'APA 7th', 'txt'), ('vancouver', 'Vancouver', 'txt')) t(id, label, extension)")
+def x18_formats(s, d):
+    return export.formats(s)
+
+
+@registered("select l_orderkey as id, cast(max(l_linenumber) as int) as version, arg_max(l_comment, l_linenumber) as kept from (select l_orderkey, l_linenumber, l_returnflag || l_linenumber as l_comment from lineitem) group by 1")
+def k06_upsert_versions(s, d):
+    rows = table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("version"), F.concat("l_returnflag", "l_linenumber").alias("kept"))
+    return store.upsert(rows.where("version <= 2"), rows.where("version > 2"), ["id"], "version")
+
+
+def _engine(s, d):
+    from ..sources import registry
+    from .engine import Engine
+
+    return Engine(records(s, d).drop("export_id", "pos", "doc_id"), registry.sources(s), found_abstracts=table(s, d, "benchmark").select(F.concat(F.lit("10.1234/doc_"), F.col("item_id").cast("string")).alias("doi"), F.col("text").alias("abstract")))
+
+
+@registered()
+def engine_search(s, d):
+    """The whole search for every benchmark passage, over the records view."""
+    r = _engine(s, d).search(queries(s, d))
+    return r.papers.select("query_id", "id", "pos", F.round("score.combined", 6).alias("combined"), "score.rank")
+
+
+@registered()
+def engine_reports(s, d):
+    return _engine(s, d).search(queries(s, d)).stage_reports
