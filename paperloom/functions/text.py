@@ -71,7 +71,7 @@ def truncate(x: Column, limit: int, suffix: str = "…") -> Column:
 def tokens(x: Column) -> Column:
     """Lower-case words of two and more signs but for closed-class ones."""
     found = F.regexp_extract_all(F.lower(x), F.lit(f"({L.TOKEN})"), 1)
-    return F.filter(found, lambda t: (F.length(t) > 1) & ~F.array_contains(words_in(L.RANKING_STOPWORDS), t))
+    return F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(L.RANKING_STOPWORDS))
 
 
 def pairs(t: Column, sign: str = "_") -> Column:
@@ -84,7 +84,7 @@ def pairs(t: Column, sign: str = "_") -> Column:
 
 def content_words(x: Column) -> Column:
     found = F.regexp_extract_all(F.lower(x), F.lit(f"({L.TOKEN})"), 1)
-    return F.array_distinct(F.filter(found, lambda t: (F.length(t) > 2) & ~F.array_contains(words_in(L.RANKING_STOPWORDS), t)))
+    return F.array_except(F.filter(found, lambda t: F.length(t) > 2), words_in(L.RANKING_STOPWORDS))
 
 
 def document_text(title: Column, abstract: Column, keywords: Column, journal: Column) -> Column:

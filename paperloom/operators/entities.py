@@ -79,8 +79,7 @@ def merge_occurrences(found: DataFrame) -> DataFrame:
 
 def surfaces(text: Column, pattern: str = L.ACRONYM) -> Column:
     """What one pattern matches in a text, without places."""
-    skipped = T.words_in(sorted(_SKIPPED))
-    return F.filter(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1), lambda s: ~F.array_contains(skipped, s))
+    return F.filter(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1), lambda s: ~s.isin(sorted(_SKIPPED)))
 
 
 def highlight(text: Column, spans: Column) -> Column:

@@ -34,7 +34,7 @@ def identifier(x: Column) -> Column:
 def keyword_tokens(x: Column) -> Column:
     """The words of a text that may be keywords, in order."""
     found = F.transform(F.regexp_extract_all(x, F.lit(f"({L.KEYWORD})"), 1), lambda w: F.regexp_replace(F.lower(w), "^-+|-+$", ""))
-    return F.filter(found, lambda w: (F.length(w) >= 3) & ~F.array_contains(T.words_in(L.QUERY_STOPWORDS), w))
+    return F.filter(found, lambda w: (F.length(w) >= 3) & ~w.isin(L.QUERY_STOPWORDS))
 
 
 def keywords(queries: DataFrame, limit: int = 10) -> DataFrame:

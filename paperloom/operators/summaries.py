@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, fields
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -46,37 +47,61 @@ def _issue(kind: str, detail: Column, span: Column, severity: str = "blocking")
     return F.struct(F.lit(kind).alias("kind"), detail.alias("detail"), F.lit(severity).alias("severity"), span.alias("span"))
 
 
-def fabricated_numbers(summary: Column, abstract: Column) -> Column:
+@dataclass(frozen=True)
+class Parts:
+    """What the checks read of a summary and its abstract. As columns of their own they are made once a row; inside
+    the checks' lambdas they would be made again for each element."""
+
+    summary_words: Column
+    abstract_words: Column
+    abstract_numbers: Column
+    abstract_lower: Column
+
+    @classmethod
+    def of(cls, summary: Column, abstract: Column) -> Parts:
+        return cls(T.content_words(summary), T.content_words(abstract), F.transform(T.numbers(abstract), T.normalize_number), F.lower(abstract))
+
+    @classmethod
+    def added(cls, texts: DataFrame, summary: str, abstract: str) -> tuple[DataFrame, Parts]:
+        """texts with the parts as columns."""
+        made = cls.of(F.col(summary), F.col(abstract))
+        names = [f"_part_{f.name}" for f in fields(cls)]
+        return texts.withColumns({n: getattr(made, f.name) for n, f in zip(names, fields(cls), strict=True)}), cls(*map(F.col, names))
+
+
+def fabricated_numbers(summary: Column, abstract: Column, parts: Parts | None = None) -> Column:
     """Numbers of the summary, each time they occur, that the abstract doesn't have."""
-    known = F.transform(T.numbers(abstract), T.normalize_number)
+    known = (parts or Parts.of(summary, abstract)).abstract_numbers
     return F.filter(T.numbers(summary), lambda n: (T.normalize_number(n) != "") & ~F.array_contains(known, T.normalize_number(n)))
 
 
-def fabricated_entities(summary: Column, abstract: Column) -> Column:
+def fabricated_entities(summary: Column, abstract: Column, parts: Parts | None = None) -> Column:
     """Term-shaped words of the summary that the abstract never names, first spellings."""
+    lower = (parts or Parts.of(summary, abstract)).abstract_lower
     found = F.concat(*[F.regexp_extract_all(summary, F.lit(f"({p})"), 1) for p in (L.ACRONYM, L.PREFIXED_SYMBOL)])
-    absent = F.filter(found, lambda t: ~F.contains(F.lower(abstract), F.lower(t)))
-    lower = F.transform(absent, F.lower)
-    return F.filter(absent, lambda t, i: F.array_position(lower, F.lower(t)) == i + 1)
+    first = F.array_distinct(F.transform(found, F.lower))
+    absent = F.filter(first, lambda t: ~F.contains(lower, t))
+    return F.transform(absent, lambda t: F.element_at(F.filter(found, lambda x: F.lower(x) == t), 1))
 
 
-def overlap(summary: Column, abstract: Column) -> Column:
+def overlap(summary: Column, abstract: Column, parts: Parts | None = None) -> Column:
     """Share of the summary's content words that the abstract has; 0 without any."""
-    s = T.content_words(summary)
-    return F.coalesce(F.size(F.array_intersect(s, T.content_words(abstract))) / F.nullif(F.size(s), F.lit(0)), F.lit(0.0))
+    p = parts or Parts.of(summary, abstract)
+    return F.coalesce(F.size(F.array_intersect(p.summary_words, p.abstract_words)) / F.nullif(F.size(p.summary_words), F.lit(0)), F.lit(0.0))
 
 
-def reversed_directions(summary: Column, abstract: Column) -> Column:
+def reversed_directions(summary: Column, abstract: Column, parts: Parts | None = None) -> Column:
     """Words of direction in the summary where the abstract has only the opposite."""
+    p = parts or Parts.of(summary, abstract)
     both = [(a, b) for pair in L.ANTONYMS for a, b in (pair, pair[::-1])]
-    table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in both])
-    s, t = T.content_words(summary), T.content_words(abstract)
-    hit = F.filter(table, lambda p: F.array_contains(s, p["a"]) & ~F.array_contains(t, p["a"]) & F.array_contains(t, p["b"]))
-    return F.transform(hit, lambda p: p["a"])
+    stated = F.array_intersect(T.words_in([a for a, _ in both]), F.array_except(p.summary_words, p.abstract_words))
+    opposite = F.create_map(*[F.lit(x) for kv in both for x in kv])
+    return F.filter(stated, lambda w: F.array_contains(p.abstract_words, F.element_at(opposite, w)))
 
 
-def overclaims(summary: Column, abstract: Column) -> Column:
-    return F.array_sort(F.array_except(F.array_intersect(T.content_words(summary), T.words_in(L.OVERCLAIMS)), T.content_words(abstract)))
+def overclaims(summary: Column, abstract: Column, parts: Parts | None = None) -> Column:
+    p = parts or Parts.of(summary, abstract)
+    return F.array_sort(F.array_except(F.array_intersect(p.summary_words, T.words_in(L.OVERCLAIMS)), p.abstract_words))
 
 
 def format_problem(summary: Column, settings: Settings = DEFAULTS) -> Column:
@@ -85,18 +110,24 @@ def format_problem(summary: Column, settings: Settings = DEFAULTS) -> Column:
     return F.when(F.coalesce(summary, F.lit("")) == "", "empty").when(n > settings.max_sentences, "too long").when(n < 1, "no sentence")
 
 
-def verdict(summary: Column, abstract: Column, settings: Settings = DEFAULTS) -> Column:
+def with_verdict(texts: DataFrame, summary: str = "summary", abstract: str = "abstract", settings: Settings = DEFAULTS, name: str = "v") -> DataFrame:
+    """texts with the verdict of their summaries; what the checks share is made once a row."""
+    made, parts = Parts.added(texts, summary, abstract)
+    return made.withColumn(name, verdict(F.col(summary), F.col(abstract), settings, parts)).select(*texts.columns, name)
+
+
+def verdict(summary: Column, abstract: Column, settings: Settings = DEFAULTS, parts: Parts | None = None) -> Column:
     """struct(status, issues, overlap): unverifiable without abstract, ungrounded with a blocking issue, else grounded."""
     no = F.array().cast(ISSUE)
-    share = overlap(summary, abstract)
+    share = overlap(summary, abstract, parts)
     problem = format_problem(summary, settings)
     issues = F.concat(
         F.when(problem.isNotNull(), F.array(_issue("format", problem, F.lit(None).cast("string")))).otherwise(no),
-        F.transform(fabricated_numbers(summary, abstract), lambda n: _issue("fabricated_number", F.concat(F.lit("the abstract has no "), F.trim(n)), F.trim(n))),
-        F.transform(fabricated_entities(summary, abstract), lambda t: _issue("fabricated_entity", F.concat(F.lit("the abstract never names "), t), t)),
+        F.transform(fabricated_numbers(summary, abstract, parts), lambda n: _issue("fabricated_number", F.concat(F.lit("the abstract has no "), F.trim(n)), F.trim(n))),
+        F.transform(fabricated_entities(summary, abstract, parts), lambda t: _issue("fabricated_entity", F.concat(F.lit("the abstract never names "), t), t)),
         F.when(share < settings.min_overlap, F.array(_issue("low_overlap", F.lit("too few content words in common"), F.lit(None).cast("string")))).otherwise(no),
-        F.transform(reversed_directions(summary, abstract), lambda w: _issue("contradicted_direction", F.concat(F.lit("the abstract says the opposite of "), w), w)),
-        F.transform(overclaims(summary, abstract), lambda w: _issue("overclaim", F.concat(F.lit("the abstract does not claim "), w), w)),
+        F.transform(reversed_directions(summary, abstract, parts), lambda w: _issue("contradicted_direction", F.concat(F.lit("the abstract says the opposite of "), w), w)),
+        F.transform(overclaims(summary, abstract, parts), lambda w: _issue("overclaim", F.concat(F.lit("the abstract does not claim "), w), w)),
     )
     blank = F.coalesce(F.trim(abstract), F.lit("")) == ""
     blocked = F.exists(issues, lambda i: i["severity"] == "blocking")
@@ -220,15 +251,16 @@ def summarise(papers: DataFrame, complete: Callable[[Column], Column] | None = N
     own = extractive(papers, settings).withColumnRenamed("summary", "extract")
     rows = papers.select("doc_id", "title", "abstract").join(own, "doc_id")
     blank = F.coalesce(F.trim("abstract"), F.lit("")) == ""
-    kept = lambda df, text, origin, n: df.withColumn("v", verdict(F.col(text), F.col("abstract"), settings)).select("doc_id", F.col(text).alias("text"), F.lit(origin).alias("origin"), "v.status", "v.issues", "v.overlap", F.lit(n).alias("attempts"))
+    kept = lambda df, text, origin, n: df.select("doc_id", F.col(text).alias("text"), F.lit(origin).alias("origin"), "v.status", "v.issues", "v.overlap", F.lit(n).alias("attempts"))
     if complete is None:
         out = rows.withColumn("v", F.struct(F.when(blank, "unverifiable").otherwise("grounded").alias("status")))
         return out.select("doc_id", F.col("extract").alias("text"), F.lit("extractive").alias("origin"), "v.status", F.array().cast(ISSUE).alias("issues"), F.when(blank, 0.0).otherwise(1.0).alias("overlap"), F.lit(0).alias("attempts"))
     asked = rows.where(~blank).repartition(settings.summary_concurrency).withColumn("text", T.strip_markdown(complete(first_prompt(F.col("title"), F.col("abstract")))))
-    asked = asked.withColumn("v", verdict(F.col("text"), F.col("abstract"), settings))
+    asked = with_verdict(asked, "text", "abstract", settings)
     good = asked.where("v.status = 'grounded'")
     bad = asked.where("v.status <> 'grounded'")
-    again = bad.withColumn("text", T.strip_markdown(complete(retry_prompt(F.col("title"), F.col("abstract"), F.col("text"), F.col("v.issues"))))).withColumn("v", verdict(F.col("text"), F.col("abstract"), settings))
+    again = bad.withColumn("text", T.strip_markdown(complete(retry_prompt(F.col("title"), F.col("abstract"), F.col("text"), F.col("v.issues"))))).drop("v")
+    again = with_verdict(again, "text", "abstract", settings)
     rest = again.where("v.status <> 'grounded'").select(rows.columns).unionByName(rows.where(blank))
     return kept(good, "text", "generated", 1).unionByName(kept(again.where("v.status = 'grounded'"), "text", "generated", 2)).unionByName(summarise_rest(rest, settings))
 

@@ -649,9 +649,10 @@ _BOTH = "[" + ", ".join(f"['{a}', '{b}']" for pair in L.ANTONYMS for a, b in (pa
 )
 def g03_grounding_checks(s, d):
     a, b = F.col("summary"), F.col("abstract")
-    return _made(s, d).select(
-        "doc_id", F.size(summaries.fabricated_numbers(a, b)).cast("bigint").alias("numbers"), F.size(summaries.fabricated_entities(a, b)).cast("bigint").alias("terms"),
-        F.round(summaries.overlap(a, b), 6).alias("overlap"), F.array_join(summaries.reversed_directions(a, b), ",").alias("directions"), F.array_join(summaries.overclaims(a, b), ",").alias("claims"),
+    made, p = summaries.Parts.added(_made(s, d), "summary", "abstract")
+    return made.select(
+        "doc_id", F.size(summaries.fabricated_numbers(a, b, p)).cast("bigint").alias("numbers"), F.size(summaries.fabricated_entities(a, b, p)).cast("bigint").alias("terms"),
+        F.round(summaries.overlap(a, b, p), 6).alias("overlap"), F.array_join(summaries.reversed_directions(a, b, p), ",").alias("directions"), F.array_join(summaries.overclaims(a, b, p), ",").alias("claims"),
     )
 
 
@@ -662,7 +663,7 @@ def g03_grounding_checks(s, d):
     "select doc_id, case when trim(abstract) = '' then 'unverifiable' when issues + (o < 0.45)::int > 0 then 'ungrounded' else 'grounded' end as status, issues + (o < 0.45)::int as n_issues from k"
 )
 def g02_verdict(s, d):
-    v = _made(s, d).select("doc_id", summaries.verdict(F.col("summary"), F.col("abstract")).alias("v"))
+    v = summaries.with_verdict(_made(s, d))
     return v.select("doc_id", "v.status", F.size("v.issues").cast("bigint").alias("n_issues"))
 
 
@@ -724,7 +725,7 @@ def g29_labelled_cases(s, d):
     from ..operators import attacks
 
     c = attacks.cases(papers(s, d).select("doc_id", "title", "abstract"))
-    v = c.withColumn("v", summaries.verdict(F.col("summary"), F.col("abstract")))
+    v = summaries.with_verdict(c)
     caught = F.when(F.col("expected").isNull(), F.col("v.status") != "grounded").otherwise(F.exists("v.issues", lambda i: i["kind"] == F.col("expected")))
     return metrics.confusion(v.select("label", caught.alias("caught")))
 

@@ -61,11 +61,11 @@ class Engine:
         words = parsed.where("intent <> 'identifier'").select("query_id", F.posexplode("keywords").alias("i", "keyword")).select("query_id", (F.col("i") + 1).alias("kw_rank"), "keyword").dropDuplicates(["query_id", "keyword"])
         corpus = self.papers.select(F.col("id").alias("doc_id"), "source", F.concat_ws(" ", "title", "abstract").alias("text"))
         found = query.retrieve(words, corpus).unionByName(self._lookups(parsed))
-        found = query.limit_per_source(found, most)
+        found = query.limit_per_source(found, most).persist()  # at most limit x sources rows a query; reports read it too
         asked = parsed.select("query_id").crossJoin(F.broadcast(self.sources.select("source").limit(1000)))
         reports = query.source_reports(asked, found)
         merged = query.interleave(found, F.col("source")).select("query_id", F.col("doc_id").alias("id"), F.col("merged_pos").cast("int").alias("pos"))
-        rows = merged.join(self.papers.drop("pos", "query_id"), "id")
+        rows = merged.join(self.papers.drop("pos", "query_id"), "id").persist()
         counted = [("retrieve", True, rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "")]
         if "dedupe" in self.stages:
             placed = rows.join(dedupe.greedy_clusters(rows, s).select("query_id", "id", "cluster"), ["query_id", "id"])
