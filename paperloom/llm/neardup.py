@@ -38,6 +38,9 @@ SKETCH, MARGIN = 256, 0.2
 #: Candidates up to this number (8 bytes each) are broadcast to the documents; with more, texts are shuffled.
 JOIN_ROWS = 2_000_000
 
+#: Classes of at least so many equal sets are placed by broadcast (24 bytes each, up to JOIN_ROWS of them).
+HOT_COPIES = 500
+
 _TOP = 1 << 63
 
 
@@ -185,8 +188,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rest = sides[0].join(sides[1], "v").where((F.col("ca") > F.col("cb")) & _may_link(percent)).select("a", "b").distinct()
     more = _links(rest, full, percent)
     reached = components(links.union(more))
-    ids = linked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    ids = ids.join(reached.withColumnRenamed("doc_id", "first_id"), "first_id", "left").select("fp", F.coalesce("component_id", "first_id").alias("c"))
-    placed = sketched.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")).join(ids, "fp", "left")
+    ids = linked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    ids = ids.join(reached.withColumnRenamed("doc_id", "first_id"), "first_id", "left").select("fp", "copies", F.coalesce("component_id", "first_id").alias("c"))
+    ids = keep(ids, "classes")
+    placed = sketched.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp"))
+    # A class with very many copies would meet in one task; such classes are few, and go to all tasks instead.
+    many = sized(ids.where(F.col("copies") >= HOT_COPIES).select("fp", "c"), JOIN_ROWS)
+    few = ids.where(F.col("copies") < HOT_COPIES).select("fp", "c")
+    placed = placed.join(many, "fp").unionByName(placed.join(many.select("fp"), "fp", "left_anti").join(few, "fp", "left"))
     component = F.coalesce("c", "doc_id")
     return placed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component.eqNullSafe(F.col("doc_id"))).alias("kept"))
