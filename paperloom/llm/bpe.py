@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from .common import batch, texts
 
 #: Entries of a worker's caches of encoded chunks and of compatible pairs; bounds memory, not results.
-CACHE = 500_000
+CACHE = 150_000
 #: Chunks longer than this are encoded each time they occur.
 CACHED_CHARS = 64
 
