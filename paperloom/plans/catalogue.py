@@ -627,12 +627,24 @@ def g01_extractive(s, d):
 _MADE = "select doc_id, text as abstract, lead(text, 1, text) over (order by doc_id)[1:200] || case doc_id % 6 when 0 then ' It is 42% of 1,5.' when 1 then ' The PE3 of mRNA.' when 2 then ' It increased.' when 3 then ' The first best proof.' else '' end as summary from (select doc_id, " + _PLAIN + " || case when doc_id % 2 = 0 then ' It decreased by 42.' else '' end as text from documents)"
 
 
+def _following(rows, column, name):
+    """The rows with the column of the row with the next higher doc_id, whatever the gaps; the last keeps its own.
+
+    Windows run within ranges of ids between quantiles; only the first row of each range is looked at across them."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.5 / n))) if n > 1 else []
+    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
+    placed = rows.withColumns({"_own": F.struct(column.alias("x")), "_at": at})
+    firsts = placed.groupBy("_at").agg(F.min_by("_own", "doc_id").alias("_first"))
+    firsts = firsts.select("_at", F.lead("_first").over(Window.orderBy("_at")).alias("_first"))
+    within = placed.withColumn("_next", F.lead("_own").over(Window.partitionBy("_at").orderBy("doc_id")))
+    return within.join(F.broadcast(firsts), "_at").select(*rows.columns, F.coalesce("_next", "_first", "_own")["x"].alias(name))
+
+
 def _made(s, d):
     docs = table(s, d, "documents").select("doc_id", F.concat(F.regexp_replace("text", r"[^\x00-\x7F]", " "), F.expr("case when doc_id % 2 = 0 then ' It decreased by 42.' else '' end")).alias("abstract"))
-    # The next document by id: ids are dense, so an equi-join stands for a window over all rows.
-    nxt = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.left("abstract", F.lit(200)).alias("head"))
     more = F.expr("case doc_id % 6 when 0 then ' It is 42% of 1,5.' when 1 then ' The PE3 of mRNA.' when 2 then ' It increased.' when 3 then ' The first best proof.' else '' end")
-    return docs.join(nxt, "doc_id", "left").select("doc_id", "abstract", F.concat(F.coalesce("head", F.left("abstract", F.lit(200))), more).alias("summary"))
+    return _following(docs, F.left("abstract", F.lit(200)), "head").select("doc_id", "abstract", F.concat("head", more).alias("summary"))
 
 
 _NUM = lambda x: f"regexp_extract_all({x}, '\\d+(?:[.,]\\d+)*\\s*%?')"

@@ -25,3 +25,11 @@ def test_entry(spark):
 
     assert e.entry(spark).limit(1).count() == 1
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_made_summaries_take_the_next_id_over_gaps(spark, tmp_path):
+    rows = [(i, f"text number {i}") for i in (1, 2, 5, 6, 40, 41, 300)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.summary for r in catalogue._made(spark, str(tmp_path)).collect()}
+    following = dict(zip([i for i, _ in rows], [*[i for i, _ in rows][1:], 300], strict=True))
+    assert len(got) == 7 and all(got[i].startswith(f"text number {n}") for i, n in following.items())
