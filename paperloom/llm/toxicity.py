@@ -1,11 +1,13 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-For the toxic and for the ordinary labelled documents a bigram model over words is estimated. As in
-Kneser-Ney smoothing, what counts for a word is in how many different contexts it occurs, not how often one
-copied passage repeats it: counts of a class hold only for words (and, at the bigram level, pairs) that
-were met in enough different contexts there, less an absolute discount, and the mass set free goes to
-backoff counts that both classes share, so that rare expressions speak for neither class. A document's
-score compares the two log-likelihoods, normalised by its length, through a logistic calibration.
+For the toxic and for the ordinary labelled documents a bigram model over words is estimated. All counts of
+words, and of pairs met in toxic documents, hold in both classes, less an absolute discount; the mass set
+free goes to backoff counts that both classes share, from the number of different contexts of a word, as in
+Kneser-Ney smoothing, so that rare expressions speak for neither class. A document's score compares the two
+log-likelihoods, normalised by its length, through a logistic calibration.
+
+The counts stay a table. Up to MODEL_ENTRIES of them are broadcast to the documents; beyond that the documents'
+distinct pairs are joined with the whole table, with the same scores.
 """
 
 from __future__ import annotations
@@ -13,13 +15,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import CACHE_WORDS, batch, keep, sized, texts
 
-#: A count holds from more than this many different contexts on; contexts are told apart in 64 classes.
-CONTEXTS = 3
+#: The discount where counts of counts give none.
 DISCOUNT = 0.75
 #: A word speaks for toxicity if its log-likelihood ratio is at least this.
 STRONG = 3.0
@@ -27,12 +28,13 @@ STRONG = 3.0
 #: of which no more than about FIT_ROWS.
 CALIBRATE = 5
 FIT_ROWS = 50_000
-#: Words and pairs that the model sent to the executors may hold (8 + 8 bytes each). While more would hold,
-#: CONTEXTS is raised by one: the counts still come from all labelled documents.
+#: Words and pairs up to this number (8 + 8 bytes each) are broadcast; with more, documents are joined with them.
 MODEL_ENTRIES = 2_000_000
 
 #: Labels up to this number (12 bytes each) are broadcast to the documents; with more, texts are shuffled.
 JOIN_ROWS = 2_000_000
+#: Parts that a word's documents are dealt to in the join with the model.
+SALTS = 8
 
 _FOLD = bytes(ord(chr(i).lower()) if chr(i).isalpha() else 32 for i in range(128)) + bytes(range(128, 256))
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -67,10 +69,9 @@ def _context(w: np.ndarray) -> np.ndarray:
     return np.uint64(1) << (w >> np.uint64(58))
 
 
-def contexts(mask: np.ndarray) -> np.ndarray:
+def contexts(mask: Column) -> Column:
     """An estimate of how many contexts left a mask: linear counting over its 64 bits."""
-    bits = np.bitwise_count(mask.astype(np.uint64)).astype(float)
-    return -64 * np.log(1 - np.minimum(bits, 63.5) / 64)
+    return -64 * F.log(1 - F.least(F.bit_count(mask).cast("double"), F.lit(63.5)) / 64)
 
 
 def _grouped(key: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,13 +88,8 @@ _COUNTS_KIND = "level tinyint, label tinyint, key bigint, n bigint, mask bigint"
 _FLUSH = 2_000_000
 
 
-def _counted(rows: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
-    """Counts and context masks by level (1 words, 2 pairs), class and key.
-
-    Words of both classes and pairs of the toxic one; with wanted (sorted keys), only those pairs, of the
-    ordinary class. Sums by key in Spark; a task hands on partial sums.
-    """
-    shared = None if wanted is None else rows.sparkSession.sparkContext.broadcast(wanted)
+def _counted(rows: DataFrame) -> DataFrame:
+    """Counts and context masks by level (1 words, 2 pairs), class and key. Sums by key in Spark; a task hands on partial sums."""
 
     def run(batches):
         cache = _Words()
@@ -113,22 +109,18 @@ def _counted(rows: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
                     continue
                 count += len(w)
                 before = _context(np.concatenate((np.zeros(1, np.uint64), w[:-1])))
-                if shared is None:
-                    held.setdefault((1, label), []).append((w, before))
-                if len(w) > 1 and (label == 1) == (shared is None):
-                    key, mask = pairs(w), before[:-1]
-                    if shared is not None:
-                        inside = _among(shared.value, key)[1]
-                        key, mask = key[inside], mask[inside]
-                    if len(key):
-                        held.setdefault((2, label), []).append((key, mask))
+                held.setdefault((1, label), []).append((w, before))
+                if len(w) > 1:
+                    held.setdefault((2, label), []).append((pairs(w), before[:-1]))
                 if count >= _FLUSH:
                     yield from flush()
                     count = 0
         yield from flush()
 
     counts = rows.select("text", F.col("label").cast("tinyint").alias("label")).mapInArrow(run, _COUNTS_KIND)
-    return counts.groupBy("level", "label", "key").agg(F.sum("n").alias("n"), F.bit_or("mask").alias("mask"))
+    return counts.groupBy("level", "key").agg(
+        *[F.coalesce(F.sum(F.when(F.col("label") == c, F.col("n"))), F.lit(0)).alias(f"n{c}") for c in (0, 1)], F.bit_or("mask").alias("mask")
+    ).where("level = 1 or n1 > 0")
 
 
 def _among(known: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,12 +131,34 @@ def _among(known: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, known[at] == key
 
 
+def _summed(strong: float, total: float, n: int) -> list[float]:
+    return [float(np.log1p(strong)), float(np.log1p(100 * strong / n)), float(np.clip(total / n, -3, 3))] if n else [0.0, 0.0, 0.0]
+
+
 class Model:
-    """Log-likelihood ratios of words, and of pairs with toxic evidence, and the calibration."""
+    """Log-likelihood ratios of words, and of pairs with toxic evidence, and the calibration.
 
-    def __init__(self, keys: np.ndarray, ratio: np.ndarray, pair_keys: np.ndarray, pair_ratio: np.ndarray, rest: float):
-        self.keys, self.ratio, self.pair_keys, self.pair_ratio, self.rest = keys, ratio, pair_keys, pair_ratio, rest
+    table: level, key and ratio of all of them. If there are no more than MODEL_ENTRIES, they are held as sorted
+    arrays too, and the table is None."""
+
+    def __init__(self, table: DataFrame | None, rest: float):
+        self.table, self.rest = table, rest
         self.weights = np.array([-2.0, 1.0, 1.0, 0.2])
+        self.keys = self.pair_keys = np.empty(0, np.uint64)
+        self.ratio = self.pair_ratio = np.empty(0)
+        if table is not None and table.count() <= MODEL_ENTRIES:
+            self.keys, self.ratio = self._held(1)
+            self.pair_keys, self.pair_ratio = self._held(2)
+            self.table = None
+
+    def _held(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        got = self.table.where(F.col("level") == level).select("key", "ratio").toArrow()
+        key = got.column("key").to_numpy().astype(np.int64).view(np.uint64)
+        order = np.argsort(key)
+        return key[order], got.column("ratio").to_numpy()[order]
+
+    def __getstate__(self):
+        return self.__dict__ | {"table": None}
 
     def ratios(self, w: np.ndarray) -> np.ndarray:
         """log p(word | context, toxic) - log p(word | context, ordinary) of each word."""
@@ -157,11 +171,8 @@ class Model:
 
     def inputs(self, w: np.ndarray) -> list[float]:
         """Length-normalised comparison: strong evidence in all, by length, and the mean ratio."""
-        if not len(w):
-            return [0.0, 0.0, 0.0]
         r = self.ratios(w)
-        strong = float(r[r >= STRONG].sum())
-        return [float(np.log1p(strong)), float(np.log1p(100 * strong / len(w))), float(np.clip(r.mean(), -3, 3))]
+        return _summed(float(r[r >= STRONG].sum()), float(r.sum()), len(w))
 
     def score(self, inputs: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + inputs @ self.weights[1:], -700, 700)))
@@ -182,68 +193,89 @@ class Model:
         self.weights = w
 
 
-def _floor(summed: DataFrame, entries: int) -> int:
-    """CONTEXTS, or the least higher number of context classes that no more than `entries` keys exceed."""
-    sizes = dict(summed.groupBy(F.bit_count("mask").cast("int").alias("bits")).count().collect())
-    floor = CONTEXTS
-    while sum(n for bits, n in sizes.items() if bits > floor) > entries and floor < 64:
-        floor += 1
-    return floor
+def _discounts(counts: DataFrame) -> dict[tuple[int, int], list[float]]:
+    """By level and class, the discounts of counts of 1, 2 and more, from the counts of counts (modified Kneser-Ney)."""
+    own = [F.count_if(F.col(f"n{c}") == k).alias(f"c{c}_{k}") for c in (0, 1) for k in (1, 2, 3, 4)]
+    out = {(level, c): [DISCOUNT] * 3 for level in (1, 2) for c in (0, 1)}
+    for r in counts.groupBy("level").agg(*own).collect():
+        for c in (0, 1):
+            met = [r[f"c{c}_{k}"] for k in (1, 2, 3, 4)]
+            if all(met):
+                y = met[0] / (met[0] + 2 * met[1])
+                out[r["level"], c] = [min(max(k - (k + 1) * y * met[k] / met[k - 1], 0.0), float(k)) for k in (1, 2, 3)]
+    return out
 
 
 def fit(rows: DataFrame) -> Model:
-    """The model of labelled rows (text, label 0 or 1), from counts over all of them."""
-    first = _counted(rows).persist()
-    level = {n: first.where(F.col("level") == n) for n in (1, 2)}
-    totals = {r["label"]: r for r in level[1].groupBy("label").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect()}
-    if not {0, 1} <= set(totals):
-        first.unpersist()
-        none = np.empty(0, np.uint64)
-        return Model(none, np.empty(0), none, np.empty(0), 0.0)
-
-    def held(df: DataFrame, floor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        got = df.where(F.bit_count("mask") > floor).select("label", "key", "n", "mask").toArrow()
-        cols = [c.to_numpy() for c in got.combine_chunks().columns] if got.num_rows else [np.empty(0, t) for t in (np.int8, np.int64, np.int64, np.int64)]
-        return cols[0], cols[1].astype(np.int64).view(np.uint64), cols[2].astype(float), cols[3].astype(np.int64).view(np.uint64)
-
-    label, key, n, mask = held(level[1], _floor(level[1], MODEL_ENTRIES // 2))
-    keys = np.unique(key)
-    count, spread = np.zeros((2, len(keys))), np.zeros(len(keys), np.uint64)
-    at = np.searchsorted(keys, key)
-    for c in (0, 1):
-        count[c, at[label == c]] = n[label == c] - DISCOUNT
-    np.bitwise_or.at(spread, at, mask)
-    shared = contexts(spread) + 0.5
-    types = sum(r["types"] for r in totals.values())
-    shared_all = shared.sum() + types
-    p = []
-    free = []
-    for c in (0, 1):
-        total = float(totals[c]["n"])
-        free.append(max(1 - count[c].sum() / total, 1e-3))
-        p.append(count[c] / total + free[c] * shared / shared_all)
-    ratio = np.log(p[1]) - np.log(p[0])
-    rest = float(np.log(free[1]) - np.log(free[0]))
-    _, pair_key, pair_n, _ = held(level[2], _floor(level[2], MODEL_ENTRIES // 2))
-    first.unpersist()
-    order = np.argsort(pair_key)
-    pair_key, pair_n = pair_key[order], pair_n[order]
+    """The model of labelled rows (text, label 0 or 1), from all counts over all of them."""
+    counts = keep(_counted(rows), "counts")
+    less = _discounts(counts)
+    shared = contexts(F.col("mask")) + 0.5
+
+    def discounted(c: int) -> Column:
+        n = F.col(f"n{c}")
+        of = lambda d: F.when(n > 2, n - d[2]).when(n > 1, n - d[1]).when(n > 0, n - d[0]).otherwise(0.0)
+        return F.when(F.col("level") == 1, of(less[1, c])).otherwise(of(less[2, c]))
+
+    held = [discounted(c) for c in (0, 1)]
+    words_of = counts.where("level = 1")
+    got = words_of.agg(
+        F.sum(shared).alias("shared"), *[f(c).alias(f"{name}{c}") for c in (0, 1) for name, f in (("n", lambda c: F.sum(f"n{c}")), ("types", lambda c: F.count_if(F.col(f"n{c}") > 0)), ("held", lambda c: F.sum(held[c])))]
+    ).first()
+    if not (got["n0"] and got["n1"]):
+        return Model(None, 0.0)
+    shared_all = got["shared"] + got["types0"] + got["types1"]
+    free = [max(1 - got[f"held{c}"] / got[f"n{c}"], 1e-3) for c in (0, 1)]
     # In either class a pair's share among all pairs, discounted, backs off to what the class gives its
     # second word; without its words at hand that is taken up by the free mass of shared counts.
-    pair_ratio = np.empty(0)
-    if len(pair_key):
-        ordinary = np.zeros(len(pair_key))
-        got = _counted(rows, pair_key).where(F.bit_count("mask") > CONTEXTS).select("key", "n").toArrow()
-        if got.num_rows:
-            at, known = _among(pair_key, got.column("key").to_numpy().astype(np.int64).view(np.uint64))
-            ordinary[at[known]] = got.column("n").to_numpy()[known] - DISCOUNT
-        q = [free[c] / (shared_all + len(pair_key)) for c in (0, 1)]
-        pair_ratio = np.log((pair_n - DISCOUNT) / float(totals[1]["n"]) + q[1]) - np.log(ordinary / float(totals[0]["n"]) + q[0])
-    return Model(keys, ratio, pair_key, pair_ratio, rest)
+    flat = shared_all + counts.where("level = 2").count()
+    p = [held[c] / float(got[f"n{c}"]) + F.when(F.col("level") == 1, free[c] * shared / shared_all).otherwise(free[c] / flat) for c in (0, 1)]
+    table = keep(counts.select("level", "key", (F.log(p[1]) - F.log(p[0])).alias("ratio")), "model")
+    return Model(table, float(np.log(free[1]) - np.log(free[0])))
+
+
+def _joined(docs: DataFrame, model: Model, extra: list[str]) -> DataFrame:
+    """The inputs x of texts and the extra columns, by a join of the texts' distinct pairs with the whole model.
+
+    Texts go by two hashes. A text that stands in several rows sends its pairs as often; sums are divided by that."""
+    hashes = {"_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.lit(1), "text")}
+    schema = pa.schema([(c, pa.int64()) for c in ("_h1", "_h2", "word", "pair", "n", "copies")])
+
+    def run(batches):
+        cache = _Words()
+        for part in batches:
+            for h1, h2, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
+                w = words(text.as_py(), cache)
+                if not len(w):
+                    continue
+                key, first, n = np.unique(pairs(w), return_index=True, return_counts=True)
+                more = len(key)
+                # The first word has no pair; each other word goes with the pair that it ends.
+                yield batch({
+                    "_h1": [h1] * (more + 1), "_h2": [h2] * (more + 1), "word": np.concatenate((w[:1], w[1:][first])).view(np.int64),
+                    "pair": [None, *key.view(np.int64).tolist()], "n": [1, *n.tolist()], "copies": [1] + [0] * more,
+                }, schema)
+
+    cells = docs.select(*[c.alias(k) for k, c in hashes.items()], "text").mapInArrow(run, "_h1 long, _h2 long, word long, pair long, n long, copies long")
+    # A common word is met in many texts: its cells are dealt over salts, and the model's rows stand under each.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    ratio = lambda level, name: model.table.where(F.col("level") == level).select(F.col("key").alias(name), F.col("ratio").alias(f"r_{name}"), salts)
+    cells = cells.withColumn("salt", F.pmod(F.col("_h1"), F.lit(SALTS)).cast("int"))
+    cells = cells.join(ratio(2, "pair"), ["pair", "salt"], "left").join(ratio(1, "word"), ["word", "salt"], "left")
+    r = F.coalesce("r_pair", "r_word", F.lit(model.rest)) * F.col("n")
+    sums = cells.groupBy("_h1", "_h2").agg(F.sum(F.when(r >= STRONG * F.col("n"), r).otherwise(0.0)).alias("_strong"), F.sum(r).alias("_total"), F.sum("n").alias("_n"), F.sum("copies").alias("_copies"))
+    n, strong = F.col("_n") / F.col("_copies"), F.col("_strong") / F.col("_copies")
+    x = F.array(F.log1p(strong), F.log1p(100 * strong / n), F.greatest(F.least(F.col("_total") / F.col("_n"), F.lit(3.0)), F.lit(-3.0)))
+    met = docs.select(*extra, *[c.alias(k) for k, c in hashes.items()]).join(sums, list(hashes), "left")
+    return met.select(F.when(F.col("_n").isNull(), F.array(*[F.lit(0.0)] * 3)).otherwise(x).alias("x"), *extra)
 
 
 def _apply(docs: DataFrame, model: Model, calibrated: bool, extra: list[str]) -> DataFrame:
     """doc_id, text's inputs or score, and the extra columns."""
+    if model.table is not None:
+        found = _joined(docs, model, extra)
+        z = F.lit(float(model.weights[0])) + sum(F.col("x")[i] * float(a) for i, a in enumerate(model.weights[1:]))
+        return found.select((1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(700.0)), F.lit(-700.0))))).alias("score"), *extra) if calibrated else found
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = "score" if calibrated else "x"
 
@@ -267,8 +299,8 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2,
     numbers are fitted. Label, lang, source and doc_id are no inputs. Null and empty texts have no words and get the
     score of no evidence; a null doc_id has no fold (held_out false); repeated rows and labels count each.
     Without labels of both classes every document gets the score of no evidence. An empty table gives no
-    rows. Counts are summed by key with partial sums in each task; the model that is broadcast holds at
-    most MODEL_ENTRIES words and pairs.
+    rows. Counts are summed by key with partial sums in each task and none is left out; a model of more than
+    MODEL_ENTRIES words and pairs is not broadcast but joined.
     """
     source = texts(docs)
     known = labels.select("doc_id", F.col("toxic").alias("label")).where("label in (0, 1) and doc_id is not null")

@@ -215,6 +215,20 @@ def test_classifiers_on_the_table(spark):
         assert sum(p == y for p, y in rows) >= least * len(rows)
 
 
+def test_toxicity_keeps_all_counts_at_every_size(spark, monkeypatch):
+    rows = [("dumb old goat they said", 1)] * 4 + [(f"a fine day number {c} in town", 0) for c in "abcdefgh"]
+    table = spark.createDataFrame(rows, "text string, label int")
+    model = toxicity.fit(table)
+    cache = toxicity._Words()
+    # Each word of a fixed phrase has one context only; its count holds all the same.
+    assert (model.ratios(toxicity.words("dumb old goat", cache)) > 2).all()
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    whole = {r.doc_id: r.score for r in toxicity.classify(docs, labels).collect()}
+    monkeypatch.setattr(toxicity, "MODEL_ENTRIES", 10)
+    joined = {r.doc_id: r.score for r in toxicity.classify(docs, labels).collect()}
+    assert whole.keys() == joined.keys() and all(abs(whole[i] - joined[i]) < 1e-9 for i in whole)
+
+
 # --- 6 decontamination ---
 
 
