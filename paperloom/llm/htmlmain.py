@@ -39,6 +39,7 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_NAMED = re.compile(r"<(?:article|main)\b", re.I)
 _PART = re.compile(r"[a-z]+")
 
 
@@ -50,15 +51,42 @@ def _known(name: str) -> str:
     return name if name in BLOCKS or name in APART or name in INLINE or name in VOID else "other"
 
 
-def events(page: str) -> Iterator[tuple[str, str, bool, bool, str]]:
+def _holders(page: str) -> frozenset[int]:
+    """Places of the tags whose elements are or hold the page's article (its longest article element) or its first
+    main element: a hint in their names says nothing about what they hold."""
+    if not _NAMED.search(page):
+        return frozenset()
+    found: dict[str, tuple[int, list[int]]] = {}
+
+    def closed(name: str, start: int, end: int, around: list[int]) -> None:
+        if name == "article" and end - start > found.get(name, (0,))[0] or name == "main" and name not in found:
+            found[name] = end - start, [*around, start]
+
+    for _ in events(page, frozenset(), closed):
+        pass
+    return frozenset(at for _, places in found.values() for at in places)
+
+
+def events(page: str, spared: frozenset[int] | None = None, report=None) -> Iterator[tuple[str, str, bool, bool, str]]:
     """Of each tag and text in order: kind (tag, end, text), name of the tag or of the block around the text,
-    whether it lies in a part that is no article, whether in an article or main element, and the text."""
-    stack: list[tuple[str, bool, bool]] = []  # name, apart, article
+    whether it lies in a part that is no article, whether in an article or main element, and the text.
+
+    spared: places of tags that no hint sets apart, by default those of _holders. report: called with the name, the
+    places of start and end, and the places of the elements around, of each article and main element that ends."""
+    spared = _holders(page) if spared is None else spared
+    stack: list[tuple[str, bool, bool, int]] = []  # name, apart, article, place
     at = 0
 
+    def drop(k: int, end: int) -> None:
+        if report:
+            for i in range(len(stack) - 1, k - 1, -1):
+                if stack[i][0] in ("article", "main"):
+                    report(stack[i][0], stack[i][3], end, [e[3] for e in stack[:i]])
+        del stack[k:]
+
     def around() -> tuple[str, bool, bool]:
-        _, apart, article = stack[-1] if stack else ("", False, False)
-        return next((n for n, _, _ in reversed(stack) if n in BLOCKS), "none"), apart, article
+        _, apart, article, _ = stack[-1] if stack else ("", False, False, 0)
+        return next((e[0] for e in reversed(stack) if e[0] in BLOCKS), "none"), apart, article
 
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -68,28 +96,30 @@ def events(page: str) -> Iterator[tuple[str, str, bool, bool, str]]:
             continue
         name = m["name"].lower()
         if m["end"]:
-            if any(n == name for n, _, _ in stack):
-                while stack.pop()[0] != name:
-                    pass
+            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            ended = k is not None and stack[k][1]  # the end of a part belongs to it as its start does
+            if k is not None:
+                drop(k, m.start())
             _, apart, article = around()
-            yield "end", name, apart, article, ""
+            yield "end", name, apart or ended, article, ""
             continue
         if name in BLOCKS and stack:  # a block ends an open paragraph, an item the item before it
             for closed in ("p",) if name != "li" else ("p", "li"):
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == closed:
-                        del stack[k:]
+                        drop(k, m.start())
                         break
                     if stack[k][0] in BLOCKS:
                         break
         _, apart, article = around()
-        apart = apart or name in APART or name == "header" and not article or _hinted(m["attrs"])
+        apart = apart or name in APART or name == "header" and not article or name not in ("html", "body") and m.start() not in spared and _hinted(m["attrs"])
         article = article or name in ("article", "main")
         yield "tag", name, apart, article, ""
         if name not in VOID and not m["attrs"].endswith("/"):
-            stack.append((name, apart, article))
+            stack.append((name, apart, article, m.start()))
     if at < len(page) and not page[at:].startswith("<"):
         yield "text", *around(), page[at:]
+    drop(0, len(page))
 
 
 def counts(page: str) -> Counter:
@@ -135,7 +165,9 @@ def extract(page: str, scores: dict[tuple[str, str], float]) -> str:
                     if total > best[0]:
                         best = total, start, len(blocks) - 1
         else:
-            total = total + scores.get(("tag", _known(name)), -1.0) if name not in ("article", "main", "html", "body") else total
+            # Tags of a part that is left out weigh nothing, as its words do.
+            if not apart and name not in ("article", "main", "html", "body"):
+                total += scores.get(("tag", _known(name)), -1.0)
             if name in BLOCKS or name in APART:
                 blocks.append([])
             elif name == "br":
@@ -171,7 +203,8 @@ def main_text(pages: DataFrame, scores: dict[tuple[str, str], float] | None = No
     """page_id, url, text and n_chars (code points) of each page.
 
     pages: page_id, url, html; further columns are ignored. Null and empty html, and pages without article
-    words, give an empty text. Character references are decoded, white space inside a block becomes one
+    words, give an empty text. Hints in class, id and role set no element apart that holds the page's article or
+    main element; an article that is not marked as such is lost inside a hinted element. Character references are decoded, white space inside a block becomes one
     space, blocks are joined in page order by one line feed; nothing is capped. Repeated rows stay. An
     empty table gives no rows. Nothing is shuffled but the sums of learn(), which supplies scores if none are
     given.

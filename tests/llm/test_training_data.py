@@ -296,6 +296,18 @@ def test_parts_that_are_no_article():
     assert htmlmain.extract(page, {}) == ("word " * 30).strip() + "\n" + ("more " * 30).strip()
 
 
+def test_parts_left_out_do_not_cut_the_article():
+    weigh = {("word", "h1"): 3.0, ("word", "p"): 0.5, **{("tag", x): -1.5 for x in ("ul", "li", "inline", "p", "h1", "div", "a", "aside", "nav")}}
+    links = lambda n: "<ul>" + "<li><a href='x'>Share this</a></li>" * n + "</ul>"
+    head, first, last = "A headline of nine words for this one story", ("first " * 80).strip(), ("last " * 20).strip()
+    inside = f"<article class='post has-sidebar'><h1>{head}</h1><div class='share'>{links(5)}</div><p>{first}</p><div class='ad'>{links(9)}</div><nav>{links(9)}</nav><aside>{links(30)}</aside><p>{last}</p></article>"
+    told = "\n".join((head, first, last))
+    assert htmlmain.extract(f"<html class='modal'><body class='has-sidebar'><div class='content-with-sidebar'>{inside}</div></body></html>", weigh) == told
+    # Comments are articles too, but shorter ones.
+    comments = "<section class='comments'>" + "<article><p>nice one</p></article>" * 5 + "</section>"
+    assert htmlmain.extract(f"<body>{inside}{comments}</body>", weigh) == told
+
+
 def test_main_text_of_the_table(spark):
     import html
     import re
