@@ -1,10 +1,11 @@
 """Secret scans: fixed patterns, and a battery of randomness tests under false-discovery control.
 
 Runs of 20 and more letters, digits and + / _ = - that no fixed pattern covers are tested. The encoding is
-inferred from the symbols used (hexadecimal, base32, lower-case base36, base62 or base64). A run counts as
+inferred from the symbols used (letters alone, hexadecimal, base32, lower-case base36, base62 or base64). A run counts as
 random if a chi-squared test of uniformity over the encoding's alphabet, a runs test about the median
 symbol and a serial-correlation test don't reject it together. For each run a p-value says how likely
-ordinary text, with the symbol frequencies of the run's own document, would repeat symbols as rarely. The
+ordinary text would repeat symbols as rarely; its symbol frequencies are those of all documents outside such
+runs, so that a document of keys only doesn't count as ordinary. The
 Benjamini-Hochberg threshold over all tested runs of all documents, weighted by length because long runs
 can be told apart better, decides which are reported.
 """
@@ -37,6 +38,8 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 _SYMBOLS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+#: Letters of ordinary prose in 1,000, which count besides those of the documents.
+_PROSE = dict(zip(b"etaoinshrdlcumwfgypbvkjxqz", (127, 91, 82, 75, 70, 67, 63, 61, 60, 43, 40, 28, 28, 24, 24, 22, 20, 20, 19, 15, 10, 8, 2, 2, 1, 1), strict=True))
 _IN_RUN = np.zeros(256, bool)
 _IN_RUN[list(_SYMBOLS + b"+/_=-")] = True
 
@@ -61,11 +64,13 @@ def _chi2_tail(x: float, df: int) -> float:
 
 
 def inferred_alphabet(run: bytes) -> bytes:
-    """The alphabet of the encoding that a run seems to be in; empty for words and numbers."""
+    """The alphabet of the encoding that a run seems to be in; empty for numbers."""
     used = set(run)
     digits, lower, upper = (bool(used & set(x)) for x in (_SYMBOLS[52:], _SYMBOLS[26:52], _SYMBOLS[:26]))
-    if not digits or not (lower or upper):
+    if not (lower or upper):
         return b""
+    if not digits and used <= set(_SYMBOLS[:52]):
+        return _SYMBOLS[26:52] if not upper else _SYMBOLS[:26] if not lower else _SYMBOLS[:52]
     for alphabet in (b"0123456789abcdef", b"0123456789ABCDEF", _SYMBOLS[:26] + b"234567", _SYMBOLS[52:] + _SYMBOLS[26:52], _SYMBOLS[52:] + _SYMBOLS[:26], _SYMBOLS):
         if used <= set(alphabet):
             return alphabet
@@ -118,9 +123,36 @@ def _base(text: str, raw: bytes, point) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, float]], int]:
+def _tested(raw: bytes) -> list[tuple[int, bytes, bytes]]:
+    """Start, symbols and alphabet of the runs that may be keys."""
+    found = []
+    for start, end in _runs(raw, TESTED_CHARS):
+        run = raw[start:end].rstrip(b"=")
+        alphabet = inferred_alphabet(run)
+        if len(run) >= TESTED_CHARS and alphabet:
+            found.append((start, run, alphabet))
+    return found
+
+
+def ordinary_counts(text: str) -> np.ndarray:
+    """How often each byte of token symbols stands in a text outside the runs that may be keys."""
+    raw = text.encode("utf-8", "surrogatepass")
+    seen = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) * _IN_RUN
+    for _, run, _ in _tested(raw):
+        seen -= np.bincount(np.frombuffer(run, np.uint8), minlength=256)
+    return seen
+
+
+def frequencies(seen: np.ndarray) -> np.ndarray:
+    """Shares of bytes in ordinary text, of counts over documents and of fixed ones."""
+    own = np.bincount(np.frombuffer(_SYMBOLS, np.uint8), minlength=256) * 0.5
+    own[list(_PROSE)] += list(_PROSE.values())
+    return (seen + own) / (seen + own).sum()
+
+
+def scan(text: str, frequency: np.ndarray | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, float]], int]:
     """Base spans (start, kind, end), random-looking runs (start, end, p-value under ordinary text over its
-    length weight), and how many runs were tested."""
+    length weight), and how many runs were tested. frequency: of ordinary text, by default of this one."""
     raw = text.encode("utf-8", "surrogatepass")
     points = None
 
@@ -133,20 +165,14 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, fl
         return int(points[at])
 
     base = _base(text, raw, point)
-    found, tested, frequency = [], 0, None
-    for start, end in _runs(raw, TESTED_CHARS):
-        run = raw[start:end].rstrip(b"=")
-        alphabet = inferred_alphabet(run)
-        if len(run) < TESTED_CHARS or not alphabet:
-            continue
+    found, tested = [], 0
+    for start, run, alphabet in _tested(raw):
         a, b = point(start), point(start + len(run))
         if any(s < b and a < e for s, _, e in base):
             continue
         tested += 1
         if frequency is None:
-            seen = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) * _IN_RUN
-            own = np.bincount(np.frombuffer(_SYMBOLS, np.uint8), minlength=256) * 0.5
-            frequency = (seen + own) / (seen + own).sum()
+            frequency = frequencies(ordinary_counts(text))
         if randomness(run, alphabet) >= RANDOM_P:
             weight = min(len(run) / 32, 4.0)
             found.append((a, b, min(text_p(run, frequency) / weight, 1.0)))
@@ -172,8 +198,11 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     docs: doc_id, text; further columns are ignored. Null and empty texts have no spans; repeated rows stay;
     an empty table gives no rows. Spans are kind:start:end in code points, end exclusive, by start, then kind,
-    comma-joined; base_sha256 is of the base ones. Each text is scanned whole, once; the scan's result, some
-    bytes a document, is kept in the shared folder, and the threshold comes from a small histogram of it.
+    comma-joined; base_sha256 is of the base ones. Each text is read whole, once for the frequencies of ordinary
+    text (256 sums) and once for the scan, whose result, some bytes a document, is kept in the shared folder; the
+    threshold comes from a small histogram of it. Runs of fewer than TESTED_CHARS symbols are not tested for
+    randomness: even 16 symbols without a repeat have a p-value of 0.02 after the length weight. Runs of little
+    more than that are found only if they repeat next to nothing.
     """
     span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
     run = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())])
@@ -183,7 +212,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
         for part in batches:
             rows = []
             for text in part.column(1):
-                base, runs, tested = scan(text.as_py())
+                base, runs, tested = scan(text.as_py(), frequency)
                 said = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in base)
                 rows.append((
                     [{"start": a, "kind": k, "end": b} for a, k, b in base],
@@ -194,7 +223,18 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([part.column(0), *batch(dict(zip(schema.names, cols, strict=True)), schema).columns], names=["doc_id", *schema.names])
 
+    def count_all(batches):
+        seen = np.zeros(256, np.int64)
+        for part in batches:
+            for text in part.column(0):
+                seen += ordinary_counts(text.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(seen)], names=["byte", "n"])
+
     source = texts(docs)
+    seen = np.zeros(256, np.int64)
+    for byte, n in source.select("text").mapInArrow(count_all, "byte bigint, n bigint").groupBy("byte").agg(F.sum("n")).collect():
+        seen[byte] = n
+    frequency = frequencies(seen)
     kind = "base array<struct<start:bigint,kind:int,end:bigint>>, base_sha256 string, runs array<struct<start:bigint,end:bigint,p:double>>, n_tested bigint"
     scanned = keep(source.mapInArrow(scan_all, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, {kind}"), "secrets")
     bound = _threshold(scanned)

@@ -156,6 +156,20 @@ def test_random_runs_are_found_and_words_are_not(spark):
     assert rows[0].spans in ("", f"random:{start}:{start + 64}")
 
 
+def test_keys_are_found_in_documents_of_keys_and_without_digits(spark):
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    key = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    pem = ["\n".join(key(letters + "0123456789+/", 64) for _ in range(26)) for _ in range(5)]
+    alone = [key(letters + "0123456789", 64) for _ in range(30)]
+    only_letters = ["the thing that was said in the town about it " + key(letters, 64) for _ in range(30)]
+    prose = ["the thing and other things that were said in the town about it " * 9 + "internationalisation_of_things internationalisationofthings" for _ in range(60)]
+    rows = {r.doc_id: r.n_random for r in secrets.find_secrets(documents(spark, pem + alone + only_letters + prose)).collect()}
+    assert sum(rows[i] for i in range(5)) >= 0.9 * 5 * 26
+    assert sum(rows[i] for i in range(5, 35)) >= 27 and sum(rows[i] for i in range(35, 65)) >= 27
+    assert not any(rows[i] for i in range(65, 125))
+
+
 def test_secrets_odd(spark):
     rows = {r.doc_id: r for r in secrets.find_secrets(odd(spark)).collect()}
     assert rows[len(ODD)].spans == "" and rows[len(ODD)].base_sha256 == hashlib.sha256(b"").hexdigest()
