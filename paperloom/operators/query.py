@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Settings
 from ..functions import lexicon as L
 from ..functions import text as T
+from ..llm.common import sized
+
+#: Sources or other small tables up to this number of rows are broadcast; with more, Spark joins without.
+BROADCAST_ROWS = 10_000
 
 
 def identifier(x: Column) -> Column:
@@ -112,7 +116,7 @@ def dispatch(parsed: DataFrame, sources: DataFrame) -> DataFrame:
     """query_id, source, action and argument: searches go to all sources, identifiers where they can be looked up.
 
     sources: source, has_doi, has_arxiv, has_pmid."""
-    both = parsed.crossJoin(F.broadcast(sources.limit(64)))
+    both = parsed.crossJoin(sized(sources, BROADCAST_ROWS))
     arxiv_doi = F.concat(F.lit("10.48550/arxiv."), F.col("identifier"))
     action = (
         F.when(F.col("intent") != "identifier", F.lit("search"))

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..functions import lexicon as L
 from ..functions import text as T
+from ..llm.common import sized
 from ..operators import clusters, dedupe, entities, export, metrics, query, rank, store, summaries
+from ..operators.query import BROADCAST_ROWS
 from ..sources import records as R
 from . import oracle as O
 from .views import judged, papers, queries, records, table, users
@@ -301,7 +303,7 @@ def q09_dispatch(s, d):
 @registered(f"with {_TOP} select item_id as query_id, a.source, case when count(pos) > 0 then 'ok' else 'empty' end as status, cast(count(pos) as int) as returned from (select item_id, source from benchmark, (select distinct source from documents)) a left join top t on t.query_id = item_id and t.source = a.source group by all")
 def q11_source_reports(s, d):
     found = query.limit_per_source(query.retrieve(query.keywords(queries(s, d)), table(s, d, "documents")), DEFAULTS.limit_per_source)
-    asked = queries(s, d).select("query_id").crossJoin(F.broadcast(table(s, d, "documents").select("source").distinct().limit(1000)))
+    asked = queries(s, d).select("query_id").crossJoin(sized(table(s, d, "documents").select("source").distinct(), BROADCAST_ROWS))
     return query.source_reports(asked, found)
 
 
@@ -409,7 +411,7 @@ def r08_semantic_hash(s, d):
 def r08_semantic_vec(s, d):
     v = table(s, d, "embeddings")
     first = v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("e"))
-    return v.join(F.broadcast(first.limit(10_000)), "label").select("label", "vec_id", (F.round(rank.dot(F.col("embedding"), F.col("e")), 6) + 0).alias("semantic"))
+    return v.join(sized(first, BROADCAST_ROWS), "label").select("label", "vec_id", (F.round(rank.dot(F.col("embedding"), F.col("e")), 6) + 0).alias("semantic"))
 
 
 @registered(

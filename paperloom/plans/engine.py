@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions import text as T
+from ..llm.common import sized
 from ..operators import backfill, clusters, dedupe, entities, export, metrics, query, rank, store, summaries
 
 
@@ -62,7 +63,7 @@ class Engine:
         corpus = self.papers.select(F.col("id").alias("doc_id"), "source", F.concat_ws(" ", "title", "abstract").alias("text"))
         found = query.retrieve(words, corpus).unionByName(self._lookups(parsed))
         found = query.limit_per_source(found, most).persist()  # at most limit x sources rows a query; reports read it too
-        asked = parsed.select("query_id").crossJoin(F.broadcast(self.sources.select("source").limit(1000)))
+        asked = parsed.select("query_id").crossJoin(sized(self.sources.select("source"), query.BROADCAST_ROWS))
         reports = query.source_reports(asked, found)
         merged = query.interleave(found, F.col("source")).select("query_id", F.col("doc_id").alias("id"), F.col("merged_pos").cast("int").alias("pos"))
         rows = merged.join(self.papers.drop("pos", "query_id"), "id").persist()

@@ -2,6 +2,7 @@
 
 import pytest
 from conftest import SMALL, plain
+from pyspark.sql import functions as F
 
 from paperloom.plans import catalogue
 
@@ -33,3 +34,13 @@ def test_made_summaries_take_the_next_id_over_gaps(spark, tmp_path):
     got = {r.doc_id: r.summary for r in catalogue._made(spark, str(tmp_path)).collect()}
     following = dict(zip([i for i, _ in rows], [*[i for i, _ in rows][1:], 300], strict=True))
     assert len(got) == 7 and all(got[i].startswith(f"text number {n}") for i, n in following.items())
+
+
+def test_all_sources_and_labels_are_answered(spark, tmp_path):
+    docs = spark.range(1200).select(F.col("id").alias("doc_id"), F.lit("gene editing").alias("text"), F.concat(F.lit("host"), "id").alias("source"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "gene editing")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert catalogue.QUERIES["q11_source_reports"](spark, str(tmp_path)).count() == 1200
+    vectors = spark.range(10_500).select(F.col("id").alias("vec_id"), F.col("id").alias("label"), F.array(F.lit(1.0)).alias("embedding"))
+    vectors.write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert catalogue.QUERIES["r08_semantic_vec"](spark, str(tmp_path)).count() == 10_500

@@ -175,3 +175,11 @@ def test_order_of_rows_does_not_matter(spark):
     p = papers(spark, SMALL).select("doc_id", "title", "abstract")
     a, b = (sorted(map(tuple, summaries.extractive(x).collect())) for x in (p, p.orderBy(F.desc("doc_id"))))
     assert a == b
+
+
+def test_dispatch_reaches_every_source(spark, monkeypatch):
+    asked = query.parse(spark.createDataFrame([("a", "CRISPR")], "query_id string, raw string"))
+    sources = spark.range(70).select(F.concat(F.lit("s"), "id").alias("source"), *[F.lit(True).alias(f"has_{k}") for k in ("doi", "arxiv", "pmid")])
+    assert query.dispatch(asked, sources).select("source").distinct().count() == 70
+    monkeypatch.setattr(query, "BROADCAST_ROWS", 10)  # beyond the bound of a broadcast nothing is lost either
+    assert query.dispatch(asked, sources).select("source").distinct().count() == 70
