@@ -1,13 +1,23 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-For the toxic and for the ordinary labelled documents a bigram model over words is estimated. All counts of
-words, and of pairs met in toxic documents, hold in both classes, less an absolute discount; the mass set
-free goes to backoff counts that both classes share, from the number of different contexts of a word, as in
-Kneser-Ney smoothing, so that rare expressions speak for neither class. A document's score compares the two
-log-likelihoods, normalised by its length, through a logistic calibration.
-
-The counts stay a table. Up to MODEL_ENTRIES of them are broadcast to the documents; beyond that the documents'
-distinct pairs are joined with the whole table, with the same scores.
+For the toxic and for the ordinary labelled documents a model over words is estimated, whose context is the
+class. As in Kneser-Ney smoothing it counts contexts, not occurrences: N_c(w) is the number of different
+documents of class c that hold w, so that a word repeated all over one document counts once. With the absolute
+discounts D_c (from the counts of counts) and the mass m_c that they set free,
+
+    p_c(w) = (N_c(w) - D_c(N_c(w))) / N_c + m_c * p(w),    p(w) = (N_0(w) + N_1(w) + 1/2) / (N + (V + 1) / 2),
+
+where the backoff counts behind p are shared by both classes, so that rare expressions speak for neither. Toxic
+documents are ordinary text with toxic expressions, so their words come from p_1 with a share of SHARE and from
+p_0 else. A document's score compares the two log-likelihoods, normalised by its length,
+
+    x = (log p(text | toxic) - log p(text | ordinary)) / (words + PRIOR_WORDS),
+
+through one monotone calibration, a logistic of the signed square root of x.
+
+Every count holds at every size. The values of the HOT_WORDS words that most documents hold are broadcast (16
+bytes each); the other words of a document are joined with the table of all values. No word of that join stands
+in many documents, as those that do are among the broadcast ones.
 """
 
 from __future__ import annotations
@@ -15,6 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,301 +33,219 @@ from .common import CACHE_WORDS, batch, keep, sized, texts
 
 #: The discount where counts of counts give none.
 DISCOUNT = 0.75
-#: A word speaks for toxicity if its log-likelihood ratio is at least this.
-STRONG = 3.0
-#: One in so many labelled documents is kept from the counts and used for the four numbers of the calibration,
+#: Share of a toxic document's words that the toxic model gives, and words without evidence added to each length.
+#: Chosen by five inner folds of the rows outside the held-out fold.
+SHARE, PRIOR_WORDS = 0.003, 40
+#: One in so many labelled documents is kept from the counts and used for the two numbers of the calibration,
 #: of which no more than about FIT_ROWS.
 CALIBRATE = 5
 FIT_ROWS = 50_000
-#: Words and pairs up to this number (8 + 8 bytes each) are broadcast; with more, documents are joined with them.
-MODEL_ENTRIES = 2_000_000
-
+#: At most so many words are broadcast.
+HOT_WORDS = 1 << 18
 #: Labels up to this number (12 bytes each) are broadcast to the documents; with more, texts are shuffled.
-JOIN_ROWS = 2_000_000
-#: Parts that a word's documents are dealt to in the join with the model.
-SALTS = 8
+JOIN_ROWS = 1_000_000
 
 _FOLD = bytes(ord(chr(i).lower()) if chr(i).isalpha() else 32 for i in range(128)) + bytes(range(128, 256))
-_PAIR = np.uint64(0x9E3779B97F4A7C15)
-_MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 class _Words(dict):
-    """64-bit hashes of words as unsigned integers."""
+    """64-bit hashes of words as signed integers."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        value = self[word] = value - ((value >> 63) << 64)
         return value
 
 
 def words(text: str, cache: _Words) -> np.ndarray:
     """Hashes of a text's words: runs of letters, ASCII ones in lower case."""
     found = text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
-    return np.fromiter(map(cache.__getitem__, found), np.uint64, len(found))
-
-
-def pairs(w: np.ndarray) -> np.ndarray:
-    """Hashes of neighbouring words."""
-    x = w[:-1] * _PAIR + w[1:]
-    x ^= x >> np.uint64(31)
-    return x * _MIX
-
-
-def _context(w: np.ndarray) -> np.ndarray:
-    """The class of each word as a context, as one bit of 64."""
-    return np.uint64(1) << (w >> np.uint64(58))
-
-
-def contexts(mask: Column) -> Column:
-    """An estimate of how many contexts left a mask: linear counting over its 64 bits."""
-    return -64 * F.log(1 - F.least(F.bit_count(mask).cast("double"), F.lit(63.5)) / 64)
+    return np.fromiter(map(cache.__getitem__, found), np.int64, len(found))
 
 
-def _grouped(key: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with their counts and joined masks."""
-    order = np.argsort(key)
-    key, mask = key[order], mask[order]
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    return key[first], np.diff(np.append(first, len(key))), np.bitwise_or.reduceat(mask, first)
-
-
-_COUNTS = pa.schema([("level", pa.int8()), ("label", pa.int8()), ("key", pa.int64()), ("n", pa.int64()), ("mask", pa.int64())])
-_COUNTS_KIND = "level tinyint, label tinyint, key bigint, n bigint, mask bigint"
 #: Words after which a task hands on its counts; bounds its memory.
 _FLUSH = 2_000_000
+_COUNTS = pa.schema([(c, pa.int64()) for c in ("word", "n0", "n1", "n")])
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """Counts and context masks by level (1 words, 2 pairs), class and key. Sums by key in Spark; a task hands on partial sums."""
+    """word, and how many ordinary, toxic and all texts hold it. rows: text, label (0, 1 or null). Sums by word in
+    Spark; a task hands on partial sums."""
 
     def run(batches):
         cache = _Words()
-        held: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: list[tuple[np.ndarray, int]] = []
         count = 0
 
         def flush():
-            for (level, label), parts in held.items():
-                key, n, mask = _grouped(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-                yield batch({"level": np.full(len(key), level, np.int8), "label": np.full(len(key), label, np.int8), "key": key.view(np.int64), "n": n, "mask": mask.view(np.int64)}, _COUNTS)
+            word = np.concatenate([w for w, _ in held])
+            label = np.repeat(np.array([c for _, c in held], np.int8), [len(w) for w, _ in held])
+            order = np.argsort(word)
+            word, label = word[order], label[order]
+            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            sums = [np.add.reduceat((label == c).astype(np.int64), first) for c in (0, 1)]
             held.clear()
+            return batch(dict(zip(_COUNTS.names, (word[first], *sums, np.diff(np.append(first, len(word)))), strict=True)), _COUNTS)
 
         for part in batches:
             for text, label in zip(part.column(0), part.column(1).to_pylist(), strict=True):
-                w = words(text.as_py(), cache)
-                if not len(w):
-                    continue
-                count += len(w)
-                before = _context(np.concatenate((np.zeros(1, np.uint64), w[:-1])))
-                held.setdefault((1, label), []).append((w, before))
-                if len(w) > 1:
-                    held.setdefault((2, label), []).append((pairs(w), before[:-1]))
+                w = np.unique(words(text.as_py(), cache))
+                if len(w):
+                    held.append((w, 2 if label is None else label))
+                    count += len(w)
                 if count >= _FLUSH:
-                    yield from flush()
+                    yield flush()
                     count = 0
-        yield from flush()
+        if held:
+            yield flush()
+
+    counts = rows.select("text", F.col("label").cast("tinyint")).mapInArrow(run, "word bigint, n0 bigint, n1 bigint, n bigint")
+    return counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "n")])
 
-    counts = rows.select("text", F.col("label").cast("tinyint").alias("label")).mapInArrow(run, _COUNTS_KIND)
-    return counts.groupBy("level", "key").agg(
-        *[F.coalesce(F.sum(F.when(F.col("label") == c, F.col("n"))), F.lit(0)).alias(f"n{c}") for c in (0, 1)], F.bit_or("mask").alias("mask")
-    ).where("level = 1 or n1 > 0")
 
+def discounts(met: dict[int, int]) -> list[float]:
+    """The discounts of counts of 1, 2 and more, from how many words have the counts 1 to 4 (modified Kneser-Ney)."""
+    if not all(met.get(k) for k in (1, 2, 3, 4)):
+        return [DISCOUNT] * 3
+    y = met[1] / (met[1] + 2 * met[2])
+    return [min(max(k - (k + 1) * y * met[k + 1] / met[k], 0.0), float(k)) for k in (1, 2, 3)]
 
-def _among(known: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of keys among sorted known ones, and whether they are there."""
-    if not len(known):
-        return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
-    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-    return at, known[at] == key
 
+class Model:
+    """Of each word value, log(1 - SHARE + SHARE * p_1 / p_0), and the calibration.
 
-def _summed(strong: float, total: float, n: int) -> list[float]:
-    return [float(np.log1p(strong)), float(np.log1p(100 * strong / n)), float(np.clip(total / n, -3, 3))] if n else [0.0, 0.0, 0.0]
+    table: word and value of all words that a labelled text holds; hot, hot_values: those of the commonest words in
+    all texts, sorted by word; rest: the value of a word that no labelled text holds."""
 
+    def __init__(self, table: DataFrame | None, hot: np.ndarray, hot_values: np.ndarray, rest: float):
+        self.table, self.hot, self.hot_values, self.rest = table, hot, hot_values, rest
+        self.offset, self.slope = -2.0, 20.0
 
-class Model:
-    """Log-likelihood ratios of words, and of pairs with toxic evidence, and the calibration.
-
-    table: level, key and ratio of all of them. If there are no more than MODEL_ENTRIES, they are held as sorted
-    arrays too, and the table is None."""
-
-    def __init__(self, table: DataFrame | None, rest: float):
-        self.table, self.rest = table, rest
-        self.weights = np.array([-2.0, 1.0, 1.0, 0.2])
-        self.keys = self.pair_keys = np.empty(0, np.uint64)
-        self.ratio = self.pair_ratio = np.empty(0)
-        if table is not None and table.count() <= MODEL_ENTRIES:
-            self.keys, self.ratio = self._held(1)
-            self.pair_keys, self.pair_ratio = self._held(2)
-            self.table = None
-
-    def _held(self, level: int) -> tuple[np.ndarray, np.ndarray]:
-        got = self.table.where(F.col("level") == level).select("key", "ratio").toArrow()
-        key = got.column("key").to_numpy().astype(np.int64).view(np.uint64)
-        order = np.argsort(key)
-        return key[order], got.column("ratio").to_numpy()[order]
-
-    def __getstate__(self):
-        return self.__dict__ | {"table": None}
-
-    def ratios(self, w: np.ndarray) -> np.ndarray:
-        """log p(word | context, toxic) - log p(word | context, ordinary) of each word."""
-        at, known = _among(self.keys, w)
-        out = np.where(known, self.ratio[at], self.rest) if len(self.keys) else np.full(len(w), self.rest)
-        if len(w) > 1 and len(self.pair_keys):
-            at, known = _among(self.pair_keys, pairs(w))
-            out[1:] = np.where(known, self.pair_ratio[at], out[1:])
-        return out
-
-    def inputs(self, w: np.ndarray) -> list[float]:
-        """Length-normalised comparison: strong evidence in all, by length, and the mean ratio."""
-        r = self.ratios(w)
-        return _summed(float(r[r >= STRONG].sum()), float(r.sum()), len(w))
-
-    def score(self, inputs: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.weights[0] + inputs @ self.weights[1:], -700, 700)))
-
-    def calibrate(self, inputs: np.ndarray, label: np.ndarray) -> None:
-        """Logistic regression with a small ridge, by Newton steps."""
+    def calibrate(self, x: np.ndarray, label: np.ndarray) -> None:
+        """Logistic regression of the signed square root with a small ridge, by Newton steps; never falling."""
         if not len(label) or label.min() == label.max():
             return
-        x = np.column_stack((np.ones(len(label)), inputs))
-        ridge = np.diag([1e-3, 0.1, 0.1, 0.1])
-        w = np.zeros(4)
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (label - p) - ridge @ w)
+        z = np.sign(x) * np.sqrt(np.abs(x))
+        scale = float(z.std()) or 1.0
+        rows = np.column_stack((np.ones(len(z)), z / scale))
+        w = np.zeros(2)
+        for _ in range(200):
+            p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
+            step = np.linalg.solve((rows * (p * (1 - p))[:, None]).T @ rows + np.eye(2) * 1e-3, rows.T @ (label - p) - 1e-3 * w)
             w = w + np.clip(step, -5, 5)
             if np.abs(step).max() < 1e-8:
                 break
-        self.weights = w
+        self.offset, self.slope = float(w[0]), max(float(w[1]), 0.0) / scale
+
+    def score(self, x: Column) -> Column:
+        z = self.offset + F.signum(x) * F.sqrt(F.abs(x)) * self.slope
+        return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(700.0)), F.lit(-700.0))))
 
 
-def _discounts(counts: DataFrame) -> dict[tuple[int, int], list[float]]:
-    """By level and class, the discounts of counts of 1, 2 and more, from the counts of counts (modified Kneser-Ney)."""
-    own = [F.count_if(F.col(f"n{c}") == k).alias(f"c{c}_{k}") for c in (0, 1) for k in (1, 2, 3, 4)]
-    out = {(level, c): [DISCOUNT] * 3 for level in (1, 2) for c in (0, 1)}
-    for r in counts.groupBy("level").agg(*own).collect():
-        for c in (0, 1):
-            met = [r[f"c{c}_{k}"] for k in (1, 2, 3, 4)]
-            if all(met):
-                y = met[0] / (met[0] + 2 * met[1])
-                out[r["level"], c] = [min(max(k - (k + 1) * y * met[k] / met[k - 1], 0.0), float(k)) for k in (1, 2, 3)]
-    return out
+def _least_hot(counts: DataFrame) -> int:
+    """The least number of texts from which on a word is broadcast, so that HOT_WORDS words are at most."""
+    # An eighth of a power of two a class: a few hundred of them, whatever the counts.
+    at = F.floor(F.log2("n") * 8).alias("k")
+    best = total = None
+    for k, number, least in sorted(counts.groupBy(at).agg(F.count(F.lit(1)), F.min("n")).collect(), reverse=True):
+        total = (total or 0) + number
+        if total > HOT_WORDS:
+            break
+        best = least
+    return (1 << 62) if best is None else best
 
 
 def fit(rows: DataFrame) -> Model:
-    """The model of labelled rows (text, label 0 or 1), from all counts over all of them."""
+    """The model of rows (text, label 0, 1 or null), from all counts over all of them."""
     counts = keep(_counted(rows), "counts")
-    less = _discounts(counts)
-    shared = contexts(F.col("mask")) + 0.5
-
-    def discounted(c: int) -> Column:
-        n = F.col(f"n{c}")
-        of = lambda d: F.when(n > 2, n - d[2]).when(n > 1, n - d[1]).when(n > 0, n - d[0]).otherwise(0.0)
-        return F.when(F.col("level") == 1, of(less[1, c])).otherwise(of(less[2, c]))
-
-    held = [discounted(c) for c in (0, 1)]
-    words_of = counts.where("level = 1")
-    got = words_of.agg(
-        F.sum(shared).alias("shared"), *[f(c).alias(f"{name}{c}") for c in (0, 1) for name, f in (("n", lambda c: F.sum(f"n{c}")), ("types", lambda c: F.count_if(F.col(f"n{c}") > 0)), ("held", lambda c: F.sum(held[c])))]
-    ).first()
-    if not (got["n0"] and got["n1"]):
-        return Model(None, 0.0)
-    shared_all = got["shared"] + got["types0"] + got["types1"]
-    free = [max(1 - got[f"held{c}"] / got[f"n{c}"], 1e-3) for c in (0, 1)]
-    # In either class a pair's share among all pairs, discounted, backs off to what the class gives its
-    # second word; without its words at hand that is taken up by the free mass of shared counts.
-    flat = shared_all + counts.where("level = 2").count()
-    p = [held[c] / float(got[f"n{c}"]) + F.when(F.col("level") == 1, free[c] * shared / shared_all).otherwise(free[c] / flat) for c in (0, 1)]
-    table = keep(counts.select("level", "key", (F.log(p[1]) - F.log(p[0])).alias("ratio")), "model")
-    return Model(table, float(np.log(free[1]) - np.log(free[0])))
-
-
-def _joined(docs: DataFrame, model: Model, extra: list[str]) -> DataFrame:
-    """The inputs x of texts and the extra columns, by a join of the texts' distinct pairs with the whole model.
-
-    Texts go by two hashes. A text that stands in several rows sends its pairs as often; sums are divided by that."""
-    hashes = {"_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.lit(1), "text")}
-    schema = pa.schema([(c, pa.int64()) for c in ("_h1", "_h2", "word", "pair", "n", "copies")])
+    known = F.col("n0") + F.col("n1") > 0
+    asked = [F.sum("n0").alias("all0"), F.sum("n1").alias("all1"), F.count_if(known).alias("words")]
+    asked += [F.count_if(F.col(f"n{c}") == k).alias(f"c{c}_{k}") for c in (0, 1) for k in (1, 2, 3, 4)] + [F.count_if(F.col(f"n{c}") > 2).alias(f"more{c}") for c in (0, 1)]
+    got = counts.agg(*asked).first()
+    if not (got["all0"] and got["all1"]):
+        return Model(None, np.empty(0, np.int64), np.empty(0), 0.0)
+    shared = (F.col("n0") + F.col("n1") + 0.5) / (got["all0"] + got["all1"] + 0.5 * (got["words"] + 1))
+    p, free = [], []
+    for c in (0, 1):
+        d = discounts({k: got[f"c{c}_{k}"] for k in (1, 2, 3, 4)})
+        n, total = F.col(f"n{c}"), got[f"all{c}"]
+        less = F.when(n > 2, d[2]).when(n > 1, d[1]).when(n > 0, d[0]).otherwise(0.0)
+        free.append(max((d[0] * got[f"c{c}_1"] + d[1] * got[f"c{c}_2"] + d[2] * got[f"more{c}"]) / total, 1e-3))
+        p.append((n - less) / total + free[c] * shared)
+    value = F.log(1 - SHARE + SHARE * p[1] / p[0])
+    hot = counts.where(F.col("n") >= _least_hot(counts)).select("word", value.alias("value")).toArrow()
+    word = hot.column("word").to_numpy().astype(np.int64)
+    order = np.argsort(word)
+    return Model(counts.where(known).select("word", value.alias("value")), word[order], hot.column("value").to_numpy()[order], float(np.log(1 - SHARE + SHARE * free[1] / free[0])))
+
+
+def _parts(docs: DataFrame, model: Model, extra: list[str]) -> DataFrame:
+    """Of each row the extra columns, a number of its own, its words, the sum of its hot words' values and, with their
+    counts, its other words."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.hot, model.hot_values))
+    schema = pa.schema([("row", pa.int64()), ("n", pa.int64()), ("total", pa.float64()), ("others", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
 
     def run(batches):
+        hot, values = shared.value
         cache = _Words()
+        row = TaskContext.get().partitionId() << 40
         for part in batches:
-            for h1, h2, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
-                w = words(text.as_py(), cache)
-                if not len(w):
-                    continue
-                key, first, n = np.unique(pairs(w), return_index=True, return_counts=True)
-                more = len(key)
-                # The first word has no pair; each other word goes with the pair that it ends.
-                yield batch({
-                    "_h1": [h1] * (more + 1), "_h2": [h2] * (more + 1), "word": np.concatenate((w[:1], w[1:][first])).view(np.int64),
-                    "pair": [None, *key.view(np.int64).tolist()], "n": [1, *n.tolist()], "copies": [1] + [0] * more,
-                }, schema)
-
-    cells = docs.select(*[c.alias(k) for k, c in hashes.items()], "text").mapInArrow(run, "_h1 long, _h2 long, word long, pair long, n long, copies long")
-    # A common word is met in many texts: its cells are dealt over salts, and the model's rows stand under each.
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    ratio = lambda level, name: model.table.where(F.col("level") == level).select(F.col("key").alias(name), F.col("ratio").alias(f"r_{name}"), salts)
-    cells = cells.withColumn("salt", F.pmod(F.col("_h1"), F.lit(SALTS)).cast("int"))
-    cells = cells.join(ratio(2, "pair"), ["pair", "salt"], "left").join(ratio(1, "word"), ["word", "salt"], "left")
-    r = F.coalesce("r_pair", "r_word", F.lit(model.rest)) * F.col("n")
-    sums = cells.groupBy("_h1", "_h2").agg(F.sum(F.when(r >= STRONG * F.col("n"), r).otherwise(0.0)).alias("_strong"), F.sum(r).alias("_total"), F.sum("n").alias("_n"), F.sum("copies").alias("_copies"))
-    n, strong = F.col("_n") / F.col("_copies"), F.col("_strong") / F.col("_copies")
-    x = F.array(F.log1p(strong), F.log1p(100 * strong / n), F.greatest(F.least(F.col("_total") / F.col("_n"), F.lit(3.0)), F.lit(-3.0)))
-    met = docs.select(*extra, *[c.alias(k) for k, c in hashes.items()]).join(sums, list(hashes), "left")
-    return met.select(F.when(F.col("_n").isNull(), F.array(*[F.lit(0.0)] * 3)).otherwise(x).alias("x"), *extra)
-
-
-def _apply(docs: DataFrame, model: Model, calibrated: bool, extra: list[str]) -> DataFrame:
-    """doc_id, text's inputs or score, and the extra columns."""
-    if model.table is not None:
-        found = _joined(docs, model, extra)
-        z = F.lit(float(model.weights[0])) + sum(F.col("x")[i] * float(a) for i, a in enumerate(model.weights[1:]))
-        return found.select((1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(700.0)), F.lit(-700.0))))).alias("score"), *extra) if calibrated else found
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = "score" if calibrated else "x"
-
-    def run(batches):
-        cache = _Words()
-        for part in batches:
-            x = np.array([shared.value.inputs(words(t.as_py(), cache)) for t in part.column(0)]).reshape(part.num_rows, 3)
-            found = pa.array(shared.value.score(x), pa.float64()) if calibrated else pa.array(x.tolist(), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([found, *part.columns[1:]], names=[out, *extra])
+            made = []
+            for text in part.column(0):
+                w, n = np.unique(words(text.as_py(), cache), return_counts=True)
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot, w), len(hot) - 1)
+                    met = hot[at] == w
+                    made.append((row, int(n.sum()), float((values[at[met]] * n[met]).sum()), w[~met], n[~met]))
+                else:
+                    made.append((row, int(n.sum()), 0.0, w, n))
+                row += 1
+            cols = list(zip(*made, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], *batch(dict(zip(schema.names, cols, strict=True)), schema).columns], names=[*extra, *schema.names])
 
     source = docs.select("text", *extra)
-    kinds = "".join(f", {c} {source.schema[c].dataType.simpleString()}" for c in extra)
-    return source.mapInArrow(run, f"{out} {'double' if calibrated else 'array<double>'}{kinds}")
+    kinds = "".join(f"{c} {source.schema[c].dataType.simpleString()}, " for c in extra)
+    return keep(source.mapInArrow(run, kinds + "row bigint, n bigint, total double, others array<bigint>, times array<bigint>"), "words")
+
+
+def compared(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id and x, the length-normalised comparison, of each row (doc_id, text). Written to the shared folder."""
+    if model.table is None:
+        return docs.select("doc_id", F.lit(0.0).alias("x"))
+    parts = _parts(docs, model, ["doc_id"])
+    others = parts.select("row", F.explode(F.arrays_zip("others", "times")).alias("o")).select("row", F.col("o.others").alias("word"), F.col("o.times").alias("times"))
+    # Words that the table lacks have the value of rest, which the sum below gives all of them.
+    sums = others.join(model.table, "word").groupBy("row").agg(F.sum((F.col("value") - model.rest) * F.col("times")).alias("more"))
+    unseen = F.aggregate("times", F.lit(0).cast("bigint"), lambda a, t: a + t) * model.rest
+    rows = parts.select("row", "doc_id", "n", (F.col("total") + unseen).alias("total")).join(sums, "row", "left")
+    return keep(rows.select("doc_id", ((F.col("total") + F.coalesce("more", F.lit(0.0))) / (F.col("n") + PRIOR_WORDS)).alias("x")), "compared")
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, threshold: float = 0.3) -> DataFrame:
     """Per document: doc_id, held_out, score (toxic likelier if higher) and predicted (score >= threshold).
 
     docs: doc_id, text; labels: doc_id, toxic; further columns are ignored. Counts come from all labelled
-    rows outside the held-out fold but one in CALIBRATE, by a hash of doc_id, on which the calibration's four
+    rows outside the held-out fold but one in CALIBRATE, by a hash of doc_id, on which the calibration's two
     numbers are fitted. Label, lang, source and doc_id are no inputs. Null and empty texts have no words and get the
-    score of no evidence; a null doc_id has no fold (held_out false); repeated rows and labels count each.
+    score of no evidence (x = 0); a null doc_id has no fold (held_out false); repeated rows and labels count each.
     Without labels of both classes every document gets the score of no evidence. An empty table gives no
-    rows. Counts are summed by key with partial sums in each task and none is left out; a model of more than
-    MODEL_ENTRIES words and pairs is not broadcast but joined.
+    rows. Counts are summed by word with partial sums in each task and none is left out.
     """
     source = texts(docs)
     known = labels.select("doc_id", F.col("toxic").alias("label")).where("label in (0, 1) and doc_id is not null")
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != held)
     known = keep(known.select("doc_id", F.col("label").cast("int").alias("label")), "toxic")
-    rows = source.join(sized(known, JOIN_ROWS), "doc_id")
     apart = F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATE)) == 0
-    model = fit(rows.where(~apart))
+    model = fit(source.join(sized(known.where(~apart), JOIN_ROWS), "doc_id", "left"))
+    found = compared(source, model)
     number = known.where(apart).count()
-    some = rows.where(apart)
+    some = known.where(apart)
     if number > FIT_ROWS:
         some = some.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(1_000_000 * FIT_ROWS / number))
-    got = _apply(some.select("text", F.col("label").cast("int").alias("label")), model, False, ["label"]).toArrow()
-    if got.num_rows:
-        x = np.array(got.column("x").to_pylist())
-        model.calibrate(x, got.column("label").to_numpy().astype(float))
+    got = found.join(F.broadcast(some), "doc_id").select("x", "label").toArrow()
+    model.calibrate(got.column("x").to_numpy().astype(float), got.column("label").to_numpy().astype(float))
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held, F.lit(False))
-    scored = _apply(source, model, True, ["doc_id"])
-    return scored.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    score = model.score(F.col("x"))
+    return found.select("doc_id", fold.alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"))

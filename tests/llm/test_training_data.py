@@ -1,8 +1,11 @@
 """The training-data operators against brute force, round trips, held-out accuracy, and on odd input."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -229,16 +232,54 @@ def test_classifiers_on_the_table(spark):
         assert sum(p == y for p, y in rows) >= least * len(rows)
 
 
-def test_toxicity_keeps_all_counts_at_every_size(spark, monkeypatch):
-    rows = [("dumb old goat they said", 1)] * 4 + [(f"a fine day number {c} in town", 0) for c in "abcdefgh"]
-    table = spark.createDataFrame(rows, "text string, label int")
-    model = toxicity.fit(table)
-    cache = toxicity._Words()
-    # Each word of a fixed phrase has one context only; its count holds all the same.
-    assert (model.ratios(toxicity.words("dumb old goat", cache)) > 2).all()
+def brute_values(rows):
+    """Of each word log(p(word | toxic) / p(word | ordinary)) of the two models, and that of a word never seen."""
+    n = [Counter(w for t, y in rows if y == c for w in set(re.findall("[a-z]+", t))) for c in (0, 1)]
+    whole = [sum(x.values()) for x in n]
+    kinds = set(n[0]) | set(n[1])
+    shared = lambda w: (n[0][w] + n[1][w] + 0.5) / (sum(whole) + 0.5 * (len(kinds) + 1))
+    less, free = [], []
+    for c in (0, 1):
+        met = Counter(n[c].values())
+        d = [0.75] * 3
+        if all(met[k] for k in (1, 2, 3, 4)):
+            y = met[1] / (met[1] + 2 * met[2])
+            d = [min(max(k - (k + 1) * y * met[k + 1] / met[k], 0), k) for k in (1, 2, 3)]
+        less.append(lambda k, d=d: d[min(k, 3) - 1] if k else 0)
+        free.append(max(sum(less[c](k) for k in n[c].values()) / whole[c], 1e-3))
+    p = lambda w, c: (n[c][w] - less[c](n[c][w])) / whole[c] + free[c] * shared(w)
+    share = lambda ratio: math.log(1 - toxicity.SHARE + toxicity.SHARE * ratio)
+    return {w: share(p(w, 1) / p(w, 0)) for w in kinds}, share(free[1] / free[0])
+
+
+@pytest.mark.parametrize("hot", [0, 7, 1 << 18])
+def test_toxicity_against_brute_force(spark, monkeypatch, hot):
+    rng = random.Random(15)
+    mild, rude = [a + b for a in "bcdfghklm" for b in "aeiou"], ["dumb", "old", "goat"]
+    rows = []
+    for _ in range(80):
+        w = [mild[min(int(rng.expovariate(0.12)), len(mild) - 1)] for _ in range(rng.randrange(1, 30))]
+        y = int(rng.random() < 0.3)
+        rows.append((" ".join(w + (rude if y else [])), y))
+    monkeypatch.setattr(toxicity, "HOT_WORDS", hot)
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, label int"))
+    assert len(model.hot) <= hot and (hot == 0) == (len(model.hot) == 0)
+    texts = [t for t, _ in rows[:20]] + ["", None, "never seen before", "dumb old goat", "never Dumb never dumb BA ba ba", "ba " * 5000]
+    got = {r.doc_id: r.x for r in toxicity.compared(toxicity.texts(documents(spark, texts)), model).collect()}
+    value, rest = brute_values(rows)
+    for i, t in enumerate(texts):
+        w = re.findall("[a-z]+", (t or "").lower())
+        assert abs(got[i] - sum(value.get(x, rest) for x in w) / (len(w) + toxicity.PRIOR_WORDS)) < 1e-12
+    # Every word of a fixed phrase counts, though it has few contexts and no ordinary word is as telling.
+    assert min(value[w] for w in rude) > max(value[w] for w in value if w not in rude)
+
+
+def test_toxicity_counts_whole_corpora_alike(spark, monkeypatch):
     docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
     whole = {r.doc_id: r.score for r in toxicity.classify(docs, labels).collect()}
-    monkeypatch.setattr(toxicity, "MODEL_ENTRIES", 10)
+    monkeypatch.setattr(toxicity, "HOT_WORDS", 10)
+    monkeypatch.setattr(toxicity, "JOIN_ROWS", 0)
+    monkeypatch.setattr(toxicity, "_FLUSH", 1000)
     joined = {r.doc_id: r.score for r in toxicity.classify(docs, labels).collect()}
     assert whole.keys() == joined.keys() and all(abs(whole[i] - joined[i]) < 1e-9 for i in whole)
 
