@@ -363,6 +363,57 @@ def test_parts_left_out_do_not_cut_the_article():
     assert htmlmain.extract(f"<body>{inside}{comments}</body>", weigh) == told
 
 
+def test_wrappers_do_not_lose_the_article():
+    told = ("word " * 120).strip()
+    for page in (
+        f"<body class='has-sidebar nav-open'><article><p>{told}</p></article>", f"<article class='post social-share-on'><p>{told}</p></article>", f"<main id='related-post'><p>{told}</p></main>",
+        f"<div class='content no-comments'><p>{told}</p></div>", f"<div id='share'><p>{told}</p></div>", f"<body id='search' class='comments-closed'><div class='with-sidebar'><p>{told}</p></div>",
+        f"<div class='widget'><article class='comment'><p>{told}</p></article></div><div class='sidebar'><p>{'side ' * 30}</p></div>",
+    ):
+        assert htmlmain.extract(page, {}) == told, page
+
+
+def test_a_marked_article_is_whole():
+    links = "<ul>" + "<li><a href='x'>See this</a></li>" * 40 + "</ul>"
+    page = f"<body><p>{'lead ' * 9}</p><article><header><h1>Head</h1></header>{links}<p>{'word ' * 99}</p>{links}</article><p>{'more ' * 9}</p></body>"
+    see = "\n".join(["See this"] * 40)
+    assert htmlmain.extract(page, {}) == f"Head\n{see}\n{('word ' * 99).strip()}\n{see}"
+
+
+def test_names_are_learned():
+    page = "<body><div class='wrap teaser-box'><p>" + "buy it " * 90 + "</p></div><article class='story'><div class='share text'><p>" + "word " * 80 + "</p></div><p>" + "more " * 40 + "</p><div class='share'>share</div></article></body>"
+    found = Counter()
+    for _ in range(9):
+        found.update(htmlmain.counts(page))
+    weigh = htmlmain.weights(found)
+    assert weigh["name", "teaser-box"] < htmlmain.APART_ODDS < 0 < weigh["name", "story"] and ("name", "share") not in weigh
+    # Learned from marked pages, used on one that marks nothing.
+    plain = "<body><div class='teaser-box'><p>" + "buy it " * 200 + "</p></div><div class='story'><p>" + "word " * 80 + "</p></div><div class='sidebar'><p>" + "side " * 300 + "</p></div></body>"
+    assert htmlmain.extract(plain, weigh) == ("word " * 80).strip()
+    assert "buy" in htmlmain.extract(plain, {})
+
+
+def test_best_run_against_brute_force():
+    rng = random.Random(17)
+    for _ in range(400):
+        steps = [(i, rng.choice([-3.0, -1.5, -0.5, 0.5, 1.0, 2.0, 4.0])) for i in range(rng.randrange(0, 14))]
+        first, last = htmlmain.best_run(steps)
+        sums = {(i, j): sum(x for _, x in steps[i : j + 1]) for i in range(len(steps)) for j in range(i, len(steps))}
+        best = max([0.0, *sums.values()])
+        assert best == (sums[first, last] if last >= 0 else 0.0)
+
+
+def test_unclosed_tags_take_linear_time():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        assert htmlmain.extract("<b>x <i>" * n + "<p>y</p></u>" * n, {}).startswith("x x")
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
 def test_main_text_of_the_table(spark):
     import html
     import re
