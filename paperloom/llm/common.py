@@ -22,9 +22,12 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and all run on one machine,
+    as in tests, a new one; on a cluster that is an error, since no local folder would be shared."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         where = "file://" + tempfile.mkdtemp(prefix="paperloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -51,7 +54,15 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._kept = path
+    return kept
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that keep() wrote, once all that is made of them has been kept itself."""
+    for df in tables:
+        _remove(df.sparkSession, df._kept)
 
 
 def texts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
