@@ -43,7 +43,7 @@ COUNT_ABBREVIATIONS = ["et al.", "e.g.", "i.e.", "vs.", "cf.", "Fig.", "approx."
 SPLIT_ABBREVIATIONS = ["et al.", "e.g.", "i.e.", "vs.", "cf.", "Fig.", "approx.", "ca."]
 
 # Prefixes of preprint DOIs.
-PREPRINT_PREFIXES = ["10.1101", "10.48550", "10.21203", "10.20944", "10.26434", "10.31234", "10.31235", "10.2139"]
+PREPRINT_PREFIXES = ["10.1101/", "10.48550/", "10.21203/", "10.20944/", "10.26434/", "10.31234/", "10.31235/", "10.2139/"]
 # Which source's record wins a merge.
 SOURCE_PRIORITY = {"pubmed": 3, "crossref": 2, "arxiv": 1}
 

@@ -13,6 +13,11 @@ from pyspark.sql.types import DoubleType
 from ..config import DEFAULTS, Settings
 from ..functions import lexicon as L
 from ..functions import text as T
+from ..tables import keep, release
+
+#: Parts that a block of titles is dealt to.
+SALTS = 8
+_PREPRINTS = tuple(L.PREPRINT_PREFIXES)
 
 
 def preprint_pair(doi_a: Column, doi_b: Column, title_a: Column, title_b: Column) -> Column:
@@ -36,69 +41,57 @@ def fuzzy_pairs(papers: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """query_id, left_id and right_id of different title keys that are nearly the same.
 
     Keys meet within blocks of equal first signs and are compared once each: equal keys are one row before
-    the join, and lengths are compared before the ratio. papers: query_id, id, title."""
+    the join. A ratio of r leaves at most (1 - r) * (both lengths) signs unmatched, so no pair with a greater edit
+    distance reaches the ratio; lengths are compared before that. A block's rows are dealt to SALTS parts, so that
+    many titles with one start don't meet in one task. papers: query_id, id, title."""
     keys = keyed(papers).where("key <> ''").groupBy("query_id", "key").agg(F.min("id").alias("id"))
     keys = keys.withColumn("block", F.left("key", F.lit(settings.block_prefix))).where(F.length("key") >= settings.block_prefix)
-    a, b = (keys.select("query_id", "block", F.col("id").alias(f"{side}_id"), F.col("key").alias(f"{side}_key")) for side in ("left", "right"))
+    salt = {"left": F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"), "right": F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))}
+    a, b = (keys.select("query_id", "block", salt[side].alias("salt"), F.col("id").alias(f"{side}_id"), F.col("key").alias(f"{side}_key")) for side in ("left", "right"))
     shorter, longer = (f(F.length("left_key"), F.length("right_key")) for f in (F.least, F.greatest))
-    near = a.join(b, ["query_id", "block"]).where((F.col("left_id") < F.col("right_id")) & (shorter >= longer * F.lit(settings.length_ratio)))
+    near = a.join(b, ["query_id", "block", "salt"]).where((F.col("left_id") < F.col("right_id")) & (shorter >= longer * F.lit(settings.length_ratio)))
+    unmatched = F.floor((shorter + longer) * F.lit(1 - settings.title_similarity) + F.lit(1e-9)).cast("int")
+    near = near.where(F.levenshtein("left_key", "right_key") <= unmatched)
     near = near.withColumn("ratio", _ratio("left_key", "right_key"))
     return near.where(F.col("ratio") >= settings.title_similarity).select("query_id", "left_id", "right_id")
 
 
-def _compatible(doi: str | None, key: str, members: list[tuple[str | None, str]]) -> bool:
-    """Whether a record's DOI speaks against none of a cluster's members."""
-    for other, other_key in members:
-        if doi is None or other is None or doi == other:
-            continue
-        preprint = any(d.startswith(p) for d in (doi, other) for p in L.PREPRINT_PREFIXES)
-        if not (preprint and key and key == other_key):
-            return False
-    return True
-
-
-class _Fold:
-    """Assigns records in order to the first cluster that they match; clusters are never merged."""
-
-    def __init__(self, settings: Settings):
-        self.settings = settings
-        self.members: list[list[tuple[str | None, str]]] = []
-        self.by_doi: dict[str, int] = {}
-        self.by_key: dict[str, int] = {}
-        self.by_block: dict[str, list[tuple[str, int]]] = {}
-
-    def place(self, doi: str | None, key: str) -> int:
-        at = self._match(doi, key)
+def _vetoes(doi: str | None, key: str, other: str | None, other_key: str) -> bool:
+    """Whether two DOIs speak against the same work: they differ, and are no preprint and its publication."""
+    if doi is None or other is None or doi == other:
+        return False
+    return key != other_key or not key or not (doi.startswith(_PREPRINTS) or other.startswith(_PREPRINTS))
+
+
+def _similar(key: str, other: str, settings: Settings) -> bool:
+    if not key or not other or min(len(key), len(other)) < settings.length_ratio * max(len(key), len(other)):
+        return False
+    return difflib.SequenceMatcher(None, key, other).ratio() >= settings.title_similarity
+
+
+def assign(records: list[tuple[str | None, str]], settings: Settings = DEFAULTS) -> list[int]:
+    """Clusters of records (doi, title key) in order of arrival; each goes to the first that one of these rules names:
+
+    the cluster of the first record with its DOI; that of the first record with its key, unless a member's DOI vetoes;
+    of the clusters with a member whose key begins alike, in the order in which they got one, the first without a veto
+    and with any member of a similar key; a new one."""
+    placed: list[tuple[str | None, str, int]] = []
+    clusters: list[list[tuple[str | None, str]]] = []
+    for doi, key in records:
+        at = next((c for d, _, c in placed if doi is not None and d == doi), None)
+        if at is None and key:
+            clear = lambda c: not any(_vetoes(doi, key, *m) for m in clusters[c])  # noqa: B023, E731
+            at = next((c for _, k, c in placed if k == key), None)
+            if at is None or not clear(at):
+                start = key[: settings.block_prefix]
+                alike = dict.fromkeys(c for _, k, c in placed if k and k[: settings.block_prefix] == start)
+                at = next((c for c in alike if clear(c) and any(_similar(key, k, settings) for _, k in clusters[c])), None)
         if at is None:
-            at = len(self.members)
-            self.members.append([])
-        self.members[at].append((doi, key))
-        if doi is not None:
-            self.by_doi.setdefault(doi, at)
-        if key:
-            self.by_key.setdefault(key, at)
-            block = self.by_block.setdefault(key[: self.settings.block_prefix], [])
-            if (key, at) not in block:
-                block.append((key, at))
-        return at
-
-    def _match(self, doi: str | None, key: str) -> int | None:
-        if doi is not None and doi in self.by_doi:
-            return self.by_doi[doi]
-        if not key:
-            return None
-        same = self.by_key.get(key)
-        if same is not None and _compatible(doi, key, self.members[same]):
-            return same
-        for other, at in self.by_block.get(key[: self.settings.block_prefix], ()):
-            if self._similar(key, other) and _compatible(doi, key, self.members[at]):
-                return at
-        return None
-
-    def _similar(self, a: str, b: str) -> bool:
-        if min(len(a), len(b)) < self.settings.length_ratio * max(len(a), len(b)):
-            return False
-        return difflib.SequenceMatcher(None, a, b).ratio() >= self.settings.title_similarity
+            at = len(clusters)
+            clusters.append([])
+        clusters[at].append((doi, key))
+        placed.append((doi, key, at))
+    return [c for _, _, c in placed]
 
 
 def greedy_clusters(papers: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -108,9 +101,8 @@ def greedy_clusters(papers: DataFrame, settings: Settings = DEFAULTS) -> DataFra
     papers: query_id, id, pos, doi, title."""
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        fold = _Fold(settings)
         rows = rows.sort_values(["pos", "id"])
-        rows["cluster"] = [fold.place(d if isinstance(d, str) else None, k) for d, k in zip(rows["doi"], rows["key"], strict=True)]
+        rows["cluster"] = assign([(d if isinstance(d, str) and d else None, k or "") for d, k in zip(rows["doi"], rows["key"], strict=True)], settings)
         return rows[["query_id", "id", "pos", "cluster"]]
 
     source = keyed(papers).select("query_id", "id", F.col("pos").cast("int").alias("pos"), "doi", "key")
@@ -118,25 +110,28 @@ def greedy_clusters(papers: DataFrame, settings: Settings = DEFAULTS) -> DataFra
     return source.groupBy("query_id").applyInPandas(fold, f"query_id {kinds['query_id']}, id {kinds['id']}, pos int, cluster int")
 
 
-def linked_clusters(papers: DataFrame, rounds: int = 20) -> DataFrame:
+def linked_clusters(papers: DataFrame) -> DataFrame:
     """query_id, id and cluster (the smallest id reachable) over equal DOIs and equal title keys without DOI conflict.
 
-    For record sets of any size: labels spread through DOI and title groups by aggregation, without pairs.
-    Unlike the fold it merges clusters that a later record connects."""
-    source = keyed(papers).select("query_id", "id", "doi", "key")
-    doi_of_key = Window.partitionBy("query_id", "key")
-    clear = (F.min("doi").over(doi_of_key).eqNullSafe(F.max("doi").over(doi_of_key))) & (F.col("key") != "")
-    state = source.withColumn("title_key", F.when(clear, F.col("key"))).withColumn("cluster", F.col("id"))
-    for _ in range(rounds):
-        before = state
+    For record sets of any size: labels spread through DOI and title groups by aggregation, without pairs, until
+    none changes. Unlike the fold it merges clusters that a later record connects. Records without a DOI and a
+    title key stay alone."""
+    source = keyed(papers).select("query_id", "id", "doi", F.nullif("key", F.lit("")).alias("key"))
+    clear = source.where("key is not null").groupBy("query_id", "key").agg(F.min("doi").alias("lo"), F.max("doi").alias("hi")).where("lo <=> hi")
+    title = source.join(clear.select("query_id", "key", F.lit(True).alias("clear")), ["query_id", "key"], "left")
+    state = keep(title.select("query_id", "id", "doi", F.when(F.col("clear"), F.col("key")).alias("title_key"), F.col("id").alias("cluster")), "linked")
+    while True:
+        after = state.withColumn("before", F.col("cluster"))
         for key in ("doi", "title_key"):
-            group = F.min("cluster").over(Window.partitionBy("query_id", key))
-            state = state.withColumn("cluster", F.when(F.col(key).isNotNull(), F.least("cluster", group)).otherwise(F.col("cluster")))
-        state = state.checkpoint() if state.sparkSession.sparkContext.getCheckpointDir() else state.persist()
-        moved = state.alias("a").join(before.alias("b"), ["query_id", "id"]).where("a.cluster <> b.cluster").limit(1).count()
+            least = after.where(F.col(key).isNotNull()).groupBy("query_id", key).agg(F.min("cluster").alias("least"))
+            after = after.join(least, ["query_id", key], "left").withColumn("cluster", F.least("cluster", "least")).drop("least")
+        after = keep(after, "linked")
+        moved = after.where("cluster <> before").limit(1).count()
+        release(state)
+        state = after.select("query_id", "id", "doi", "title_key", "cluster")
+        state._kept = after._kept
         if not moved:
-            break
-    return state.select("query_id", "id", "cluster")
+            return state.select("query_id", "id", "cluster")
 
 
 SCALARS = ["doi", "abstract", "published_date", "journal", "publisher", "volume", "issue", "pages", "publication_type", "pdf_url", "citation_count"]

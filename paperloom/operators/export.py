@@ -186,12 +186,16 @@ def document(cited: DataFrame, fmt: str) -> DataFrame:
 
 
 def export(requested: DataFrame, papers: DataFrame, fmt: str, settings: Settings = DEFAULTS) -> DataFrame:
-    """export_id, content and missing of requested ids (export_id, pos, id), at most export_cap of them each."""
-    asked = requested.where(F.col("pos") < settings.export_cap)
+    """export_id, content, missing and refused of requested ids (export_id, pos, id).
+
+    A request for more than export_cap ids is refused as a whole: refused is true, content null, missing 0."""
+    wanted = requested.groupBy("export_id").agg((F.count(F.lit(1)) > settings.export_cap).alias("refused"))
+    asked = requested.join(wanted.where("not refused").select("export_id"), "export_id", "left_semi")
     found = asked.join(papers.drop("pos", "export_id"), "id")
     made = document(citations(found, fmt, settings), fmt)
     lost = asked.join(papers.select("id"), "id", "left_anti").groupBy("export_id").agg(F.count(F.lit(1)).alias("missing"))
-    return made.join(lost, "export_id", "left").withColumn("missing", F.coalesce("missing", F.lit(0)))
+    met = wanted.join(made, "export_id", "left").join(lost, "export_id", "left")
+    return met.select("export_id", "content", F.coalesce("missing", F.lit(0)).alias("missing"), "refused")
 
 
 def formats(spark) -> DataFrame:

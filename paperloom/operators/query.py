@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Settings
 from ..functions import lexicon as L
 from ..functions import text as T
-from ..llm.common import sized
+from ..tables import sized
 
 #: Sources or other small tables up to this number of rows are broadcast; with more, Spark joins without.
 BROADCAST_ROWS = 10_000

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..functions import lexicon as L
 from ..functions import text as T
-from ..llm.common import sized
 from ..operators import clusters, dedupe, entities, export, metrics, query, rank, store, summaries
 from ..operators.query import BROADCAST_ROWS
 from ..sources import records as R
+from ..tables import sized
 from . import oracle as O
 from .views import judged, papers, queries, records, table, users
 
@@ -820,12 +820,15 @@ _CL = lambda x: f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 _TAG = lambda name, x: f"'{name}  - ' || nullif({x}, '')"
 
 
-@registered(
-    f"with r as ({O.RECORDS}), g as (select *, trim(pages) as pg from r) select pos, array_to_string(list_filter(list_concat([{_TAG('TY', _TYPE(L.RIS_TYPES, 'UNPB', 'JOUR', 'GEN'))}], ['AU  - ' || case when a.family is not null and a.given is not null then a.family || ', ' || a.given else a.name end for a in authors], "
+_RIS = (
+    f"with r as ({O.RECORDS}), g as (select *, trim(pages) as pg from r) select id, pos, array_to_string(list_filter(list_concat([{_TAG('TY', _TYPE(L.RIS_TYPES, 'UNPB', 'JOUR', 'GEN'))}], ['AU  - ' || case when a.family is not null and a.given is not null then a.family || ', ' || a.given else a.name end for a in authors], "
     f"[{_TAG('TI', _CL('title'))}, {_TAG('T2', _CL('journal'))}, {_TAG('JO', _CL('journal'))}, {_TAG('AB', _CL('abstract'))}, {_TAG('PY', 'year(published_date)::varchar')}, {_TAG('DA', 'strftime(published_date, ' + chr(39) + '%Y/%m/%d/' + chr(39) + ')')}, {_TAG('VL', 'volume')}, {_TAG('IS', 'issue')}, "
     f"{_TAG('SP', 'trim(split_part(pg, ' + chr(39) + '-' + chr(39) + ', 1))')}, {_TAG('EP', 'case when contains(pg, ' + chr(39) + '-' + chr(39) + ') then trim(regexp_replace(pg, ' + chr(39) + '^[^-]*-+' + chr(39) + ', ' + chr(39) + chr(39) + ')) end')}, {_TAG('DO', 'doi')}, {_TAG('UR', 'url')}], ['KW  - ' || k for k in keywords], ['DB  - paperloom', 'DP  - ' || {_SRC}]), lambda x: x is not null), chr(13) || chr(10)) "
     "|| chr(13) || chr(10) || 'ER  - ' || chr(13) || chr(10) || chr(13) || chr(10) as citation from g"
 )
+
+
+@registered(f"select pos, citation from ({_RIS})")
 def x11_ris(s, d):
     return export.citations(records(s, d), "ris").select("pos", "citation")
 
@@ -855,14 +858,11 @@ def x15_vancouver(s, d):
 _X17 = "select o_custkey as export_id, row_number() over (partition by o_custkey order by o_orderkey) - 1 as pos, 'doc:' || o_orderkey as id from orders"
 
 
-@registered(f"with r as ({O.RECORDS}), a as ({_X17}) select export_id, string_agg(r.title, '; ' order by a.pos) as titles, count(*) as found, any_value(missing) as missing from a join r using (id) join (select export_id, count(*) filter (id not in (select id from r)) as missing from a group by 1) using (export_id) group by 1")
+@registered(f"with c as ({_RIS}), a as ({_X17}) select export_id, string_agg(citation, '' order by a.pos) as content, count(*) filter (citation is null) as missing, false as refused from a left join c using (id) group by 1")
 def x17_bulk_export(s, d):
     place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
     asked = table(s, d, "orders").select(F.col("o_custkey").alias("export_id"), place.alias("pos"), F.concat(F.lit("doc:"), F.col("o_orderkey").cast("string")).alias("id"))
-    recs = records(s, d)
-    made = export.export(asked, recs, "ris")
-    found = asked.join(recs.select("id", "title"), "id").groupBy("export_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "title"))), lambda x: x["title"]), "; ").alias("titles"), F.count(F.lit(1)).alias("found"))
-    return found.join(made.select("export_id", "missing"), "export_id")
+    return export.export(asked, records(s, d), "ris")
 
 
 # --- further joins, counters and the whole engine ---

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions import text as T
-from ..llm.common import sized
 from ..operators import backfill, clusters, dedupe, entities, export, metrics, query, rank, store, summaries
+from ..tables import sized
 
 
 @dataclass

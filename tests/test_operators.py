@@ -139,6 +139,82 @@ def test_corruptions_are_caught(spark):
     assert missed.count() == 0 and v.where("label = 'faithful' and v.status <> 'grounded'").count() == 0
 
 
+def test_claims_are_welded_from_phrases(spark):
+    abstract = "Gene editing of plant cells was studied by the whole group. It (and this) is. Rapid wound repair was seen in all of the young plants. Other labs then tested seed dormancy, cold and much more of it."
+    made = {r.family: r.text for r in attacks.welded(spark.createDataFrame([(1, abstract), (2, "Too short. For this."), (3, None)], "doc_id int, abstract string")).collect()}
+    assert set(made) == set(attacks.WELDS) and made["invented_causation"] == "The cause of wound repair turned out to be seed dormancy."
+    same = "We saw plant growth here in all of the trials. " * 3
+    assert attacks.welded(spark.createDataFrame([(1, same)], "doc_id int, abstract string")).count() == 0
+    row = spark.createDataFrame([("Yield increased. It was lower (p = 1) due to cold.",)], "s string")
+    got = row.select(attacks.turned(F.col("s"), F.lit("Yield increased")).alias("t"), attacks.turned(F.col("s"), F.lit("increased or decreased")).alias("n"), attacks.reworded(F.col("s")).alias("r")).first()
+    assert got.t == "Yield decreased. It was lower (p = 1) due to cold." and got.n is None and got.r == "It was lower because of cold. Yield increased."
+
+
+def reference_fold(records):
+    """Clusters by index tables, as the rules are told: by DOI, by title, then the block's clusters in order."""
+    import difflib
+
+    from paperloom.functions import lexicon as L
+
+    by_doi, by_title, by_block, clusters, out = {}, {}, {}, [], []
+
+    def clear(doi, key, members):
+        pre = lambda x: any(x.startswith(p) for p in L.PREPRINT_PREFIXES)
+        return not doi or all(d is None or d == doi or ((pre(d) or pre(doi)) and key and key == k) for d, k in members)
+
+    for doi, key in records:
+        at = by_doi.get(doi) if doi else None
+        if at is None and key:
+            exact = by_title.get(key)
+            if exact is not None and clear(doi, key, clusters[exact]):
+                at = exact
+            else:
+                for c in by_block.get(key[:12], []):
+                    like = any(k and min(len(k), len(key)) / max(len(k), len(key)) >= 0.8 and difflib.SequenceMatcher(None, key, k).ratio() >= 0.94 for _, k in clusters[c])
+                    if clear(doi, key, clusters[c]) and like:
+                        at = c
+                        break
+        if at is None:
+            at = len(clusters)
+            clusters.append([])
+        clusters[at].append((doi, key))
+        if doi:
+            by_doi.setdefault(doi, at)
+        if key:
+            by_title.setdefault(key, at)
+            if at not in by_block.setdefault(key[:12], []):
+                by_block[key[:12]].append(at)
+        out.append(at)
+    return out
+
+
+def test_fold_against_index_tables():
+    draw = random.Random(11)
+    keys = ["", "genome editing in maize plants and beyond the field of wheat", "genome editing in maize plants and beyond the field of what", "genome editing in maize plants and beyond a field of wheat", "genome editing in rice", "another title of a paper altogether"]
+    dois = [None, None, "10.1/a", "10.1/b", "10.1101/x", "10.11013/y", "10.2139/z"]
+    for _ in range(3000):
+        rows = [(draw.choice(dois), draw.choice(keys)) for _ in range(draw.randrange(1, 9))]
+        assert dedupe.assign(rows) == reference_fold(rows), rows
+
+
+def test_preprint_prefixes_end_with_a_slash(spark):
+    row = spark.createDataFrame([("10.1101/x", "10.5/y", "t"), ("10.11013/x", "10.21392/y", "t"), ("10.2139/x", "10.5/y", "")], "a string, b string, t string")
+    assert [r.p for r in row.select(dedupe.preprint_pair(F.col("a"), F.col("b"), F.col("t"), F.col("t")).alias("p")).collect()] == [True, False, False]
+
+
+def test_linked_clusters_without_keys(spark):
+    rows = [("q", str(i), None, "") for i in range(300)] + [("q", f"c{i:03}", f"10.1/{i // 2}", f"chain link number {(i + 1) // 2} of them") for i in range(40)]
+    got = {r.id: r.cluster for r in dedupe.linked_clusters(spark.createDataFrame(rows, "query_id string, id string, doi string, title string")).collect()}
+    assert all(got[str(i)] == str(i) for i in range(300)) and len({got[f"c{i:03}"] for i in range(40)}) == 20
+
+
+def test_too_large_exports_are_refused(spark):
+    asked = spark.createDataFrame([(e, i, str(i)) for e, n in ((1, 500), (2, 501)) for i in range(n)], "export_id int, pos int, id string")
+    paper = spark.createDataFrame([("1", "A title", "arxiv")], "id string, title string, source string").withColumns({c: F.lit(None).cast("string") for c in ("abstract", "doi", "volume", "issue", "pages", "publisher", "url", "publication_type", "journal")} | {"keywords": F.array().cast("array<string>"), "also_found_in": F.array().cast("array<string>"), "published_date": F.lit(None).cast("date"), "authors": F.array().cast("array<struct<name:string,given:string,family:string>>")})
+    got = {r.export_id: r for r in export.export(asked, paper, "apa").collect()}
+    assert got[1].missing == 499 and got[1].content and not got[1].refused and got[2].refused and got[2].content is None
+
+
 def test_citation_details(spark):
     df = spark.createDataFrame(
         [(0, 0, "Gene_x & DNA repair", [("Wei A. Chen", "Wei A.", "Chen"), ("Big Group", None, None)], None, "2022-07-13", "crossref")] * 1 + [(0, i, "Gene repair", [("Wei Chen", "Wei", "Chen")], None, "2022-01-01", "arxiv") for i in range(1, 30)],
