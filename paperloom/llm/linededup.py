@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, sized
+from ..tables import keep, sized
 
 #: Lines of fewer words are never dropped: short lines recur by chance.
 LEAST_WORDS = 3

@@ -28,7 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, ascii_lower_words, batch, keep, release, shingle_set, sized, sliced, texts
+from ..tables import keep, release, sized
+from .common import WordHashes, ascii_lower_words, batch, shingle_set, sliced, texts
 
 WIDTH = 5
 PERCENT = 85

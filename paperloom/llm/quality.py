@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, keep, texts
+from ..tables import keep
+from .common import batch, texts
 
 #: Share of the identity in a class covariance.
 SHRINKAGE = 0.2

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, keep, texts
+from ..tables import keep
+from .common import batch, texts
 
 KINDS = ("assign", "access", "hex", "random")
 #: Share of false discoveries among the reported random runs.

@@ -26,7 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, texts, work_path
+from ..tables import work_path
+from .common import batch, texts
 
 MAGIC = b"RPG1"
 #: Ids after which a block ends with the document at hand; bounds a task's memory together with the longest document.

@@ -29,7 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, batch, keep, sized, texts
+from ..tables import keep, sized
+from .common import CACHE_WORDS, batch, texts
 
 #: The discount where counts of counts give none.
 DISCOUNT = 0.75
