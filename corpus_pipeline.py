@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import bpe, decontam, linededup, neardup, quality
-from paperloom.llm.common import keep, sized
 from paperloom.shipping import ship
+from paperloom.tables import keep, sized
 
 #: Documents are near-duplicates, and contain a benchmark item, from this similarity on.
 NEAR_PERCENT = 80
