@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import sized
+
 #: Entries kept in a worker's word cache before it starts anew; bounds memory, not results.
 CACHE_WORDS = 100_000
 
@@ -23,6 +25,33 @@ def texts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(F.col(key), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+#: Groups of at least so many rows aren't dealt out by their key, as long as there are no more than HOT_GROUPS.
+HOT_GROUP, HOT_GROUPS = 200, 100_000
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, key: list[str], members: str, bound: int = HOT_GROUPS) -> DataFrame:
+    """rows joined with groups by key. members: the column of groups that says how many rows a group may have.
+
+    The groups of HOT_GROUP rows and more, of which there are few, are broadcast (if no more than `bound`), so that
+    none meets in one task; the others are joined by a shuffle."""
+    hot = sized(groups.where(F.col(members) >= HOT_GROUP), bound)
+    cold = rows.join(hot.select(key), key, "left_anti").join(groups.where(F.col(members) < HOT_GROUP), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
+def spread_lookup(rows: DataFrame, table: DataFrame, key: str, asked: DataFrame, bound: int) -> DataFrame:
+    """rows joined with table by its unique key. asked: the rows' keys.
+
+    The table's rows that HOT_GROUP rows and more ask for are broadcast (if no more than `bound`), so that they don't
+    meet in one task; the others are joined by a shuffle."""
+    often = asked.groupBy(key).agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= HOT_GROUP).select(key)
+    if not 0 < often.limit(bound + 1).count() <= bound:
+        return rows.join(table, key)
+    often = F.broadcast(often)
+    hot = F.broadcast(table.join(often, key, "left_semi"))
+    return rows.join(hot, key).unionByName(rows.join(often, key, "left_anti").join(table, key))
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered up to CACHE_WORDS entries."""
 

@@ -1,7 +1,8 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame operations only.
 
 A line is dropped if the same or a similar line stands earlier (by doc_id, then position): one that is equal
-or, for lines of NEAR_WORDS words and more, that becomes equal by replacing, adding or removing one word.
+or, for lines of NEAR_WORDS words and more, that becomes equal by replacing, adding or removing one word. A line
+without a blank, as scripts that part no words have, counts its characters as words, from NEAR_CHARS on.
 
 Equal lines are classes with a first occurrence. For similar ones each line emits every variant that lacks
 one word as hashed keys: with the place of the gap, under which lines meet that differ in that word, and
@@ -16,29 +17,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import keep, sized
+from ..tables import keep, release, sized
+from .common import spread_join
 
-#: Lines of fewer words are never dropped: short lines recur by chance.
-LEAST_WORDS = 3
-#: From this many words on, lines that differ in one word count as the same.
-NEAR_WORDS = 8
+#: Lines of fewer words are never dropped; blank ones never are.
+LEAST_WORDS = 1
+#: From so many words, or characters of a line without a blank, on, lines that differ in one count as the same.
+NEAR_WORDS, NEAR_CHARS = 8, 24
 #: Lines up to this number (12 bytes each) are broadcast to the texts; with more, texts are shuffled.
-JOIN_ROWS = 2_000_000
+JOIN_ROWS = 1_000_000
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, line and its number of words of all lines that may be dropped."""
+def _lines(docs: DataFrame, least: int) -> DataFrame:
+    """doc_id, pos, line, its number of words (or characters) and chars (whether it is read by those) of all lines
+    that may be dropped."""
     split = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     # A word ends at each blank; counting blanks needs no array of words.
-    return split.withColumn("words", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).where(F.col("words") >= LEAST_WORDS)
+    blanks = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
+    lines = split.withColumn("blanks", blanks).where((F.col("blanks") >= least - 1) & F.col("line").rlike(r"[^ \t\r\f\x0B]"))
+    chars = F.col("blanks") == 0
+    return lines.select("doc_id", "pos", "line", F.when(chars, F.length("line")).otherwise(F.col("blanks") + 1).alias("words"), chars.alias("chars"))
+
+
+def _words() -> Column:
+    return F.when(F.col("chars"), F.split("line", "", -1)).otherwise(F.split("line", " ", -1))
 
 
 def _halves() -> Column:
     """Hashes of the first and of the last half of a line, cut for a partner that is as long or one word shorter."""
     half = "cast(ceil((words - {less}) / 2) as int)"
+    cut = {"first": "if(chars, left(line, {half}), substring_index(line, ' ', {half}))", "last": "if(chars, right(line, {half}), substring_index(line, ' ', -{half}))"}
     return F.array(*[
-        F.expr(f"xxhash64('{side}', {half}, substring_index(line, ' ', {sign}{half}))".format(less=less))
-        for side, sign in (("first", ""), ("last", "-"))
+        F.expr(f"xxhash64('{side}', chars, {half}, {text.format(half=half)})".format(less=less))
+        for side, text in cut.items()
         for less in (1, 2)
     ])
 
@@ -61,10 +72,10 @@ def _variants(lines: DataFrame) -> DataFrame:
     A variant's hash is the sum of hashes of its words with their places, in two independent halves of 84
     bits together; running sums give all variants of a line in one pass over its words.
     """
-    words = lines.select("doc_id", "pos", "words", F.posexplode(F.split("line", " ", -1)).alias("i", "w"))
+    words = lines.select("doc_id", "pos", "words", "chars", F.posexplode(_words()).alias("i", "w"))
     for n in (1, 2):
         for name, shift in ((f"a{n}", 0), (f"b{n}", 1)):
-            words = words.withColumn(name, F.shiftrightunsigned(F.xxhash64(F.lit(n), F.col("w"), F.col("i") - shift), 22))
+            words = words.withColumn(name, F.shiftrightunsigned(F.xxhash64(F.lit(n), F.col("chars"), F.col("w"), F.col("i") - shift), 22))
     line = Window.partitionBy("doc_id", "pos").orderBy("i")
     upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -92,53 +103,72 @@ def _earlier(variants: DataFrame) -> DataFrame:
     least = [F.min(F.when(F.col("role") == r, F.col("own"))).alias(r) for r in "RLW"]
     groups = variants.groupBy(*key).agg(F.count(F.lit(1)).alias("met"), *least).where("met > 1")
     other = F.when(F.col("role") == "R", F.col("R")).when(F.col("role") == "L", F.col("W")).otherwise(F.col("L"))
-    met = variants.join(groups, key).select("own", other.alias("other")).where("other < own")
+    met = spread_join(variants, groups, key, "met").select("own", other.alias("other")).where("other < own")
     return met.groupBy("own").agg(F.min("other").alias("other"))
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
-    """doc_id and pos (from 0) of the lines to drop. Distinct."""
-    lines = _lines(docs)
-    near = F.when(F.col("words") >= NEAR_WORDS, _halves())
-    hashed = lines.select("doc_id", "pos", "words", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), near.alias("halves"))
+def dropped_lines(docs: DataFrame, least: int = LEAST_WORDS, near_words: int = NEAR_WORDS, near_chars: int = NEAR_CHARS) -> DataFrame:
+    """doc_id and pos (from 0) of the lines to drop. Distinct. Written to the shared folder."""
+    lines = _lines(docs, least)
+    long = F.col("words") >= F.when(F.col("chars"), near_chars).otherwise(near_words)
+    hashed = lines.select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.when(long, _halves()).alias("halves"))
     classes = hashed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("own"), F.count(F.lit(1)).alias("n"), F.first("halves").alias("halves"))
     classes = keep(classes, "lines")
-    same = hashed.select("h1", "h2", "doc_id", "pos").join(classes.where("n > 1").select("h1", "h2", "own"), ["h1", "h2"])
+    again = classes.where("n > 1").select("h1", "h2", "own", "n")
+    same = spread_join(hashed.select("h1", "h2", "doc_id", "pos"), again, ["h1", "h2"], "n")
     same = same.where((F.col("doc_id") != F.col("own.doc_id")) | (F.col("pos") != F.col("own.pos"))).select("doc_id", "pos")
     halves = classes.where("halves is not null").select("own", F.explode(F.array_distinct("halves")).alias("half"))
-    shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("met")).where("met > 1").select("half")
-    likely = keep(halves.join(shared, "half", "left_semi").select("own.doc_id", "own.pos").distinct(), "likely")
+    shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
+    likely = keep(spread_join(halves, shared, ["half"], "met").select("own.doc_id", "own.pos").distinct(), "likely")
     likely = keep(lines.join(sized(likely, JOIN_ROWS), ["doc_id", "pos"], "left_semi").dropDuplicates(["doc_id", "pos"]), "likely")
     found = keep(_earlier(_variants(likely)), "similar")
-    word_lists = likely.select(F.struct("doc_id", "pos").alias("at"), F.split("line", " ", -1).alias("words"))
-    pairs = found.join(word_lists.select(F.col("at").alias("own"), F.col("words").alias("x")), "own").join(word_lists.select(F.col("at").alias("other"), F.col("words").alias("y")), "other")
+    word_lists = likely.select(F.struct("doc_id", "pos").alias("at"), _words().alias("words"))
+    pairs = found.join(word_lists.select(F.col("at").alias("own"), F.col("words").alias("x")), "own")
+    # A line that many others resemble is looked up by all of them: it is dealt out as one row to each.
+    often = found.groupBy("other").agg(F.count(F.lit(1)).alias("met"))
+    firsts = word_lists.join(often, word_lists["at"] == often["other"]).select("other", "met", F.col("words").alias("y"))
+    pairs = spread_join(pairs, firsts, ["other"], "met", 10_000)
     similar = pairs.where(_within_one("x", "y")).select("own.doc_id", "own.pos")
-    return same.union(similar).distinct()
+    gone = keep(same.union(similar).distinct(), "gone")
+    release(classes, likely, found)
+    return gone
 
 
-def drop_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs with text less the lines in gone (doc_id, pos), and the columns n_lines and n_dropped."""
-    gone = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list("pos")).alias("_gone"))
-    met = docs.join(gone, docs["doc_id"] == gone["_id"], "left")
+def _left(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows (id, text, row) with text less the lines in gone (doc_id, pos), n_lines and n_dropped."""
+    gone = gone.groupBy(F.col("doc_id").alias("id")).agg(F.sort_array(F.collect_list("pos")).alias("gone"))
+    met = rows.join(gone, "id", "left")
     # A string of one sign a line, 1 where it goes, keeps the work in proportion to the number of lines.
-    steps = F.zip_with("_gone", F.concat(F.array(F.lit(-1)), F.slice("_gone", F.lit(1), F.size("_gone") - 1)), lambda at, last: F.concat(F.repeat(F.lit("0"), at - last - 1), F.lit("1")))
+    steps = F.zip_with("gone", F.concat(F.array(F.lit(-1)), F.slice("gone", F.lit(1), F.size("gone") - 1)), lambda at, last: F.concat(F.repeat(F.lit("0"), at - last - 1), F.lit("1")))
     lines = F.split("text", "\n", -1)
     left = F.zip_with(lines, F.split(F.array_join(steps, ""), ""), lambda line, sign: F.when(F.coalesce(sign, F.lit("0")) != "1", line))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    rest = [F.col(c) for c in docs.columns if c != "text"]
-    return met.select(*rest, text.alias("text"), F.coalesce(F.size(lines), F.lit(0)).cast("bigint").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_dropped"))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    return met.select("row", "id", text.alias("text"), F.coalesce(F.size(lines), F.lit(0)).cast("bigint").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_dropped"))
+
+
+def drop_lines(docs: DataFrame, gone: DataFrame, chars: str = "n_chars") -> DataFrame:
+    """docs with text less the lines in gone (doc_id, pos). Of its other columns, whatever their names, only one called
+    as `chars` says, if there is one, follows the text that lost lines, as its number of characters."""
+    # The row goes along as one column, so that no name can clash.
+    found = _left(docs.select(F.col("doc_id").alias("id"), "text", F.struct(*docs.columns).alias("row")), gone)
+    follows = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("row")[chars]) if chars in docs.columns else None
+    new = {"text": F.col("text"), chars: follows}
+    return found.select(*[(new[c].cast(docs.schema[c].dataType) if c in new and new[c] is not None else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS, near_words: int = NEAR_WORDS, near_chars: int = NEAR_CHARS) -> DataFrame:
     """Per document: doc_id, n_lines, n_dropped and the text that is left.
 
     docs: doc_id, text; further columns are ignored. Lines stand between line feeds, words between single
-    blanks. Lines of fewer than LEAST_WORDS words always stay. Null texts have no lines and stay null, empty
+    blanks. Blank lines and lines of fewer than `least` words always stay; lines of near_words words, or of
+    near_chars characters without a blank, also go for a similar one. Null texts have no lines and stay null, empty
     ones have one line; a text all of whose lines are dropped becomes empty. Documents with a null doc_id
     take no part and stay whole. Rows that repeat a doc_id count as one document: lines at the same position
     count as one line, of which the copies stay or go together. An empty table gives no rows.
-    Equal lines, half keys and variants are summed by key with partial sums, so that a line that fills a
-    third of the rows is one row from each task; memory is bounded by the longest text.
+    Equal lines, half keys and variants are summed by key with partial sums, and groups of very many members are
+    not dealt by key, so that a line that fills a third of the rows is one row from each task; memory is bounded by
+    the longest text.
     """
-    source = docs.select("doc_id", "text")
-    return drop_lines(source, dropped_lines(source)).select("doc_id", "n_lines", "n_dropped", "text")
+    rows = docs.select(F.col("doc_id").alias("id"), "text", F.lit(None).alias("row"))
+    found = _left(rows, dropped_lines(docs.select("doc_id", "text"), least, near_words, near_chars))
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", "text")

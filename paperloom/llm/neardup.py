@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import keep, release, sized
-from .common import WordHashes, ascii_lower_words, batch, shingle_set, sliced, texts
+from .common import HOT_GROUP, WordHashes, ascii_lower_words, batch, shingle_set, sliced, spread_join, spread_lookup, texts
 
 WIDTH = 5
 PERCENT = 85
@@ -38,9 +38,8 @@ SKETCH = 256
 #: Candidates up to this number (8 bytes each) are broadcast to the documents; with more, texts are shuffled.
 JOIN_ROWS = 2_000_000
 
-#: Classes of at least so many equal sets, and inverted lists of at least so many sets, aren't dealt out by their key:
-#: they are broadcast (24 to 48 bytes each, up to JOIN_ROWS of them), and their pairs made in SALTS parts.
-HOT_COPIES, HOT_LIST, SALTS = 500, 200, 16
+#: At most so many sets that very many pairs ask for are broadcast.
+HOT_SETS = 500
 
 _TOP = 1 << 63
 
@@ -124,35 +123,21 @@ def _may_link(percent: int) -> Column:
 
 
 def _links(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar: by the sketch of their union first, then exactly."""
+    """The pairs (a, b), a kept table, whose sets are similar: by the sketch of their union first, then exactly."""
     sides = [full.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.slice("s", 1, SKETCH).alias(f"k{x}")) for x in "ab"]
-    met = pairs.join(sides[0], "a").join(sides[1], "b")
+    met = spread_lookup(spread_lookup(pairs, sides[0], "a", pairs, HOT_SETS), sides[1], "b", pairs, HOT_SETS)
     # Both sketches are complete up to the smaller of their last values, so the union's sketch ends there.
     whole = lambda x: F.when(F.col(f"n{x}") <= SKETCH, F.lit(_TOP - 1)).otherwise(F.element_at(f"k{x}", -1))
     met = met.withColumn("end", F.least(whole("a"), whole("b")))
     ka, kb = (F.filter(f"k{x}", lambda v: v <= F.col("end")) for x in "ab")
     # What the sketches don't show may be the same at best; so many common values are needed.
     most = F.size(F.array_intersect(ka, kb)) + F.least(F.col("na") - F.size(ka), F.col("nb") - F.size(kb))
-    likely = met.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
+    likely = keep(met.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b"), "likely")
     sides = [full.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}")) for x in "ab"]
-    met = likely.join(sides[0], "a").join(sides[1], "b").withColumn("same", F.size(F.array_intersect("sa", "sb")))
+    met = spread_lookup(spread_lookup(likely, sides[0], "a", likely, HOT_SETS), sides[1], "b", likely, HOT_SETS).withColumn("same", F.size(F.array_intersect("sa", "sb")))
     return met.where(F.col("same") * 100 >= (F.col("na") + F.col("nb") - F.col("same")) * percent).select("a", "b").distinct()
 
 
-def _by_list(rows: DataFrame, lists: DataFrame) -> DataFrame:
-    """rows joined with lists (v, df and more) by v; long lists are broadcast, so that none meets in one task."""
-    long = sized(lists.where(F.col("df") >= HOT_LIST), JOIN_ROWS)
-    short = rows.join(long.select("v"), "v", "left_anti").join(lists.where(F.col("df") < HOT_LIST), "v")
-    return rows.join(long, "v").unionByName(short)
-
-
-def _crossing(rows: DataFrame) -> DataFrame:
-    """Pairs of rows (v, df, doc_id, n, left, c) of one list: each column with a and b. Long lists are dealt to SALTS parts."""
-    salts = F.when(F.col("df") >= HOT_LIST, SALTS).otherwise(1)
-    side = lambda x, salt: rows.select("v", salt.alias("salt"), F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("left").alias(f"l{x}"), F.col("c").alias(f"c{x}"))
-    return side("a", F.pmod(F.xxhash64("doc_id"), salts).cast("int")).join(side("b", F.explode(F.sequence(F.lit(0), salts - 1))), ["v", "salt"])
-
-
 def components(links: DataFrame) -> DataFrame:
     """doc_id and component_id (the smallest id reachable) of the ids in links (a, b) but the smallest of each."""
     edges = keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
@@ -189,7 +174,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     lists = keep(_lists(full, percent), "lists")
     hubs = lists.groupBy("v").agg(F.min(F.struct("alone", "doc_id", "n", "left")).alias("h"), F.count(F.lit(1)).alias("df")).where("df > 1")
     hubs = keep(hubs, "hubs")
-    first = _by_list(lists, hubs).select(
+    first = spread_join(lists, hubs, ["v"], "df").select(
         F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"),
         F.col("h.doc_id").alias("b"), F.col("h.n").alias("nb"), F.col("h.left").alias("lb"),
     )
@@ -197,21 +182,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = keep(_links(first, full, percent), "links")
     release(hubs, first)
     placed = lists.join(components(links), "doc_id", "left").withColumn("c", F.coalesce("component_id", "doc_id")).select("v", "doc_id", "n", "left", "c")
-    placed = keep(placed, "placed")
+    every = placed = keep(placed, "placed")
     release(lists)
     mixed = keep(placed.groupBy("v").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count(F.lit(1)).alias("df")).where("least < most").select("v", "df"), "mixed")
-    rest = _crossing(_by_list(placed, mixed)).where((F.col("ca") > F.col("cb")) & _may_link(percent)).select("a", "b").distinct()
+    # With nothing but a join between its shuffles, Spark itself splits the lists that are long.
+    placed = spread_join(placed, mixed, ["v"], "df").select("v", "doc_id", "n", "left", "c")
+    sides = [placed.select("v", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("left").alias(f"l{x}"), F.col("c").alias(f"c{x}")) for x in "ab"]
+    rest = keep(sides[0].join(sides[1], "v").where((F.col("ca") > F.col("cb")) & _may_link(percent)).select("a", "b").distinct(), "pairs")
     reached = components(links.union(_links(rest, full, percent)))
     ids = linked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     ids = ids.join(reached.withColumnRenamed("doc_id", "first_id"), "first_id", "left").select("fp", "copies", F.coalesce("component_id", "first_id").alias("c"))
     ids = keep(ids, "classes")
-    release(full, placed, mixed, links, left)
+    release(full, every, mixed, links, rest, left)
     rows = sketched.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp"))
     # A class with very many copies would meet in one task; such classes are few, and go to all tasks instead. Rows
     # without words have no class to meet.
-    many = sized(ids.where(F.col("copies") >= HOT_COPIES).select("fp", "c"), JOIN_ROWS)
-    few = ids.where(F.col("copies") < HOT_COPIES).select("fp", "c")
-    some, none = rows.where("fp is not null"), rows.where("fp is null").withColumn("c", F.lit(None).cast(rows.schema["doc_id"].dataType))
-    placed = some.join(many, "fp").unionByName(some.join(many.select("fp"), "fp", "left_anti").join(few, "fp")).unionByName(none)
+    none = rows.where("fp is null").withColumn("c", F.lit(None).cast(rows.schema["doc_id"].dataType))
+    placed = spread_join(rows.where("fp is not null"), ids, ["fp"], "copies").drop("copies").unionByName(none)
     component = F.coalesce("c", "doc_id")
     return placed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component.eqNullSafe(F.col("doc_id"))).alias("kept"))

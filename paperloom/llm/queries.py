@@ -77,12 +77,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = """
 with docs as (select doc_id, text, string_split(text, chr(10)) as ls from documents),
 each as (select doc_id, unnest(ls) as line, unnest(range(len(ls))) as pos from docs),
-lines as (select doc_id, pos, line, string_split(line, ' ') as w from each where len(string_split(line, ' ')) >= 3),
-class as (select line, any_value(w) as w, min({'d': doc_id, 'p': pos}) as own from lines group by line),
-near as (select own, w, len(w) as n from class where len(w) >= 8),
-cut as (select own, w, n, unnest([{'k': n // 2, 'f': true}, {'k': (n - 1) // 2, 'f': true}, {'k': n // 2, 'f': false}, {'k': (n - 1) // 2, 'f': false}]) as c from near),
-half as (select own, w, n, c, case when c.f then w[1:c.k] else w[n - c.k + 1:n] end as h from cut),
-met as (select distinct a.own as own, a.w as x, b.w as y from half a join half b on a.c = b.c and a.h = b.h and abs(a.n - b.n) <= 1 and b.own < a.own),
+lines as (select doc_id, pos, line from each where regexp_matches(line, '[^ \\t\\r\\f\\x0B]')),
+class as (select line, not contains(line, ' ') as chars, min({'d': doc_id, 'p': pos}) as own from lines group by line),
+near as (select own, w, len(w) as n, chars from (select *, case when chars then string_split(line, '') else string_split(line, ' ') end as w from class) where len(w) >= case when chars then 24 else 8 end),
+cut as (select own, w, n, chars, unnest([{'k': n // 2, 'f': true}, {'k': (n - 1) // 2, 'f': true}, {'k': n // 2, 'f': false}, {'k': (n - 1) // 2, 'f': false}]) as c from near),
+half as (select own, w, n, chars, c, case when c.f then w[1:c.k] else w[n - c.k + 1:n] end as h from cut),
+met as (select distinct a.own as own, a.w as x, b.w as y from half a join half b on a.c = b.c and a.h = b.h and a.chars = b.chars and abs(a.n - b.n) <= 1 and b.own < a.own),
 compared as (select own, x, y,
   coalesce(list_position([p[1] is distinct from p[2] for p in list_zip(x, y)], true) - 1, least(len(x), len(y))) as pre,
   coalesce(list_position([p[1] is distinct from p[2] for p in list_zip(list_reverse(x), list_reverse(y))], true) - 1, least(len(x), len(y))) as post from met),

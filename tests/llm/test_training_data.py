@@ -444,10 +444,13 @@ def brute_lines(texts):
     for i, t in enumerate(texts):
         left = []
         for line in t.split("\n"):
-            w = line.split(" ")
-            gone = len(w) >= 3 and any(line == o for o, _ in seen) or len(w) >= 8 and any(len(v) >= 8 and near(w, v) for _, v in seen)
-            if len(w) >= 3:
-                seen.append((line, w))
+            chars = " " not in line
+            w = list(line) if chars else line.split(" ")
+            long = len(w) >= (24 if chars else 8)
+            blank = not line.strip(" \t\r\f\x0b")
+            gone = not blank and (any(line == o for o, *_ in seen) or long and any(c == chars and l and near(w, v) for _, v, c, l in seen))
+            if not blank:
+                seen.append((line, w, chars, long))
             if not gone:
                 left.append(line)
         out[i] = "\n".join(left)
@@ -468,11 +471,33 @@ def test_lines_against_brute_force(spark):
                 w[at : at + (kind != 0)] = [word()] if kind != 1 else []
                 w = w or [word()]
             lines.append(" ".join(w))
+            if rng.random() < 0.4:
+                tight = list("\U0001f600文字が切れていない行はここにありますそして長いのです" * rng.choice((1, 2)))
+                kind, at = rng.randrange(4), rng.randrange(len(tight))
+                tight[at : at + (kind != 0)] = [word()] if kind != 1 else []
+                lines.append(rng.choice(["".join(tight), "Read more", "", " ", "\t", "https://example.org/page/of/this/site"]))
         texts.append("\n".join(lines))
     got = {r.doc_id: r.text for r in linededup.dedup_lines(documents(spark, texts)).collect()}
     assert got == brute_lines(texts)
 
 
+def test_lines_of_hot_groups(spark, monkeypatch):
+    from paperloom.llm import common
+
+    texts = ["Read more\n" + f"this is page number {i} of the one long report here\nall of {i % 3} is the same" for i in range(60)]
+    monkeypatch.setattr(common, "HOT_GROUP", 5)
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(documents(spark, texts)).collect()}
+    assert got == brute_lines(texts)
+
+
+def test_dropped_lines_leave_other_columns(spark):
+    rows = [(i, "the same line in two\nown " + str(i), 1, 2, "a", [3], 99) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, n_dropped int, id string, gone array<int>, n_chars int")
+    left = linededup.drop_lines(docs, linededup.dropped_lines(docs)).orderBy("doc_id").collect()
+    assert [r.text for r in left] == [rows[0][1], "own 1", "own 2"] and [r.n_chars for r in left] == [99, 5, 5]
+    assert all(tuple(r)[2:6] == (1, 2, "a", [3]) for r in left)
+
+
 def test_lines_odd(spark):
     rows = {r.doc_id: r for r in linededup.dedup_lines(odd(spark)).collect()}
     n = len(ODD)
