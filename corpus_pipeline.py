@@ -8,7 +8,6 @@ a stage that drops a doc_id drops all its rows, and rows with a null doc_id are
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from paperloom.llm import bpe, decontam, linededup, neardup, quality
 from paperloom.shipping import ship
@@ -44,9 +43,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand earlier go; n_chars follows the text. A document all of whose lines go stays, empty."""
     ship(spark)
-    left = linededup.drop_lines(docs, linededup.dropped_lines(docs))
-    changed = {"n_chars": F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
-    return left.withColumns(changed).select(docs.columns) if changed else left.select(docs.columns)
+    return linededup.drop_lines(docs, linededup.dropped_lines(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
