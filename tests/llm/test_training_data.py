@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import uuid
 import zlib
 from collections import Counter
 
@@ -142,7 +143,7 @@ def test_base_spans_against_plain_search(spark):
         told += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
         assert secrets.scan(t)[0] == sorted(told)
     rows = {r.doc_id: r for r in secrets.find_secrets(documents(spark, texts)).collect()}
-    base, runs, _ = secrets.scan(texts[0])
+    base = secrets.scan(texts[0])[0]
     said = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base)
     assert rows[0].base_sha256 == hashlib.sha256(said.encode()).hexdigest() and rows[0].n_assign == sum(k == 0 for _, k, _ in base)
 
@@ -173,6 +174,30 @@ def test_keys_are_found_in_documents_of_keys_and_without_digits(spark):
     assert not any(rows[i] for i in range(65, 125))
 
 
+def test_random_spans_against_brute_force(spark):
+    rng = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    key = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    alphabets = ["0123456789abcdef", letters, letters.upper() + "234567", letters + letters.upper() + "0123456789+/"]
+    words = ["the", "town", "and", "others", "said", "thing", "longerwordsgluedtogetherhere", "CamelCaseNamesOfThingsInCode", "snake_case_names_of_things"]
+    texts = [" ".join(key(rng.choice(alphabets), rng.randrange(18, 90)) if rng.random() < 0.05 else rng.choice(words) for _ in range(60)) for _ in range(80)]
+    texts += [str(uuid.UUID(int=rng.getrandbits(128), version=4)) for _ in range(40)]
+    ordinary = secrets.Ordinary(sum(secrets.ordinary_counts(t) for t in texts))
+    scans = [secrets.scan(t, ordinary) for t in texts]
+    tested, symbols = sum(s[2] for s in scans), sum(s[3] for s in scans)
+    weighted = sorted(max(p * symbols / tested / n, 1e-40) for s in scans for _, _, n, p in s[1])
+    fit = [p for i, p in enumerate(weighted, 1) if tested * p <= secrets.FALSE_DISCOVERIES * i]
+    rows = {r.doc_id: r for r in secrets.find_secrets(documents(spark, texts)).collect()}
+    found = {(i, *map(int, x.split(":")[1:])) for i in rows for x in rows[i].spans.split(",") if x.startswith("random")}
+    every = {(i, a, b): max(p * symbols / tested / n, 1e-40) for i, s in enumerate(scans) for a, b, n, p in s[1]}
+    # The threshold comes from classes of a tenth of a power of ten, so it is that much lower at most.
+    assert {k for k, p in every.items() if p <= max(fit) / 10**0.1} <= found <= {k for k, p in every.items() if p <= max(fit)}
+    # Keys of small letters alone are hard to tell from words; hexadecimal ones are found by a fixed pattern.
+    planted = [(i, m.start(), m.end()) for i, t in enumerate(texts) for m in re.finditer(r"\S+", t) if m[0] not in words and len(m[0]) >= 30 and not re.fullmatch("[a-z]+|[0-9a-f]+", m[0])]
+    assert sum(k in found for k in planted) >= 0.9 * len(planted) and all(texts[i][a:b] not in words for i, a, b in found)
+    assert sum(rows[i].n_random for i in range(80, 120)) >= 36
+
+
 def test_secrets_odd(spark):
     rows = {r.doc_id: r for r in secrets.find_secrets(odd(spark)).collect()}
     assert rows[len(ODD)].spans == "" and rows[len(ODD)].base_sha256 == hashlib.sha256(b"").hexdigest()
