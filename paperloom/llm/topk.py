@@ -4,7 +4,8 @@ The vectors are packed into blocks. Each block keeps one list of its rows for ev
 that component. A query walks all lists at once (from the top where its own component is positive, from
 the bottom where it is negative), scores in full the rows that it meets for the first time, and stops as
 soon as the best score that a row not yet met could have is below its k-th best: nothing unseen can then
-enter, so the result is exact. The k best of each block are merged per query.
+enter, so the result is exact. A task carries the k best of its blocks along, so that the next block starts with
+their bound; the k best of all tasks are merged per query.
 """
 
 from __future__ import annotations
@@ -29,37 +30,49 @@ class SortedLists:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable")
+        # A list in each column, from the smallest component to the largest; read from the end for the reverse.
+        self.order = np.argsort(vectors, axis=0, kind="stable").astype(np.int32)
 
-    def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows but `own`, by score and then smaller id."""
+    def _rows(self, used: np.ndarray, down: np.ndarray, start: int, stop: int) -> np.ndarray:
+        """Rows at places start to stop of the lists of dimensions `used`, from the top where `down` says so."""
+        n = len(self.ids)
+        upper, lower = self.order[n - stop : n - start, used[down]], self.order[start:stop, used[~down]]
+        return np.concatenate((upper.ravel(), lower.ravel()))
+
+    def best(self, query: np.ndarray, own: int, k: int, floor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best rows but `own`, by score and then smaller id; of those below `floor`, the k-th best
+        score of other blocks, any may be missing."""
         n = len(self.ids)
         used = np.flatnonzero(query)
         weight = query[used]
-        lists = self.order[:, used]
-        lists = np.where(weight > 0, lists[::-1], lists)
+        down = weight > 0
         seen = np.zeros(n, bool)
         seen[self.ids == own] = True
         ids, scores = np.empty(0, np.int64), np.empty(0, np.int64)
         depth, step = 0, max(k, 16)
         while depth < n:
             if not len(used):
-                met = np.arange(n)
-                depth = n
+                met, depth = np.flatnonzero(~seen), n
             else:
-                met = np.unique(lists[depth : depth + step])
-                depth = min(n, depth + step)
-                step *= 2
-            met = met[~seen[met]]
+                new = np.zeros(n, bool)
+                stop = min(n, depth + step)
+                new[self._rows(used, down, depth, stop)] = True
+                met = np.flatnonzero(new & ~seen)
+                depth, step = stop, step * 2
             seen[met] = True
             if len(met):
-                ids = np.concatenate((ids, self.ids[met]))
-                scores = np.concatenate((scores, self.vectors[met] @ query))
+                score = self.vectors[met] @ query
+                least = scores[-1] if len(ids) == k else floor
+                if least is not None:
+                    met, score = met[score >= least], score[score >= least]
+                ids, scores = np.concatenate((ids, self.ids[met])), np.concatenate((scores, score))
                 first = np.lexsort((ids, -scores))[:k]
                 ids, scores = ids[first], scores[first]
-            if depth < n and len(ids) == k:
-                bound = int((self.vectors[lists[depth - 1], used] * weight).sum())
-                if bound < scores[-1]:
+            least = max((x for x in (scores[-1] if len(ids) == k else None, floor) if x is not None), default=None)
+            if depth < n and least is not None:
+                # No row not yet met has more in any dimension than the places where the lists were left.
+                at = np.where(down, self.order[n - depth, used], self.order[depth - 1, used])
+                if int((self.vectors[at, used] * weight).sum()) < least:
                     break
         return ids, scores
 
@@ -91,7 +104,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024)
     Fewer than k candidates give fewer rows. Repeated rows each count as candidates; of the rows with one
     query id the smallest vector asks. An empty table gives no rows.
     Queries are read in blocks of BLOCK_COMPONENTS, each broadcast and put to all rows in one pass; the k
-    best of each block of rows are merged by a window over (query, row block) results.
+    best of each task are merged by a window over (query, task) results. Rows with a score equal to the k-th best are
+    met before a search stops, so ties are exact.
     """
     spark = vectors.sparkSession
     usable = vectors.where("vec_id is not null and embedding is not null").where(
@@ -110,16 +124,23 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024)
 
         def search(batches, shared=shared):
             held: dict[int, tuple[list[np.ndarray], list[np.ndarray], list[int]]] = {}
+            #: Of each query the k best of the task's blocks, whose k-th the next block has to reach.
+            best: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
-            def answers(dims):
+            def answer(dims):
                 ids, rows, _ = held.pop(dims)
                 if dims not in shared.value:
                     return
                 ids = np.concatenate(ids)
                 lists = SortedLists(ids, np.concatenate(rows).reshape(len(ids), dims))
-                for q, v in zip(*shared.value[dims], strict=True):
-                    ids, scores = lists.best(v, int(q), k)
-                    yield batch({"query_id": np.full(len(ids), q), "vec_id": ids, "score": scores}, schema)
+                asked = list(zip(*shared.value[dims], strict=True))
+                own = best.setdefault(dims, [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(asked))
+                for at, (q, v) in enumerate(asked):
+                    ids, scores = own[at]
+                    more = lists.best(v, int(q), k, int(scores[-1]) if len(ids) == k else None)
+                    ids, scores = np.concatenate((ids, more[0])), np.concatenate((scores, more[1]))
+                    first = np.lexsort((ids, -scores))[:k]
+                    own[at] = ids[first], scores[first]
 
             for part in batches:
                 values = part.column(1)
@@ -136,9 +157,13 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024)
                         rows.append(flat[(start[some][:, None] + np.arange(dims)).ravel()])
                         count[0] += len(some)
                         if count[0] >= BLOCK_ROWS:
-                            yield from answers(dims)
+                            answer(dims)
             for dims in list(held):
-                yield from answers(dims)
+                answer(dims)
+            for dims, own in best.items():
+                for q, (ids, scores) in zip(shared.value[dims][0], own, strict=True):
+                    if len(ids):
+                        yield batch({"query_id": np.full(len(ids), q), "vec_id": ids, "score": scores}, schema)
 
         part = whole.mapInArrow(search, kind)
         found = part if found is None else found.unionByName(part)
