@@ -1,14 +1,17 @@
 """Token ids in files, compressed by a Re-Pair grammar for each block of a shard.
 
-A shard holds a range of doc_ids in ascending order, as blocks of whole documents. In a block the most
-frequent pairs of neighbouring symbols are replaced by new symbols, again and again; pairs never cross a
-document's end. The file keeps the rules, the length that each rule expands to and the symbols left, so
-that any document, and any position in it, is decoded without its neighbours.
+A shard holds a range of doc_ids in ascending order, as blocks of whole documents, each with a grammar of its
+own, so that it is decoded without other blocks. In a block the most frequent pairs of neighbouring symbols are
+replaced by new symbols, again and again, until no pair is left that occurs PAIR_COUNT times; a round replaces all
+such pairs, where they meet the more frequent one. Pairs never cross a document's end. The file keeps the rules,
+the length that each rule expands to and the symbols left, in as many bits as they need, so that any document,
+and any position in it, is decoded without its neighbours.
 
 File format: Parquet rows (shard, block, start, n_tokens, doc_ids, sizes, payload), so that Spark's commit
 protocol covers lost and repeated tasks. start counts from the shard's first id; sizes are ids per document.
-payload, little-endian: magic "RPG1"; u32 lowest rule symbol, rules, symbols, documents, bytes per symbol;
-then rules as u32 pairs, their expansion lengths as u32, symbols per document as u32, and the symbols.
+payload, little-endian: magic "RPG2"; u32 lowest rule symbol, rules, symbols, documents, bits per symbol;
+then rules as u32 pairs, their expansion lengths as u32, symbols per document as u32, and the symbols, one after
+another from each byte's highest bit on, the highest bit of a symbol first.
 """
 
 from __future__ import annotations
@@ -29,13 +32,12 @@ from pyspark.sql import functions as F
 from ..tables import work_path
 from .common import batch, texts
 
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 #: Ids after which a block ends with the document at hand; bounds a task's memory together with the longest document.
 BLOCK_IDS = 1_000_000
-#: A pair is worth a rule from this count on.
-PAIR_COUNT = 6
-#: Replacement rounds for a block, and new rules in a round; symbols stay below 2^16 while that suffices for the vocabulary.
-ROUNDS, ROUND_RULES = 6, 4096
+#: A pair is worth a rule, which takes twelve bytes, from this count on: a replaced pair saves about two bytes, and with
+#: 8 the files of sf0.1 are smaller than with 6, 10 or 12.
+PAIR_COUNT = 8
 CACHE_CHUNKS = 700_000
 #: Characters that are split and encoded at once, unless one text has more.
 SLICE_BYTES = 10_000_000
@@ -54,20 +56,25 @@ class Grammar:
         """The ids of all rules one after another, and where each rule's begin."""
         starts = np.concatenate(([0], np.cumsum(self.lengths)))
         if self._pool is None:
-            pool, low = np.empty(int(starts[-1]), np.uint32), self.lowest
-            begin = starts.tolist()
-            for n, (a, b) in enumerate(self.rules.tolist()):
-                at = begin[n]
-                for symbol in (a, b):
-                    if symbol < low:
-                        pool[at] = symbol
-                        at += 1
-                    else:
-                        k = symbol - low
-                        size = begin[k + 1] - begin[k]
-                        pool[at : at + size] = pool[begin[k] : begin[k + 1]]
-                        at += size
-            self._pool = pool
+            self._pool = pool = np.empty(int(starts[-1]), np.uint32)
+            # Rules by depth: the two symbols of a rule are expanded before it.
+            inner = self.rules >= self.lowest
+            child = np.where(inner, self.rules.astype(np.int64) - self.lowest, 0)
+            depth = np.zeros(len(self.rules), np.int32)
+            while True:
+                deeper = np.where(inner, depth[child] + 1, 0).max(1, initial=0)
+                if (deeper == depth).all():
+                    break
+                depth = deeper
+            size = np.where(inner, self.lengths[child], 1)
+            to = np.stack((starts[:-1], starts[:-1] + size[:, 0]), 1)
+            for level in range(int(depth.max(initial=-1)) + 1):
+                here = (depth == level)[:, None]
+                plain, composed = here & ~inner, here & inner
+                pool[to[plain]] = self.rules[plain]
+                n = size[composed]
+                place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                pool[np.repeat(to[composed], n) + place] = pool[np.repeat(starts[child[composed]], n) + place]
         return self._pool, starts
 
     def sizes(self, symbols: np.ndarray) -> np.ndarray:
@@ -87,82 +94,110 @@ class Grammar:
         return whole[np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(first[symbols] - (ends - size), size)]
 
 
-def _slot(code: np.ndarray) -> np.ndarray:
-    """An 18-bit hash of each pair."""
-    return ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
+def _packed(symbols: np.ndarray, bits: int) -> bytes:
+    """Symbols of so many bits each, one after another."""
+    parts = []
+    for at in range(0, len(symbols), 1 << 18):  # a multiple of eight symbols fills whole bytes
+        wide = symbols[at : at + (1 << 18)].astype(">u4").view(np.uint8).reshape(-1, 4)
+        parts.append(np.packbits(np.unpackbits(wide, axis=1)[:, 32 - bits :]).tobytes())
+    return b"".join(parts)
+
+
+def _unpacked(raw: np.ndarray, count: int, bits: int) -> np.ndarray:
+    """The symbols of _packed()."""
+    out = np.empty(count, np.uint32)
+    step = 1 << 18
+    for at in range(0, count, step):
+        n = min(step, count - at)
+        first = at * bits // 8
+        some = np.unpackbits(raw[first : first + (n * bits + 7) // 8], count=n * bits).reshape(n, bits)
+        wide = np.zeros((n, 32), np.uint8)
+        wide[:, 32 - bits :] = some
+        out[at : at + n] = np.packbits(wide, axis=1).view(">u4")[:, 0]
+    return out
+
+
+def _candidates(code: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """Places of the pairs that may occur PAIR_COUNT times: those whose 20-bit hash does."""
+    slot = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
+    count = np.bincount(slot[valid], minlength=1 << 20)
+    return np.flatnonzero((count >= PAIR_COUNT)[slot] & valid)
+
+
+def _round(symbols: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One round: the pairs that get a rule, the most frequent first, and the places where each is replaced, with its
+    number. Pairs that overlap are replaced where the more frequent one is."""
+    none = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    if len(symbols) < 2:
+        return none
+    code = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
+    valid = ~last[:-1]
+    # Of a run of one symbol, every other pair counts.
+    same = np.flatnonzero(valid & (symbols[:-1] == symbols[1:]))
+    if len(same):
+        first = np.concatenate(([True], np.diff(same) != 1))
+        start = same[np.maximum.accumulate(np.where(first, np.arange(len(same)), 0))]
+        valid[same[(same - start) % 2 == 1]] = False
+    at = _candidates(code, valid)
+    found, number, count = np.unique(code[at], return_inverse=True, return_counts=True)
+    often = np.flatnonzero(count >= PAIR_COUNT)
+    if not len(often):
+        return none
+    # Equal counts go by a hash: in the order of symbols, each pair of a rising row would wait for the one before it.
+    often = often[np.lexsort((found[often] * np.uint64(0x9E3779B97F4A7C15), -count[often]))]
+    rank = np.full(len(found), len(found), np.int32)
+    rank[often] = np.arange(len(often), dtype=np.int32)
+    own = np.full(len(symbols) + 1, len(found), np.int32)  # rank of the pair at each place, shifted by one
+    own[at + 1] = rank[number]
+    at = at[own[at + 1] < len(found)]
+    mine = own[at + 1]
+    take = (mine < own[at]) & (mine <= own[at + 2]) if len(at) else np.empty(0, bool)
+    at, mine = at[take], mine[take]
+    uses = np.bincount(mine, minlength=len(often))
+    # What a more frequent pair left too few of waits for the next round; the first one keeps all its places.
+    kept = np.flatnonzero(uses >= PAIR_COUNT)
+    new = np.full(len(often), -1, np.int64)
+    new[kept] = np.arange(len(kept))
+    stay = new[mine] >= 0
+    return found[often[kept]], at[stay], new[mine[stay]]
 
 
 def compress(ids: np.ndarray, sizes: np.ndarray, lowest: int) -> bytes:
     """The payload of one block. ids: below lowest; sizes: ids of each document, at least 1."""
-    room = 65536 - lowest if lowest < 65000 else 1 << 20
     symbols, last = ids.astype(np.uint32), np.zeros(len(ids), bool)
     last[np.cumsum(sizes) - 1] = True
-    narrow = lowest + room <= 65536
-    pair_type, half = (np.uint32, np.uint32(16)) if narrow else (np.uint64, np.uint64(32))
     rules: list[np.ndarray] = []
-    made = 0
-    for _ in range(ROUNDS):
-        if made >= room or len(symbols) < 2:
+    length = np.ones(lowest, np.uint32)
+    while True:
+        pairs, at, number = _round(symbols, last)
+        if not len(pairs):
             break
-        code = symbols[:-1].astype(pair_type)
-        code <<= half
-        code |= symbols[1:]
-        counted = np.sort(code[~last[:-1]])
-        if not len(counted):
-            break
-        edges = np.flatnonzero(np.concatenate(([True], counted[1:] != counted[:-1])))
-        counts = np.diff(np.append(edges, len(counted)))
-        often = np.flatnonzero(counts >= PAIR_COUNT)
-        often = often[np.lexsort((often, -counts[often]))][: min(ROUND_RULES, room - made)]
-        if not len(often):
-            break
-        picked = counted[edges[often]]
-        #: Rank of a pair by its hash; of pairs that share a slot, the most frequent is kept and the others wait.
-        table = np.full(1 << 18, len(often), np.int32)
-        table[_slot(picked[::-1])] = np.arange(len(often), dtype=np.int32)[::-1]
-        rank = np.full(len(symbols) + 1, len(often), np.int32)  # of the pair that begins at each place, shifted by one
-        mine = rank[1:]
-        mine[:-1] = table[_slot(code)]
-        at = np.flatnonzero(mine < len(often))
-        wrong = (picked[mine[at]] != code[at]) | last[at]
-        mine[at[wrong]] = len(often)
-        at = at[~wrong]
-        after = np.append(mine[1:], len(often))
-        take = at[(mine[at] < rank[:-1][at]) & (mine[at] <= after[at])]
-        rules.append(np.stack((picked >> half, picked & pair_type((1 << int(half)) - 1)), 1).astype(np.uint32))
-        symbols[take] = (lowest + made + mine[take]).astype(np.uint32)
-        last[take] = last[take + 1]
+        rules.append(np.stack((pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)), 1).astype(np.uint32))
+        symbols[at] = (len(length) + number).astype(np.uint32)
+        last[at] = last[at + 1]
         stay = np.ones(len(symbols), bool)
-        stay[take + 1] = False
+        stay[at + 1] = False
         symbols, last = symbols[stay], last[stay]
-        made += len(often)
-        if len(take) < 0.01 * len(symbols):
-            break
-    pairs = np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
-    length = np.ones(lowest + len(pairs), np.uint32)
-    at = lowest
-    for some in rules:  # a round's rules hold symbols of earlier rounds only
-        length[at : at + len(some)] = length[some[:, 0]] + length[some[:, 1]]
-        at += len(some)
-    ends = np.flatnonzero(last)
-    per_doc = np.diff(np.concatenate(([-1], ends))).astype(np.uint32)
-    wide = 2 if lowest + len(pairs) <= 65536 else 4
-    head = _HEAD.pack(MAGIC, lowest, len(pairs), len(symbols), len(sizes), wide)
-    return b"".join((head, pairs.astype("<u4").tobytes(), length[lowest:].astype("<u4").tobytes(), per_doc.astype("<u4").tobytes(), symbols.astype(f"<u{wide}").tobytes()))
+        length = np.concatenate((length, length[rules[-1]].sum(1, dtype=np.uint32)))
+    made = np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
+    per_doc = np.diff(np.concatenate(([-1], np.flatnonzero(last)))).astype("<u4")
+    bits = max(len(length) - 1, 1).bit_length()
+    head = _HEAD.pack(MAGIC, lowest, len(made), len(symbols), len(sizes), bits)
+    return b"".join((head, made.astype("<u4").tobytes(), length[lowest:].astype("<u4").tobytes(), per_doc.tobytes(), _packed(symbols, bits)))
 
 
 class Block:
     """A payload opened for random access."""
 
     def __init__(self, payload: bytes):
-        magic, lowest, rules, symbols, docs, wide = _HEAD.unpack_from(payload)
+        magic, lowest, rules, symbols, docs, bits = _HEAD.unpack_from(payload)
         if magic != MAGIC:
             raise ValueError("not a token block")
         at = _HEAD.size
         pairs = np.frombuffer(payload, "<u4", 2 * rules, at).reshape(rules, 2)
         lengths = np.frombuffer(payload, "<u4", rules, at := at + 8 * rules)
         per_doc = np.frombuffer(payload, "<u4", docs, at := at + 4 * rules)
-        self.symbols = np.frombuffer(payload, f"<u{wide}", symbols, at + 4 * docs)
+        self.symbols = _unpacked(np.frombuffer(payload, np.uint8, offset=at + 4 * docs), symbols, bits)
         self.ends = np.cumsum(per_doc, dtype=np.int64)
         self.grammar = Grammar(lowest, pairs, lengths.astype(np.int64))
 

@@ -592,7 +592,38 @@ def test_grammar_round_trip_and_random_access():
 
 def test_grammar_shrinks_repeats():
     ids = np.tile(np.arange(10, dtype=np.uint32), 5000)
-    assert len(tokenfiles.compress(ids, np.array([len(ids)]), 50)) < len(ids)
+    assert len(tokenfiles.compress(ids, np.array([len(ids)]), 50)) < len(ids) / 50
+    # Copies of a document shrink to next to one symbol each, a long run to next to none.
+    copies = np.tile(np.arange(300, dtype=np.uint32), 400)
+    block = tokenfiles.Block(tokenfiles.compress(copies, np.full(400, 300), 70_000))
+    assert len(block.symbols) <= 2 * 400 and (block.all() == copies).all() and (block.document(399) == copies[:300]).all()
+    run = np.full(100_000, 7, np.uint32)
+    block = tokenfiles.Block(tokenfiles.compress(run, np.array([len(run)]), 9))
+    assert len(block.symbols) < 40 and (block.span(0, 99_000, 99_010) == 7).all()
+
+
+def test_no_pair_is_left_that_repeats():
+    rng = np.random.default_rng(4)
+    for top, n in ((3, 500), (40, 4000), (2, 300)):
+        ids = rng.integers(0, top, n).astype(np.uint32)
+        sizes = np.array([n // 4, n - n // 4])
+        block = tokenfiles.Block(tokenfiles.compress(ids, sizes, top))
+        assert (block.all() == ids).all()
+        met: Counter = Counter()
+        for a, b in zip([0, *block.ends], block.ends, strict=False):
+            own, at = block.symbols[a:b].tolist(), 0
+            while at + 1 < len(own):  # pairs that don't overlap themselves
+                met[own[at], own[at + 1]] += 1
+                at += 2 if own[at] == own[at + 1] and at + 2 < len(own) and own[at + 2] == own[at] else 1
+        assert max(met.values()) < tokenfiles.PAIR_COUNT
+
+
+def test_symbols_are_packed():
+    rng = np.random.default_rng(5)
+    for bits in (1, 3, 8, 17, 32):
+        for n in (0, 1, 7, 1000, (1 << 18) + 3):
+            symbols = rng.integers(0, 1 << bits, n, dtype=np.uint64).astype(np.uint32)
+            assert (tokenfiles._unpacked(np.frombuffer(tokenfiles._packed(symbols, bits), np.uint8), n, bits) == symbols).all()
 
 
 # --- queries and pipeline ---
