@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+import re
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, fields
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from ..config import DEFAULTS, Settings
 from ..functions import lexicon as L
 from ..functions import text as T
-from .rank import hash_embedding
 
 ISSUE = "array<struct<kind:string,detail:string,severity:string,span:string>>"
 
@@ -23,24 +27,27 @@ def extractive(papers: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """doc_id and summary: the best sentences of the abstract in their order; the title where there is no abstract.
 
     A sentence scores its overlap with the title, 1 for announcing a finding, 0.5 in first and 0.3 in one of
-    the last two places; of equal scores the later one wins. papers: doc_id, title, abstract."""
+    the last two places; of equal scores the later one wins. Row by row, without a shuffle. papers: doc_id, title,
+    abstract."""
     most = settings.summary_sentences
-    each = papers.select("doc_id", "title", "abstract", T.abstract_sentences(F.coalesce("abstract", F.lit(""))).alias("s"))
-    title_words = T.content_words(F.col("title"))
-    rows = each.where(F.size("s") > most).select("doc_id", title_words.alias("tw"), F.size("s").alias("n"), F.posexplode("s").alias("i", "sentence"))
-    words = T.content_words(F.col("sentence"))
-    finding = F.exists(T.words_in(L.FINDING_MARKERS), lambda m: F.contains(F.lower("sentence"), m))
-    place = F.when(F.col("i") == 0, 0.5).when(F.col("i") >= F.col("n") - 2, 0.3).otherwise(0.0)
-    score = F.size(F.array_intersect("w", "tw")) / F.greatest(F.size("tw"), F.lit(1)) + F.when(finding, 1.0).otherwise(0.0) + place
-    rows = rows.withColumn("w", words).where(F.size("w") > 0).withColumn("score", F.round(score, 9))
-    order = Window.partitionBy("doc_id").orderBy(F.desc("score"), F.desc("i"))
-    top = rows.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most)
-    top = top.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "sentence"))), lambda x: x["sentence"]), " ").alias("chosen"))
+    each = papers.select("doc_id", "title", "abstract", T.abstract_sentences(F.coalesce("abstract", F.lit(""))).alias("s"), T.content_words(F.col("title")).alias("tw"))
+    each = each.withColumn("tn", F.greatest(F.size("tw"), F.lit(1))).withColumn("n", F.size("s"))
+    worded = F.transform("s", lambda x, i: F.struct(T.content_words(x).alias("w"), F.exists(T.words_in(L.FINDING_MARKERS), lambda m: F.contains(F.lower(x), m)).alias("found"), i.alias("i")))
+
+    def scored(x: Column) -> Column:
+        place = F.when(x["i"] == 0, 0.5).when(x["i"] >= F.col("n") - 2, 0.3).otherwise(0.0)
+        score = F.size(F.array_intersect(x["w"], F.col("tw"))) / F.col("tn") + F.when(x["found"], 1.0).otherwise(0.0) + place
+        return F.struct(F.round(score, 9).alias("score"), x["i"].alias("i"))
+
+    # Sentences are parted in a projection of their own, so that they are parted once.
+    each = each.withColumn("x", F.when(F.col("n") > most, F.transform(F.filter(worded, lambda x: F.size(x["w"]) > 0), scored)))
+    best = F.array_sort(F.transform(F.slice(F.sort_array("x", asc=False), 1, most), lambda x: x["i"]))
+    chosen = F.array_join(F.transform(best, lambda i: F.get("s", i)), " ")
     text = (
-        F.when(F.coalesce(F.trim("abstract"), F.lit("")) == "", F.trim("title")).when(F.size("s") == 0, F.trim("abstract"))
-        .otherwise(F.coalesce("chosen", F.array_join(F.slice("s", 1, most), " ")))
+        F.when(F.coalesce(F.trim("abstract"), F.lit("")) == "", F.trim("title")).when(F.col("n") == 0, F.trim("abstract"))
+        .otherwise(F.when(F.size("x") > 0, chosen).otherwise(F.array_join(F.slice("s", 1, most), " ")))
     )
-    return each.join(top, "doc_id", "left").select("doc_id", text.alias("summary"))
+    return each.select("doc_id", text.alias("summary"))
 
 
 def _issue(kind: str, detail: Column, span: Column, severity: str = "blocking") -> Column:
@@ -146,22 +153,77 @@ def windows(s: Column, most: int = DEFAULTS.support_window) -> Column:
     return F.concat(*[runs(w) for w in range(1, most + 1)])
 
 
-def _similarities(left: DataFrame, right: DataFrame) -> DataFrame:
-    """doc_id, i, j and sim of all pairs of two tables (doc_id, i or j, text) within a document."""
-    a, b = hash_embedding(left, ["doc_id", "i"]), hash_embedding(right, ["doc_id", "j"])
-    met = a.withColumnRenamed("w", "wa").join(b.withColumnRenamed("w", "wb"), ["doc_id", "bucket"]).groupBy("doc_id", "i", "j").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
-    pairs = left.select("doc_id", "i").join(right.select("doc_id", "j"), "doc_id")
-    return pairs.join(met, ["doc_id", "i", "j"], "left").withColumn("sim", F.round(F.coalesce("sim", F.lit(0.0)), 9))
+class _Terms(dict):
+    """Bucket and sign of hashed words, as hash_embedding() gives them."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, term: str) -> tuple[int, float]:
+        if len(self) >= 100_000:
+            self.clear()
+        raw = hashlib.md5(term.encode(), usedforsecurity=False).digest()
+        value = self[term] = int.from_bytes(raw[:4], "little") % self.dim, 1.0 if raw[4] % 2 else -1.0
+        return value
+
+
+_TERM = re.compile("[a-z0-9]{3,}")
+
+
+def _vectors(texts: list[str], known: _Terms) -> np.ndarray:
+    """Unit vectors of signed hashed words, a row for each text."""
+    out = np.zeros((len(texts), known.dim))
+    for row, text in zip(out, texts, strict=True):
+        for term, n in Counter(_TERM.findall(text.lower())).items():
+            at, sign = known[term]
+            row[at] += sign * math.sqrt(n)
+    norm = np.sqrt((out * out).sum(1, keepdims=True))
+    return np.divide(out, norm, out=out, where=norm > 0)
+
+
+#: Texts whose vectors are held at once.
+VECTOR_ROWS = 4096
+
+
+@pandas_udf(StructType().add("best", ArrayType(DoubleType())).add("at", ArrayType(IntegerType())).add("covered", DoubleType()).add("twins", DoubleType()))
+def compared(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+    """Of the texts in left against those in right, by cosine of hashed words rounded to nine places: the best of each
+    text and its first place, the mean over right of the best there, and the best of two different texts in left.
+
+    Row by row, in blocks of VECTOR_ROWS texts, so that nothing is shuffled and a long text takes no more memory."""
+    known = _Terms(DEFAULTS.hashing_dim)
+    out = []
+    for a, b in zip(left, right, strict=True):
+        a, b = list(a) if a is not None else [], list(b) if b is not None else []
+        if not a or not b:
+            out.append((None, None, None, None))
+            continue
+        va = _vectors(a, known)
+        best, at, covered = np.full(len(a), -np.inf), np.zeros(len(a), int), 0.0
+        for start in range(0, len(b), VECTOR_ROWS):
+            sims = np.round(va @ _vectors(b[start : start + VECTOR_ROWS], known).T, 9)
+            here = sims.argmax(1)
+            more = sims[np.arange(len(a)), here] > best
+            best, at = np.where(more, sims[np.arange(len(a)), here], best), np.where(more, here + start, at)
+            covered += float(sims.max(0).sum())
+        own = np.round(va @ va.T, 9)
+        own[np.tril_indices(len(a))] = -np.inf
+        out.append((best, at, covered / len(b), float(own.max()) if len(a) > 1 else 0.0))
+    return pd.DataFrame(out, columns=["best", "at", "covered", "twins"])
 
 
 def support(texts: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """doc_id, i, support and supported of summary sentences of min_words and more, against the abstract's windows.
 
     texts: doc_id, summary, abstract."""
-    s = texts.select("doc_id", F.posexplode(T.split_sentences(F.col("summary"))).alias("i", "text")).where(F.size(F.split("text", r"\s+")) >= settings.support_min_words)
-    w = texts.select("doc_id", F.posexplode(windows(T.split_sentences(F.col("abstract")), settings.support_window)).alias("j", "text"))
-    best = _similarities(s, w).groupBy("doc_id", "i").agg(F.max("sim").alias("support"))
-    return best.withColumn("supported", F.col("support") >= settings.min_support)
+    rows = texts.select("doc_id", T.split_sentences(F.col("summary")).alias("s"), T.split_sentences(F.col("abstract")).alias("a"))
+    long = F.filter(F.transform("s", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda x: F.size(F.split(x["x"], r"\s+")) >= settings.support_min_words)
+    rows = rows.select("doc_id", long.alias("s"), windows(F.col("a"), settings.support_window).alias("w"))
+    rows = rows.withColumn("c", compared(F.transform("s", lambda x: x["x"]), "w"))
+    each = rows.select("doc_id", F.explode(F.arrays_zip(F.transform("s", lambda x: x["i"]).alias("i"), F.col("c.best").alias("best"))).alias("x"))
+    found = each.select("doc_id", F.col("x.i").alias("i"), F.col("x.best").alias("support")).where("support is not null")
+    return found.withColumn("supported", F.col("support") >= settings.min_support)
 
 
 def support_issues(supported: DataFrame) -> DataFrame:
@@ -185,14 +247,13 @@ def novelty(summary: Column, abstract: Column) -> Column:
 
 
 def _longest_run(a: list[str], b: list[str]) -> int:
-    """Length of the longest run of words in both, by extending matches from each place of the shorter text."""
-    at: dict[str, list[int]] = {}
-    for j, w in enumerate(b):
-        at.setdefault(w, []).append(j)
-    best, ends = 0, {}
+    """Length of the longest run of words in both: of each word of a, the runs that end at each place of b."""
+    known = {w: i for i, w in enumerate(dict.fromkeys(a))}
+    other = np.fromiter((known.get(w, -1) for w in b), np.int32, len(b))
+    runs, best = np.zeros(len(b) + 1, np.int32), 0
     for w in a:
-        ends = {j: ends.get(j - 1, 0) + 1 for j in at.get(w, ())}
-        best = max(best, max(ends.values(), default=0))
+        runs[1:] = np.where(other == known[w], runs[:-1] + 1, 0)
+        best = max(best, int(runs.max()))
     return best
 
 
@@ -204,16 +265,10 @@ def longest_copied_span(summary: pd.Series, abstract: pd.Series) -> pd.Series:
 
 def sentence_quality(texts: DataFrame) -> DataFrame:
     """doc_id, coverage, lead_bias and redundancy of (doc_id, summary, abstract), by hashed sentence vectors."""
-    s = texts.select("doc_id", F.posexplode(T.split_sentences(F.col("summary"))).alias("i", "text"))
-    a = texts.select("doc_id", F.posexplode(T.split_sentences(F.col("abstract"))).alias("j", "text"))
-    sim = _similarities(s, a)
-    coverage = sim.groupBy("doc_id", "j").agg(F.max("sim").alias("m")).groupBy("doc_id").agg(F.avg("m").alias("coverage"))
-    rows = a.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    lead = sim.groupBy("doc_id", "i").agg(F.max_by("j", F.struct("sim", -F.col("j"))).alias("at")).join(rows, "doc_id")
-    lead = lead.groupBy("doc_id").agg(F.when(F.first("n") <= 1, 0.5).otherwise(F.avg(F.col("at") / F.nullif(F.col("n") - 1, F.lit(0)))).alias("lead_bias"))
-    twins = _similarities(s, s.withColumnRenamed("i", "j")).where("i < j").groupBy("doc_id").agg(F.max("sim").alias("redundancy"))
-    met = coverage.join(lead, "doc_id").join(twins, "doc_id", "left")
-    return met.withColumn("redundancy", F.coalesce("redundancy", F.lit(0.0)))
+    rows = texts.select("doc_id", T.split_sentences(F.col("summary")).alias("s"), T.split_sentences(F.col("abstract")).alias("a"))
+    rows = rows.where((F.size("s") > 0) & (F.size("a") > 0)).select("doc_id", F.size("a").alias("n"), F.size("s").alias("k"), compared("s", "a").alias("c"))
+    place = F.aggregate("c.at", F.lit(0.0), lambda x, at: x + at / F.nullif(F.col("n") - 1, F.lit(0))) / F.col("k")
+    return rows.select("doc_id", F.col("c.covered").alias("coverage"), F.when(F.col("n") <= 1, 0.5).otherwise(place).alias("lead_bias"), F.col("c.twins").alias("redundancy"))
 
 
 def quality(texts: DataFrame) -> DataFrame:

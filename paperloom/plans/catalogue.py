@@ -681,7 +681,8 @@ def g02_verdict(s, d):
     return v.select("doc_id", "v.status", F.size("v.issues").cast("bigint").alias("n_issues"))
 
 
-_HALVES = f"with p as (select doc_id, array_to_string(s[1:3], ' ') as summary, array_to_string(s[2:6], ' ') as abstract from (select doc_id, {O.sentences('text')} as s from documents)), si as (select doc_id, unnest(x) as text, unnest(range(len(x))) as i from (select doc_id, {O.sentences('summary')} as x from p)), ai as (select doc_id, unnest(x) as text, unnest(range(len(x))) as j from (select doc_id, {O.sentences('abstract')} as x from p)), wi as (select doc_id, unnest(x) as text, unnest(range(len(x))) as j from (select doc_id, list_concat(x, [array_to_string(x[k:k + 1], ' ') for k in range(1, len(x))], [array_to_string(x[k:k + 2], ' ') for k in range(1, len(x) - 1)]) as x from (select doc_id, {O.sentences('abstract')} as x from p)))"
+#: The first two sentences and the made summary, against the whole text.
+_MIXED = f"with p as (select doc_id, abstract, array_to_string(({O.sentences('abstract')})[1:2], ' ') || ' ' || summary as summary from ({_MADE})), si as (select doc_id, unnest(x) as text, unnest(range(len(x))) as i from (select doc_id, {O.sentences('summary')} as x from p)), ai as (select doc_id, unnest(x) as text, unnest(range(len(x))) as j from (select doc_id, {O.sentences('abstract')} as x from p)), wi as (select doc_id, unnest(x) as text, unnest(range(len(x))) as j from (select doc_id, list_concat(x, [array_to_string(x[k:k + 1], ' ') for k in range(1, len(x))], [array_to_string(x[k:k + 2], ' ') for k in range(1, len(x) - 1)]) as x from (select doc_id, {O.sentences('abstract')} as x from p)))"
 
 
 def _sims(left: str, right: str) -> str:
@@ -690,24 +691,23 @@ def _sims(left: str, right: str) -> str:
     )
 
 
-def _halves(s, d):
-    x = table(s, d, "documents").select("doc_id", T.split_sentences(F.col("text")).alias("s"))
-    return x.select("doc_id", F.array_join(F.slice("s", 1, 3), " ").alias("summary"), F.array_join(F.slice("s", 2, 5), " ").alias("abstract"))
+def _mixed(s, d):
+    return _made(s, d).select("doc_id", "abstract", F.concat(summaries.lead(F.col("abstract"), 2), F.lit(" "), "summary").alias("summary"))
 
 
-@registered(f"{_HALVES}, long as (select * from si where len(regexp_split_to_array(text, '\\s+')) >= 4) select doc_id, cast(i as int) as i, round(max(sim), 6) as support, max(sim) >= 0.5 as supported from {_sims('long', 'wi')} group by all")
+@registered(f"{_MIXED}, long as (select * from si where len(regexp_split_to_array(text, '\\s+')) >= 4) select doc_id, cast(i as int) as i, round(max(sim), 6) as support, max(sim) >= 0.5 as supported from {_sims('long', 'wi')} group by all")
 def g09_support(s, d):
-    return summaries.support(_halves(s, d)).withColumn("support", F.round("support", 6))
+    return summaries.support(_mixed(s, d)).withColumn("support", F.round("support", 6))
 
 
 @registered(
-    f"{_HALVES}, sim as materialized {_sims('si', 'ai')}, cov as (select doc_id, avg(m) as coverage from (select doc_id, j, max(sim) as m from sim group by all) group by 1), n as (select doc_id, count(*) as n from ai group by 1), "
+    f"{_MIXED}, sim as materialized {_sims('si', 'ai')}, cov as (select doc_id, avg(m) as coverage from (select doc_id, j, max(sim) as m from sim group by all) group by 1), n as (select doc_id, count(*) as n from ai group by 1), "
     "lead as (select doc_id, case when any_value(n) <= 1 then 0.5 else avg(place / nullif(n - 1, 0)) end as lead_bias from (select doc_id, i, arg_max(j, {'s': sim, 'j': -j}) as place from sim group by all) join n using (doc_id) group by 1), "
     f"sj as (select doc_id, text, i as j from si), tw as (select doc_id, max(sim) as redundancy from {_sims('si', 'sj')} where i < j group by 1) "
     "select doc_id, round(coverage, 6) as coverage, round(lead_bias, 6) as lead_bias, round(coalesce(redundancy, 0), 6) as redundancy from cov join lead using (doc_id) left join tw using (doc_id)"
 )
 def g20_sentence_quality(s, d):
-    return _rounded(summaries.sentence_quality(_halves(s, d)))
+    return _rounded(summaries.sentence_quality(_mixed(s, d)))
 
 
 _WORDS = lambda x: f"regexp_extract_all(lower({x}), '[a-z0-9][a-z0-9''-]*')"
@@ -715,17 +715,17 @@ _PAIRS = lambda x: f"list_distinct([w[k] || ' ' || w[k + 1] for k in range(1, le
 
 
 @registered(
-    f"{_HALVES.split(', si as')[0]}, v as (select doc_id, {_WORDS('summary')} as sw, {_WORDS('abstract')} as aw from p), b as (select doc_id, sw, aw, list_distinct([sw[k] || ' ' || sw[k + 1] for k in range(1, len(sw))]) as sp, list_distinct([aw[k] || ' ' || aw[k + 1] for k in range(1, len(aw))]) as ap from v) "
+    f"{_MIXED.split(', si as')[0]}, v as (select doc_id, {_WORDS('summary')} as sw, {_WORDS('abstract')} as aw from p), b as (select doc_id, sw, aw, list_distinct([sw[k] || ' ' || sw[k + 1] for k in range(1, len(sw))]) as sp, list_distinct([aw[k] || ' ' || aw[k + 1] for k in range(1, len(aw))]) as ap from v) "
     "select doc_id, round(len(sw) / nullif(len(aw), 0), 6) as compression, round(coalesce(len([x for x in sp if not list_contains(ap, x)]) / nullif(len(sp), 0), 0), 6) as novelty from b"
 )
 def g22_novelty(s, d):
-    x = _halves(s, d)
+    x = _mixed(s, d)
     return x.select("doc_id", F.round(summaries.compression(F.col("summary"), F.col("abstract")), 6).alias("compression"), F.round(summaries.novelty(F.col("summary"), F.col("abstract")), 6).alias("novelty"))
 
 
 @registered()
 def g23_longest_copied(s, d):
-    x = _halves(s, d)
+    x = _mixed(s, d)
     return x.select("doc_id", F.round(summaries.longest_copied_span(summaries.plain_words(F.col("summary")), summaries.plain_words(F.col("abstract"))), 6).alias("span"))
 
 
