@@ -30,13 +30,20 @@ HOT_GROUP, HOT_GROUPS = 200, 100_000
 
 
 def spread_join(rows: DataFrame, groups: DataFrame, key: list[str], members: str, bound: int = HOT_GROUPS) -> DataFrame:
-    """rows joined with groups by key. members: the column of groups that says how many rows a group may have.
-
-    The groups of HOT_GROUP rows and more, of which there are few, are broadcast (if no more than `bound`), so that
-    none meets in one task; the others are joined by a shuffle."""
-    hot = sized(groups.where(F.col(members) >= HOT_GROUP), bound)
-    cold = rows.join(hot.select(key), key, "left_anti").join(groups.where(F.col(members) < HOT_GROUP), key)
-    return rows.join(hot, key).unionByName(cold)
+    """rows joined with groups, a kept table, by its unique key. members: the column of groups that says how many rows a
+    group may have.
+
+    The groups of HOT_GROUP rows and more, of which there are few, are broadcast (if no more than `bound`), and their
+    rows dealt out by their other columns; the rest is joined by a shuffle. rows are computed once."""
+    hot = groups.where(F.col(members) >= HOT_GROUP)
+    if not 0 < hot.limit(bound + 1).count() <= bound:
+        return rows.join(groups, key)
+    own = F.struct(*[c for c in groups.columns if c not in key])
+    met = rows.join(F.broadcast(hot.select(*key, own.alias("_hot"))), key, "left")
+    met = met.withColumn("_part", F.when(F.col("_hot").isNotNull(), F.xxhash64(*rows.columns)).otherwise(F.lit(0).cast("bigint")))
+    cold = groups.where(F.col(members) < HOT_GROUP).select(*key, own.alias("_cold"), F.lit(0).cast("bigint").alias("_part"))
+    met = met.join(cold, [*key, "_part"], "left").withColumn("_group", F.coalesce("_hot", "_cold")).where("_group is not null")
+    return met.select(*key, *[c for c in rows.columns if c not in key], "_group.*")
 
 
 def spread_lookup(rows: DataFrame, table: DataFrame, key: str, asked: DataFrame, bound: int) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import keep, release, sized
-from .common import spread_join
+from .common import spread_join, spread_lookup
 
 #: Lines of fewer words are never dropped; blank ones never are.
 LEAST_WORDS = 1
@@ -26,6 +26,8 @@ LEAST_WORDS = 1
 NEAR_WORDS, NEAR_CHARS = 8, 24
 #: Lines up to this number (12 bytes each) are broadcast to the texts; with more, texts are shuffled.
 JOIN_ROWS = 1_000_000
+#: At most so many lines that very many others resemble are broadcast.
+HOT_LINES = 10_000
 
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
@@ -101,7 +103,7 @@ def _earlier(variants: DataFrame) -> DataFrame:
     """own and the earliest line before it that shares a variant, for lines that have one."""
     key = ["size", "gap", "k1", "k2"]
     least = [F.min(F.when(F.col("role") == r, F.col("own"))).alias(r) for r in "RLW"]
-    groups = variants.groupBy(*key).agg(F.count(F.lit(1)).alias("met"), *least).where("met > 1")
+    groups = keep(variants.groupBy(*key).agg(F.count(F.lit(1)).alias("met"), *least).where("met > 1"), "variants")
     other = F.when(F.col("role") == "R", F.col("R")).when(F.col("role") == "L", F.col("W")).otherwise(F.col("L"))
     met = spread_join(variants, groups, key, "met").select("own", other.alias("other")).where("other < own")
     return met.groupBy("own").agg(F.min("other").alias("other"))
@@ -118,19 +120,17 @@ def dropped_lines(docs: DataFrame, least: int = LEAST_WORDS, near_words: int = N
     same = spread_join(hashed.select("h1", "h2", "doc_id", "pos"), again, ["h1", "h2"], "n")
     same = same.where((F.col("doc_id") != F.col("own.doc_id")) | (F.col("pos") != F.col("own.pos"))).select("doc_id", "pos")
     halves = classes.where("halves is not null").select("own", F.explode(F.array_distinct("halves")).alias("half"))
-    shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
+    shared = keep(halves.groupBy("half").agg(F.count(F.lit(1)).alias("met")).where("met > 1"), "halves")
     likely = keep(spread_join(halves, shared, ["half"], "met").select("own.doc_id", "own.pos").distinct(), "likely")
     likely = keep(lines.join(sized(likely, JOIN_ROWS), ["doc_id", "pos"], "left_semi").dropDuplicates(["doc_id", "pos"]), "likely")
     found = keep(_earlier(_variants(likely)), "similar")
     word_lists = likely.select(F.struct("doc_id", "pos").alias("at"), _words().alias("words"))
-    pairs = found.join(word_lists.select(F.col("at").alias("own"), F.col("words").alias("x")), "own")
-    # A line that many others resemble is looked up by all of them: it is dealt out as one row to each.
-    often = found.groupBy("other").agg(F.count(F.lit(1)).alias("met"))
-    firsts = word_lists.join(often, word_lists["at"] == often["other"]).select("other", "met", F.col("words").alias("y"))
-    pairs = spread_join(pairs, firsts, ["other"], "met", 10_000)
+    # A line that many others resemble is looked up by all of them.
+    pairs = spread_lookup(found, word_lists.select(F.col("at").alias("other"), F.col("words").alias("y")), "other", found, HOT_LINES)
+    pairs = pairs.join(word_lists.select(F.col("at").alias("own"), F.col("words").alias("x")), "own")
     similar = pairs.where(_within_one("x", "y")).select("own.doc_id", "own.pos")
     gone = keep(same.union(similar).distinct(), "gone")
-    release(classes, likely, found)
+    release(classes, shared, likely, found)
     return gone
 
 
