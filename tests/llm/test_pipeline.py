@@ -37,3 +37,9 @@ def test_stages_on_odd_input(spark):
             docs = stage(spark, docs, SMALL)
             assert docs.columns == ["doc_id", "text", "fp", "n"]
         assert docs.count() <= n and docs.where("doc_id is null").count() == min(n, 1)
+
+
+def test_line_dedup_leaves_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i, "one line of words\nmine " + str(i), 7, 8, 9, 1, 2) for i in range(3)], "doc_id long, text string, n_lines int, n_dropped int, _id int, _gone int, n_chars int")
+    left = corpus_pipeline.line_dedup(spark, docs, SMALL).orderBy("doc_id").collect()
+    assert [tuple(r) for r in left] == [(0, "one line of words\nmine 0", 7, 8, 9, 1, 2), (1, "mine 1", 7, 8, 9, 1, 6), (2, "mine 2", 7, 8, 9, 1, 6)]

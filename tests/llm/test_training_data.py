@@ -123,6 +123,24 @@ def test_near_duplicates_odd(spark):
     assert neardup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_of_empty_texts_and_hot_lists(spark, monkeypatch):
+    from paperloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_GROUP", 4)
+    rng = random.Random(31)
+    base = [f"w{rng.randrange(400)}" for _ in range(50)]
+    texts = []
+    for _ in range(40):
+        copy = list(base)
+        copy[rng.randrange(50)] = f"x{rng.randrange(99)}"
+        texts.append(" ".join(copy + [f"y{rng.randrange(9)}" for _ in range(rng.randrange(9))]))
+    texts += [texts[0]] * 9
+    told = brute_components(list(enumerate(texts)))
+    rows = neardup.near_duplicates(documents(spark, texts + [""] * 10_000)).collect()
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows}
+    assert {i: got[i] for i in told} == told and all(got[i] == (0, i, True) for i in range(len(texts), len(texts) + 10_000))
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     assert {r.doc_id: r.component_id for r in neardup.components(links).collect()} == {i: 0 for i in range(1, 61)} | {101: 100}
@@ -223,6 +241,23 @@ def test_quality_held_out(spark):
     assert sum(r.predicted == int(r.doc_id < 120) for r in held) >= 0.97 * len(held)
 
 
+def test_discriminant_against_densities(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate((rng.normal(0, 1, (70, 10)), rng.normal(0.7, 2, (40, 10)) @ rng.normal(0, 1, (10, 10))))
+    y = np.repeat([0, 1], [70, 40])
+    rows = spark.createDataFrame([(v.tolist(), int(c)) for v, c in zip(x, y, strict=True)], "x array<double>, label int")
+    got = quality.fit(rows).scores(x)
+    z = (x - x.mean(0)) / x.std(0)
+    log = []
+    for c in (0, 1):
+        own = z[y == c]
+        cov = np.cov(own.T, bias=True)
+        cov = (1 - quality.SHRINKAGE) * cov + quality.SHRINKAGE * (np.trace(cov) / 10 + 1e-6) * np.eye(10)
+        away = z - own.mean(0)
+        log.append(np.log((y == c).mean()) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", away, np.linalg.inv(cov), away))
+    assert np.allclose(got, 1 / (1 + np.exp(log[0] - log[1])), atol=1e-9)
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(4)
     plain = lambda: [rng.choice("bcdfg") + rng.choice("aeiou") + str(rng.randrange(40)) for _ in range(60)]
