@@ -12,6 +12,7 @@ from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import clusters, dedupe, entities, export, metrics, query, rank, store, summaries
 from ..operators.query import BROADCAST_ROWS
+from ..sources import drivers
 from ..sources import records as R
 from ..tables import sized
 from . import oracle as O
@@ -241,6 +242,49 @@ def s35_type_deny_list(s, d):
     return table(s, d, "part").where(~F.coalesce(F.split_part("p_type", F.lit(" "), F.lit(1)), F.lit("")).isin("PROMO", "ECONOMY")).where("p_type is not null").select("p_partkey")
 
 
+def _answers(found):
+    """A fetch that answers from the request's url, as a source would: found maps the url column to a payload column."""
+    return lambda asked: asked.select("query_id", F.when(F.col("query_id") % 7 == 3, "timeout").otherwise("ok").alias("status"), F.when(F.col("query_id") % 7 != 3, found(F.url_decode("url"))).alias("payload"))
+
+
+def _asked(s, d):
+    return query.parse(queries(s, d)).select("query_id", "raw", "search_terms", "keywords")
+
+
+def _reported(papers, reports, what):
+    found = papers.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", what))), lambda x: x[what]), ",").alias("found"))
+    return reports.join(found, "query_id", "left")
+
+
+@registered("select item_id as query_id, 'arxiv' as source, case when item_id % 7 = 3 then 'timeout' when item_id % 3 = 2 then 'parse_error' else 'ok' end as status, cast(case when item_id % 7 = 3 or item_id % 3 = 2 then 0 else 1 end as int) as returned, case when item_id % 7 = 3 or item_id % 3 = 2 then null when item_id % 3 = 0 then 'all of them' else 'any of them' end as found from benchmark")
+def s08_arxiv_search(s, d):
+    feed = lambda title, id: F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://arxiv.org/'), F.lit(id), F.lit("</id><title>"), F.lit(title), F.lit("</title></entry></feed>"))
+    any_of = lambda url: F.contains(url, F.lit(" OR all:"))
+    none = F.lit('<feed xmlns="http://www.w3.org/2005/Atom"></feed>')
+    found = lambda url: F.when(F.col("query_id") % 3 == 2, feed("Error", "api/errors#x")).when(any_of(url), feed("any of them", "abs/2301.00007")).when(F.col("query_id") % 3 == 0, feed("all of them", "abs/2301.00008")).otherwise(none)
+    return _reported(*drivers.arxiv(_asked(s, d), _answers(found)), "title")
+
+
+@registered("select item_id as query_id, 'pubmed' as source, case when item_id % 7 = 3 then 'timeout' when item_id % 4 = 1 then 'empty' else 'ok' end as status, cast(case when item_id % 7 = 3 or item_id % 4 = 1 then 0 else 2 end as int) as returned, case when item_id % 7 = 3 or item_id % 4 = 1 then null when item_id % 4 = 0 then '21,20' else '31,30' end as found from benchmark")
+def s18_pubmed_search(s, d):
+    ids = lambda *x: F.lit('{"esearchresult":{"idlist":[' + ",".join(f'"{i}"' for i in x) + "]}}")
+    one = lambda n: f"<PubmedArticle><MedlineCitation><PMID>{n}</PMID><Article><ArticleTitle>T{n}</ArticleTitle></Article></MedlineCitation></PubmedArticle>"
+    records_of = lambda *x: F.lit("<PubmedArticleSet>" + "".join(map(one, sorted(x))) + "</PubmedArticleSet>")
+    fetched = lambda url: F.when(F.contains(url, F.lit("id=21,20")), records_of(21, 20)).otherwise(records_of(31, 30))
+    searched = lambda url: F.when(F.col("query_id") % 4 == 1, ids()).when((F.col("query_id") % 4 == 0) & F.contains(url, F.lit(" AND ")), ids(21, 20)).when(F.contains(url, F.lit(" OR ")), ids(31, 30)).otherwise(ids())
+    found = lambda url: F.when(F.contains(url, F.lit("efetch")), fetched(url)).otherwise(searched(url))
+    return _reported(*drivers.pubmed(_asked(s, d), _answers(found)), "source_id")
+
+
+@registered("select item_id as query_id, 'crossref' as source, case when item_id % 7 = 3 then 'timeout' when item_id % 3 = 0 then 'parse_error' when item_id % 3 = 1 then 'empty' else 'ok' end as status, cast(case when item_id % 7 <> 3 and item_id % 3 = 2 then 2 else 0 end as int) as returned, case when item_id % 7 <> 3 and item_id % 3 = 2 then '10.1000/a,10.1000/c' end as found from benchmark")
+def s33_crossref_search(s, d):
+    works = lambda *x: '{"message":{"items":[' + ",".join(f'{{"DOI":"10.1000/{i}","title":["T"],"type":"{t}"}}' for i, t in x) + "]}}"
+    kept, denied = works(("A", L.ALLOWED_TYPES[0]), ("b", L.EXCLUDED_TYPES[0]), ("C", L.ALLOWED_TYPES[-1])), works(("d", L.EXCLUDED_TYPES[1]))
+    whole = lambda url: F.contains(url, F.lit("filter=" + ",".join(f"type:{t}" for t in L.ALLOWED_TYPES)))
+    found = lambda url: F.when(F.col("query_id") % 3 == 0, "oops").when((F.col("query_id") % 3 == 1) | ~whole(url), denied).otherwise(kept)
+    return _reported(*drivers.crossref(_asked(s, d), _answers(found)), "doi")
+
+
 @registered("select r_regionkey, 'B ' || r_regionkey as first from region")
 def s38_first_string(s, d):
     xs = F.array(F.lit("<i> </i>"), F.concat(F.lit("<b>B</b> "), F.col("r_regionkey").cast("string")), F.lit("c"))

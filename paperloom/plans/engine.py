@@ -1,6 +1,7 @@
 """The whole search as one plan for many requests: parse, retrieve, interleave, resolve, backfill, rank, enrich.
 
-Every stage is optional but retrieval, and says in stage_reports whether it was applied, to how many rows and why
+What a stage gives is written to the shared folder before the next reads it, which cuts the plan and survives lost
+executors. Every stage is optional but retrieval, and says in stage_reports whether it was applied, to how many rows and why
 not; a stage that can't run is a row there, not an exception."""
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Settings
 from ..functions import text as T
 from ..operators import backfill, clusters, dedupe, entities, export, metrics, query, rank, store, summaries
-from ..tables import sized
+from ..tables import keep, sized
 
 
 @dataclass
@@ -58,18 +59,18 @@ class Engine:
         """queries: query_id, raw. Blank ones have no answer."""
         s = self.settings
         most = min(limit or s.limit_per_source, s.max_limit_per_source)
-        parsed = self.parse(queries)
+        parsed = keep(self.parse(queries), "parsed")
         words = parsed.where("intent <> 'identifier'").select("query_id", F.posexplode("keywords").alias("i", "keyword")).select("query_id", (F.col("i") + 1).alias("kw_rank"), "keyword").dropDuplicates(["query_id", "keyword"])
         corpus = self.papers.select(F.col("id").alias("doc_id"), "source", F.concat_ws(" ", "title", "abstract").alias("text"))
         found = query.retrieve(words, corpus).unionByName(self._lookups(parsed))
-        found = query.limit_per_source(found, most).persist()  # at most limit x sources rows a query; reports read it too
+        found = keep(query.limit_per_source(found, most), "found")  # at most limit x sources rows a query; reports read it too
         asked = parsed.select("query_id").crossJoin(sized(self.sources.select("source"), query.BROADCAST_ROWS))
         reports = query.source_reports(asked, found)
         merged = query.interleave(found, F.col("source")).select("query_id", F.col("doc_id").alias("id"), F.col("merged_pos").cast("int").alias("pos"))
-        rows = merged.join(self.papers.drop("pos", "query_id"), "id").persist()
+        rows = keep(merged.join(self.papers.drop("pos", "query_id"), "id"), "rows")
         counted = [("retrieve", True, rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "")]
         if "dedupe" in self.stages:
-            placed = rows.join(dedupe.greedy_clusters(rows, s).select("query_id", "id", "cluster"), ["query_id", "id"])
+            placed = keep(rows.join(dedupe.greedy_clusters(rows, s).select("query_id", "id", "cluster"), ["query_id", "id"]), "placed")
             counted.append(("dedupe", True, dedupe.duplicates_merged(placed).withColumnRenamed("duplicates_merged", "n"), ""))
             rows = dedupe.merge_papers(placed)
         if "backfill" in self.stages and self.found_abstracts is not None:
@@ -78,7 +79,7 @@ class Engine:
             counted.append(("backfill", True, gaps.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), ""))
         elif "backfill" in self.stages:
             counted.append(("backfill", False, None, "no lookup table"))
-        rows = rows.persist()  # every enrichment reads this set
+        rows = keep(rows, "rows")  # every enrichment reads this set
         text = T.document_text(F.col("title"), F.col("abstract"), F.col("keywords"), F.col("journal"))
         candidates = rows.select("query_id", F.col("id").alias("doc_id"), "pos", "title", "abstract", text.alias("text"))
         if "rank" in self.stages:
@@ -87,7 +88,7 @@ class Engine:
             d = rank.hash_embedding(candidates.select("doc_id", "text").dropDuplicates(["doc_id"]), ["doc_id"], s.hashing_dim)
             semantic = candidates.select("query_id", "doc_id").join(q.withColumnRenamed("w", "wq"), "query_id").join(d, ["doc_id", "bucket"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("wq") * F.col("w")).alias("semantic"))
             scored = candidates.join(lexical, ["query_id", "doc_id"]).join(semantic, ["query_id", "doc_id"], "left").withColumn("semantic", F.coalesce("semantic", F.lit(0.0))).withColumn("n_tokens", F.size(T.tokens(F.col("text"))))
-            ranked = rank.rank(scored, self.strategy, s).select("query_id", F.col("doc_id").alias("id"), F.struct("combined", "semantic", "lexical", "rank", F.lit(self.strategy).alias("strategy")).alias("score"))
+            ranked = rank.rank(keep(scored, "scored"), self.strategy, s).select("query_id", F.col("doc_id").alias("id"), F.struct("combined", "semantic", "lexical", "rank", F.lit(self.strategy).alias("strategy")).alias("score"))
             out = rows.join(ranked, ["query_id", "id"], "left")
             counted.append(("rank", True, ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), ""))
         else:
