@@ -153,3 +153,8 @@ def label_silhouette(vectors: DataFrame) -> DataFrame:
     rows = met.groupBy("vec_id", "label").agg(F.max(F.when(F.col("same"), F.col("d"))).alias("a"), F.min(F.when(~F.col("same"), F.col("d"))).alias("b"))
     value = F.when(F.col("a").isNull(), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("silhouette"))
+
+
+def within(papers: DataFrame, chosen: DataFrame, key: list[str]) -> DataFrame:
+    """The papers of the chosen clusters (key)."""
+    return papers.join(chosen.select(*key).distinct(), key, "left_semi")

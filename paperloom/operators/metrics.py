@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 
 
+def graded(ranked: DataFrame, judged: DataFrame, key: list[str]) -> DataFrame:
+    """ranked with grade, 0 where judged (key, grade) has none."""
+    return ranked.join(judged, key, "left").withColumn("grade", F.coalesce("grade", F.lit(0)))
+
+
+def missing_profile(rows: DataFrame, column: str) -> DataFrame:
+    """n, missing and share: how many rows have no value."""
+    missing = F.count_if(F.col(column).isNull())
+    return rows.agg(F.count(F.lit(1)).alias("n"), missing.alias("missing"), F.round(missing / F.count(F.lit(1)), 9).alias("share"))
+
+
+def stage_counters(requests: DataFrame, flags: dict[str, Column], user: str) -> DataFrame:
+    """requests, how many of them have each flag, and the different users."""
+    return requests.agg(F.count(F.lit(1)).alias("requests"), *[F.count_if(f).alias(name) for name, f in flags.items()], F.count_distinct(user).alias("users"))
+
+
 def evaluate(ranked: DataFrame, judged: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """One row per key and k: recall, ceiling, attainment, precision, ndcg, mrr, n_relevant, n_retrieved.
 
     ranked: query_id, doc_id, rank; judged: query_id, doc_id, grade. Documents without a judgment have grade
     0; the ideal order is over all judged ones."""
-    met = ranked.join(judged, ["query_id", "doc_id"], "left").withColumn("grade", F.coalesce("grade", F.lit(0)))
+    met = graded(ranked, judged, ["query_id", "doc_id"])
     ideal = judged.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("grade"), "doc_id")))
     relevant = judged.groupBy("query_id").agg(F.count_if(F.col("grade") >= settings.relevant_grade).alias("n_relevant"))
     gain = lambda grade, at: (F.pow(F.lit(2.0), grade) - 1) / F.log2(at + F.lit(1.0))

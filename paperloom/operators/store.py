@@ -65,6 +65,26 @@ def missing_ids(requested: DataFrame, papers: DataFrame, key: str = "id") -> Dat
     return requested.join(papers.select(key), key, "left_anti")
 
 
+def cacheable(answers: DataFrame, degraded: DataFrame) -> DataFrame:
+    """The answers that may be cached: those of queries (query_id, degraded) none of whose sources failed."""
+    return answers.join(degraded.where("degraded").select("query_id"), "query_id", "left_anti")
+
+
+#: The columns of a paper that a frozen pool of candidates holds.
+POOL = ["id", "doi", "title", "abstract", "keywords", "journal", "source", "publication_type", "published_date", "citation_count"]
+
+
+def write_pool(papers: DataFrame, path: str) -> None:
+    """Freeze the candidates of each query (query_id, pos and POOL) as JSON lines, one folder for each query."""
+    papers.select("query_id", "pos", *POOL).write.partitionBy("query_id").json(path)
+
+
+def read_pool(spark: SparkSession, path: str) -> DataFrame:
+    """What write_pool() froze; query_id as text."""
+    kind = "pos int, id string, doi string, title string, abstract string, keywords array<string>, journal string, source string, publication_type string, published_date date, citation_count bigint, query_id string"
+    return spark.read.schema(kind).json(path)
+
+
 class Table:
     """A keyed table in a folder of Parquet versions: put, get, count, clear. The newest version is read."""
 

@@ -19,6 +19,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 from ..config import DEFAULTS, Settings
 from ..functions import lexicon as L
 from ..functions import text as T
+from ..tables import keep
 
 ISSUE = "array<struct<kind:string,detail:string,severity:string,span:string>>"
 
@@ -232,6 +233,15 @@ def support_issues(supported: DataFrame) -> DataFrame:
     return supported.where("not supported").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda s: s["x"]).alias("issues"))
 
 
+def with_support(judged: DataFrame, settings: Settings = DEFAULTS, summary: str = "summary") -> DataFrame:
+    """judged (doc_id, the summary, abstract, v as with_verdict() gives it, and more) with the advisory issues of
+    unsupported sentences added to those of its grounded and ungrounded verdicts. doc_id must be unique."""
+    more = support_issues(support(judged.select("doc_id", F.col(summary).alias("summary"), "abstract"), settings)).withColumnRenamed("issues", "_more")
+    met = judged.join(more, "doc_id", "left")
+    issues = F.when((F.col("v.status") == "unverifiable") | F.col("_more").isNull(), F.col("v.issues")).otherwise(F.concat("v.issues", "_more"))
+    return met.withColumn("v", F.col("v").withField("issues", issues)).drop("_more")
+
+
 def plain_words(x: Column) -> Column:
     return F.regexp_extract_all(F.lower(x), F.lit("([a-z0-9][a-z0-9'-]*)"), 1)
 
@@ -302,7 +312,8 @@ def summarise(papers: DataFrame, complete: Callable[[Column], Column] | None = N
 
     Without a provider, or for papers without abstract, the summary is extractive. Else `complete` (a column
     function from prompt to text, such as a pandas UDF) is asked, its answer checked, and once more with the
-    reasons if it was rejected; what is rejected again becomes extractive. papers: doc_id, title, abstract."""
+    reasons if it was rejected; what is rejected again becomes extractive. Sentences of a generated summary that no
+    passage supports are advisory issues. papers: doc_id, title, abstract."""
     own = extractive(papers, settings).withColumnRenamed("summary", "extract")
     rows = papers.select("doc_id", "title", "abstract").join(own, "doc_id")
     blank = F.coalesce(F.trim("abstract"), F.lit("")) == ""
@@ -311,11 +322,11 @@ def summarise(papers: DataFrame, complete: Callable[[Column], Column] | None = N
         out = rows.withColumn("v", F.struct(F.when(blank, "unverifiable").otherwise("grounded").alias("status")))
         return out.select("doc_id", F.col("extract").alias("text"), F.lit("extractive").alias("origin"), "v.status", F.array().cast(ISSUE).alias("issues"), F.when(blank, 0.0).otherwise(1.0).alias("overlap"), F.lit(0).alias("attempts"))
     asked = rows.where(~blank).repartition(settings.summary_concurrency).withColumn("text", T.strip_markdown(complete(first_prompt(F.col("title"), F.col("abstract")))))
-    asked = with_verdict(asked, "text", "abstract", settings)
+    asked = with_support(keep(with_verdict(asked, "text", "abstract", settings), "asked"), settings, "text")  # no prompt is sent twice
     good = asked.where("v.status = 'grounded'")
     bad = asked.where("v.status <> 'grounded'")
     again = bad.withColumn("text", T.strip_markdown(complete(retry_prompt(F.col("title"), F.col("abstract"), F.col("text"), F.col("v.issues"))))).drop("v")
-    again = with_verdict(again, "text", "abstract", settings)
+    again = with_support(keep(with_verdict(again, "text", "abstract", settings), "again"), settings, "text")
     rest = again.where("v.status <> 'grounded'").select(rows.columns).unionByName(rows.where(blank))
     return kept(good, "text", "generated", 1).unionByName(kept(again.where("v.status = 'grounded'"), "text", "generated", 2)).unionByName(summarise_rest(rest, settings))
 

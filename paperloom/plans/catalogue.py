@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..functions import lexicon as L
 from ..functions import text as T
-from ..operators import clusters, dedupe, entities, export, metrics, query, rank, store, summaries
+from ..operators import clusters, dedupe, entities, export, metrics, models, query, rank, store, summaries
 from ..operators.query import BROADCAST_ROWS
 from ..sources import drivers
 from ..sources import records as R
@@ -239,7 +239,9 @@ def s45_names(s, d):
 
 @registered(f"select p_partkey from part where p_type is not null and not list_contains({O.quoted(['PROMO', 'ECONOMY'])}, split_part(p_type, ' ', 1))")
 def s35_type_deny_list(s, d):
-    return table(s, d, "part").where(~F.coalesce(F.split_part("p_type", F.lit(" "), F.lit(1)), F.lit("")).isin("PROMO", "ECONOMY")).where("p_type is not null").select("p_partkey")
+    first = F.split_part("p_type", F.lit(" "), F.lit(1))
+    kind = F.when(first == "PROMO", L.EXCLUDED_TYPES[0]).when(first == "ECONOMY", L.EXCLUDED_TYPES[-1]).otherwise(L.ALLOWED_TYPES[0])
+    return table(s, d, "part").where("p_type is not null").where(R.kept_type(kind)).select("p_partkey")
 
 
 def _answers(found):
@@ -553,8 +555,7 @@ def a15_threshold_sweep(s, d):
 
 @registered(f"select count(*) as n, count(*) filter (abstract is null) as missing, round(count(*) filter (abstract is null) / count(*), 9) as share from ({O.PAPERS})")
 def a16_missing_profile(s, d):
-    missing = F.count_if(F.col("abstract").isNull())
-    return papers(s, d).agg(F.count(F.lit(1)).alias("n"), missing.alias("missing"), F.round(missing / F.count(F.lit(1)), 9).alias("share"))
+    return metrics.missing_profile(papers(s, d), "abstract")
 
 
 @registered()
@@ -744,6 +745,12 @@ def g09_support(s, d):
     return summaries.support(_mixed(s, d)).withColumn("support", F.round("support", 6))
 
 
+@registered(f"{_MIXED}, long as (select * from si where len(regexp_split_to_array(text, '\\s+')) >= 4), best as (select doc_id, i, max(sim) as support from {_sims('long', 'wi')} group by all) select doc_id, count(support) filter (support < 0.5 and trim(abstract) <> '') as unsupported from p left join best using (doc_id) group by 1")
+def g11_support_issues(s, d):
+    v = summaries.with_support(summaries.with_verdict(_mixed(s, d)))
+    return v.select("doc_id", F.size(F.filter("v.issues", lambda i: i["kind"] == "unsupported_claim")).cast("bigint").alias("unsupported"))
+
+
 @registered(
     f"{_MIXED}, sim as materialized {_sims('si', 'ai')}, cov as (select doc_id, avg(m) as coverage from (select doc_id, j, max(sim) as m from sim group by all) group by 1), n as (select doc_id, count(*) as n from ai group by 1), "
     "lead as (select doc_id, case when any_value(n) <= 1 then 0.5 else avg(place / nullif(n - 1, 0)) end as lead_bias from (select doc_id, i, arg_max(j, {'s': sim, 'j': -j}) as place from sim group by all) join n using (doc_id) group by 1), "
@@ -914,21 +921,62 @@ def x17_bulk_export(s, d):
 
 @registered("select n_nationkey, n_name, n_regionkey in (select r_regionkey from region where r_name like 'A%') as in_cluster from nation where n_regionkey in (select r_regionkey from region where r_name like 'A%')")
 def j20_cluster_filter(s, d):
-    chosen = table(s, d, "region").where("r_name like 'A%'")
-    n = table(s, d, "nation")
-    return n.join(chosen, n["n_regionkey"] == chosen["r_regionkey"], "left_semi").select("n_nationkey", "n_name", F.lit(True).alias("in_cluster"))
+    chosen = table(s, d, "region").where("r_name like 'A%'").select(F.col("r_regionkey").alias("n_regionkey"))
+    return clusters.within(table(s, d, "nation"), chosen, ["n_regionkey"]).select("n_nationkey", "n_name", F.lit(True).alias("in_cluster"))
 
 
 @registered("select query_id, doc_id, coalesce(grade, 0) as grade from (select item_id as query_id, item_id * 3 as doc_id from benchmark) r left join (" + O.JUDGED + ") using (doc_id)")
 def j17_judgments(s, d):
     r = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") * 3).alias("doc_id"))
-    return r.join(judged(s, d), "doc_id", "left").select("query_id", "doc_id", F.coalesce("grade", F.lit(0)).alias("grade"))
+    return metrics.graded(r, judged(s, d), ["doc_id"]).select("query_id", "doc_id", "grade")
 
 
 @registered("select count(*) as requests, count(*) filter (event_type = 'error') as fell_back, count(*) filter (value > 50) as regenerated, count(distinct user_id) as users from events")
 def a12_stage_counters(s, d):
-    e = table(s, d, "events")
-    return e.agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("event_type") == "error").alias("fell_back"), F.count_if(F.col("value") > 50).alias("regenerated"), F.count_distinct("user_id").alias("users"))
+    return metrics.stage_counters(table(s, d, "events"), {"fell_back": F.col("event_type") == "error", "regenerated": F.col("value") > 50}, "user_id")
+
+
+@registered("select user_id as query_id, count(*) as n from events group by 1 having not bool_or(event_type = 'error')")
+def k04_cacheable(s, d):
+    e = table(s, d, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").cast("string").alias("source"), F.expr(_STATUS).alias("status"), (F.col("event_id") % 7).alias("returned"))
+    return store.cacheable(e.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), query.degraded(e))
+
+
+@registered("select doc_id, 'lengths' as embedder, cast(length(text) as double) as size from documents")
+def r06_embedder_choice(s, d):
+    def broken():
+        raise OSError("no such model")
+
+    lengths = models.Model("lengths", lambda: lambda texts: [[float(len(t))] for t in texts])
+    choice = models.choose([models.Model("broken", broken), lengths], models.HASHING, ["probe"])
+    return models.embed(table(s, d, "documents").select("doc_id", "text"), choice).select("doc_id", "embedder", F.get("vector", F.lit(0)).alias("size"))
+
+
+@registered(f"select doc_id, round(sum(w * w), 6) as norm, count(*) filter (abs(w) > 1e-12) as n from ({O.embedding('documents', 'doc_id')}) group by 1")
+def r05_model_embedder(s, d):
+    """The hashing embedder through the interface that other models use gives the vectors of the SQL."""
+    v = models.embed(table(s, d, "documents").select("doc_id", "text"), models.choose([], models.HASHING, ["probe"]))
+    norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+    filled = F.size(F.filter("vector", lambda x: F.abs(x) > 1e-12)).cast("bigint")
+    some = F.size(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1), lambda t: F.length(t) > 2)) > 0
+    return v.where(some).select("doc_id", F.round(norm, 6).alias("norm"), filled.alias("n"))
+
+
+@registered("select n_nationkey as id, 'abstract' as field, 'someone numbered ' || n_nationkey as text, 'person' as label, 4 as start from nation where n_nationkey % 3 = 0")
+def e05_tagging_model(s, d):
+    # A model that takes each whole text for a person, every third time; dates and titles don't count.
+    label = lambda t: ("PERSON", "DATE", "ORG")[int(t.split()[-1]) % 3]
+    whole = models.Model("whole", lambda: lambda texts: [[(0, len(t), label(t))] if t.startswith("The") else [(0, len(t), "PERSON")] for t in texts])
+    text = F.concat(F.lit("The someone numbered "), F.col("n_nationkey").cast("string"))
+    rows = table(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.lit("a title").alias("title"), text.alias("abstract"))
+    found = models.tagged(rows, models.choose([whole], models.PATTERNS, ["The 0"]))
+    return found.where("raw_label <> 'ORG'").select("id", "field", "text", "label", "start")
+
+
+@registered("select event_id, event_id % 3 = 0 and event_type = 'error' as spent from events")
+def g16_quota(s, d):
+    headers = F.create_map(F.lit("X-RateLimit-Remaining-Month"), F.when((F.col("event_id") % 3 == 0) & (F.col("event_type") == "error"), " 0").otherwise("7"), F.lit("Content-Length"), F.lit("0"))
+    return table(s, d, "events").select("event_id", models.no_quota(headers).alias("spent"))
 
 
 @registered("select lang, count(*) as n_rows, count(distinct text) as n_encoded from documents group by 1")

@@ -158,12 +158,17 @@ def issued(*dates: Column) -> Column:
     return F.coalesce(*[one(d) for d in dates])
 
 
+def kept_type(x: Column) -> Column:
+    """Whether a work of this type is kept; one without a type is."""
+    return ~F.coalesce(x, F.lit("")).isin(L.EXCLUDED_TYPES)
+
+
 def crossref(payloads: DataFrame) -> DataFrame:
     """Papers of works lists or single works; excluded types and records without title or DOI are dropped."""
     many = F.from_json("payload", f"message STRUCT<items: ARRAY<{_WORK}>>")["message"]["items"]
     single = F.from_json("payload", f"message {_WORK}")["message"]
     rows = payloads.select("query_id", F.posexplode(F.coalesce(many, F.array(single))).alias("at", "w")).where("w.DOI is not null")
-    rows = rows.where(~F.coalesce(F.col("w.type"), F.lit("")).isin(L.EXCLUDED_TYPES))
+    rows = rows.where(kept_type(F.col("w.type")))
     none = F.lit(None).cast("string")
 
     def author(x: Column) -> Column:

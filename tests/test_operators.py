@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.config import Settings
-from paperloom.operators import attacks, clusters, dedupe, entities, export, metrics, query, rank, store, summaries
+from paperloom.operators import attacks, clusters, dedupe, entities, export, metrics, models, query, rank, store, summaries
 from paperloom.plans.views import papers
 
 SMALL = "/root/testdata/sf0.001"
@@ -123,6 +123,50 @@ def test_policy_retries_then_falls_back(spark):
     assert mended[1].origin == "generated" and mended[1].attempts == 2 and mended[1].status == "grounded"
 
 
+def test_models_and_their_fallbacks(spark):
+    def broken():
+        raise ImportError("not here")
+
+    def failing():
+        def encode(texts):
+            raise ValueError("no answer")
+
+        return encode
+
+    one = models.Model("one", lambda: lambda texts: [[1.0] * 3 for _ in texts])
+    got = models.choose([models.Model("a", broken), models.Model("b", failing), one], models.HASHING, ["x"])
+    assert got.model.name == "one" and got.reasons == ("a: ImportError", "b: ValueError")
+    assert models.choose([one], models.HASHING, ["x"], "two").reasons == ("two: unknown",)
+    none = models.choose([models.Model("a", broken)], models.HASHING, ["x"])
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["gene editing of genes", None, ""] * 30)], "doc_id int, text string")
+    made = models.embed(rows, none).collect()
+    assert {r.embedder for r in made} == {"hashing-256"} and all(abs(sum(x * x for x in r.vector) - (1 if r.text else 0)) < 1e-9 for r in made)
+    made = models.embed(rows.withColumnRenamed("doc_id", "odd name"), got)
+    assert made.columns == ["odd name", "text", "vector", "embedder"] and made.where("size(vector) <> 3").count() == 0
+
+
+def test_providers(spark):
+    known = {"stub": lambda key: models.Provider("stub", lambda prompt: (200, {}, key + prompt))}
+    assert models.choose_provider("none", "k", known) is None and models.choose_provider("Stub ", None, known) is None and models.choose_provider("x", "k", known) is None
+    prompts = spark.createDataFrame([("a",), ("b",)], "p string")
+    said = lambda provider: [r.t for r in prompts.coalesce(1).orderBy("p").select(models.completion(provider)(F.col("p")).alias("t")).collect()]
+    assert said(models.choose_provider("stub", "k", known)) == ["ka", "kb"]
+    assert said(models.Provider("empty", lambda p: (200, {}, "  "))) == [None, None]
+    assert said(models.Provider("spent", lambda p: (200, {}, "late") if p == "b" else (429, {"x-ratelimit-remaining": "0"}, None))) == [None, None]
+    assert said(models.Provider("busy", lambda p: (200, {}, "late") if p == "b" else (429, {"x-ratelimit-remaining": "3"}, None))) == [None, "late"]
+    assert said(models.Provider("denied", lambda p: (401, {}, None))) == [None, None]
+
+
+def test_frozen_pool(spark, tmp_path):
+    rows = [(q, i, f"id{i}", "t", ["k"], "2020-01-02", 3) for q in ("q1", "q 2/x") for i in range(3)]
+    papers = spark.createDataFrame(rows, "query_id string, pos int, id string, title string, keywords array<string>, d string, citation_count bigint")
+    papers = papers.withColumns({c: F.lit(None).cast("string") for c in ("doi", "abstract", "journal", "source", "publication_type")} | {"published_date": F.to_date("d")})
+    store.write_pool(papers, f"{tmp_path}/pool")
+    back = store.read_pool(spark, f"{tmp_path}/pool")
+    columns = ["query_id", "pos", *store.POOL]
+    assert sorted(map(str, back.select(columns).collect())) == sorted(map(str, papers.select(columns).collect()))
+
+
 def test_longest_copied_run():
     draw = random.Random(3)
     for _ in range(50):
