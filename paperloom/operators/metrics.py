@@ -27,18 +27,30 @@ def stage_counters(requests: DataFrame, flags: dict[str, Column], user: str) ->
 def evaluate(ranked: DataFrame, judged: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """One row per key and k: recall, ceiling, attainment, precision, ndcg, mrr, n_relevant, n_retrieved.
 
-    ranked: query_id, doc_id, rank; judged: query_id, doc_id, grade. Documents without a judgment have grade
-    0; the ideal order is over all judged ones."""
-    met = graded(ranked, judged, ["query_id", "doc_id"])
-    ideal = judged.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("grade"), "doc_id")))
-    relevant = judged.groupBy("query_id").agg(F.count_if(F.col("grade") >= settings.relevant_grade).alias("n_relevant"))
+    ranked: query_id, doc_id, rank; judged: query_id, doc_id, grade, or doc_id, grade if all queries share the
+    judgments. Documents without a judgment have grade 0; the ideal order is over all judged ones, of which only the
+    first max(ks) places count."""
+    shared = "query_id" not in judged.columns
+    met = graded(ranked, judged, ["doc_id"] if shared else ["query_id", "doc_id"])
+    most = max(settings.ks)
+    if shared:
+        # One group of all judgments: places come from counts by grade, as equal grades gain alike.
+        before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("grade")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        some = judged.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).select("grade", before.alias("b"), "n").where(F.col("b") < most)
+        ideal = some.select("grade", F.explode(F.sequence(F.col("b") + 1, F.least(F.col("b") + F.col("n"), F.lit(most)))).alias("at"))
+    else:
+        ideal = judged.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("grade"), "doc_id"))).where(F.col("at") <= most)
+    key = [] if shared else ["query_id"]
+    relevant = judged.groupBy(*key).agg(F.count_if(F.col("grade") >= settings.relevant_grade).alias("n_relevant"))
     gain = lambda grade, at: (F.pow(F.lit(2.0), grade) - 1) / F.log2(at + F.lit(1.0))
     found = [F.count_if((F.col("rank") <= k) & (F.col("grade") >= settings.relevant_grade)).alias(f"hits{k}") for k in settings.ks]
     found += [F.sum(F.when(F.col("rank") <= k, gain(F.col("grade"), F.col("rank"))).otherwise(0.0)).alias(f"dcg{k}") for k in settings.ks]
     first = F.coalesce(F.lit(1.0) / F.min(F.when(F.col("grade") >= settings.relevant_grade, F.col("rank"))), F.lit(0.0))
     rows = met.groupBy("query_id").agg(*found, first.alias("mrr"), F.count(F.lit(1)).alias("n_retrieved"))
-    best = ideal.groupBy("query_id").agg(*[F.sum(F.when(F.col("at") <= k, gain(F.col("grade"), F.col("at"))).otherwise(0.0)).alias(f"idcg{k}") for k in settings.ks])
-    rows = rows.join(best, "query_id", "left").join(relevant, "query_id", "left").withColumn("n_relevant", F.coalesce("n_relevant", F.lit(0)))
+    best = ideal.groupBy(*key).agg(*[F.sum(F.when(F.col("at") <= k, gain(F.col("grade"), F.col("at"))).otherwise(0.0)).alias(f"idcg{k}") for k in settings.ks])
+    for more in (best, relevant):
+        rows = rows.crossJoin(F.broadcast(more)) if shared else rows.join(more, "query_id", "left")  # shared: one row
+    rows = rows.withColumn("n_relevant", F.coalesce("n_relevant", F.lit(0)))
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"hits{k}").alias("hits"), F.col(f"dcg{k}").alias("dcg"), F.col(f"idcg{k}").alias("idcg")) for k in settings.ks]))
     rows = rows.select("query_id", "n_relevant", "n_retrieved", "mrr", each.alias("x")).select("query_id", "n_relevant", "n_retrieved", "mrr", "x.*")
     r = F.nullif(F.col("n_relevant"), F.lit(0))

@@ -14,7 +14,7 @@ from ..operators import clusters, dedupe, entities, export, metrics, models, que
 from ..operators.query import BROADCAST_ROWS
 from ..sources import drivers
 from ..sources import records as R
-from ..tables import sized
+from ..tables import keep, sized
 from . import oracle as O
 from .views import judged, papers, queries, records, table, users
 
@@ -500,7 +500,7 @@ def rank_hybrid_linear(s, d):
     return rank.rank(_scored(s, d)).where("rank <= 20").select("query_id", "doc_id", "combined", "rank")
 
 
-_STRATEGIES = {"semantic": "s * prior", "lexical": "l * prior", "linear": "(0.6::double * s + (1 - 0.6::double) * l) * prior", "rrf": "coalesce(r, 1) * prior"}
+_STRATEGIES = {"retrieval": "1.0::double / (doc_id + 1)", "unweighted": "0.6::double * s + (1 - 0.6::double) * l", "semantic": "s * prior", "lexical": "l * prior", "linear": "(0.6::double * s + (1 - 0.6::double) * l) * prior", "rrf": "coalesce(r, 1) * prior"}
 _RANKED = "ranked as (" + " union all ".join(
     f"select '{name}' as strategy, query_id, doc_id, row_number() over (partition by query_id order by round(least(greatest({value}, 0), 1), 6) desc, doc_id) as rank from fused" for name, value in _STRATEGIES.items()
 ) + ")"
@@ -515,11 +515,10 @@ metrics as (select strategy, query_id, k, hits / n_relevant::double as recall, l
 
 
 def _evaluated(s, d, strategies):
-    scored = _scored(s, d)
-    all_judged = judged(s, d).crossJoin(F.broadcast(queries(s, d).select("query_id")))
+    scored, grades = keep(_scored(s, d), "scored"), judged(s, d)
     out = None
     for name in strategies:
-        one = metrics.evaluate(rank.rank(scored, name).select("query_id", "doc_id", "rank"), all_judged).withColumn("strategy", F.lit(name))
+        one = metrics.evaluate(rank.rank(scored, name).select("query_id", "doc_id", "rank"), grades).withColumn("strategy", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 
