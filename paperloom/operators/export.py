@@ -67,10 +67,20 @@ def key_base() -> Column:
     return F.coalesce(F.nullif(F.array_join(parts, "_"), F.lit("")), F.lit("paper"))
 
 
+def sign_of(code: Column) -> Column:
+    """The sign with a code point. char() takes it modulo 256; UTF-16BE keeps U+FEFF, which UTF-32 reads as a mark."""
+    digits = lambda n: F.unhex(F.lpad(F.hex(code), n, "0"))
+    return F.when(code < 0x10000, F.decode(digits(4), "UTF-16BE")).otherwise(F.decode(digits(8), "UTF-32"))
+
+
 def with_keys(papers: DataFrame) -> DataFrame:
-    """papers with cite_key, unique within an export: repeats get a..z, then aa.. in order of pos."""
+    """papers with cite_key, unique within an export: repeats get a..z, then aa.. in order of pos.
+
+    From the 703rd repeat on, the first letter is the next sign of Unicode after z, surrogates left out."""
     n = F.row_number().over(Window.partitionBy("export_id", "_base").orderBy("pos")) - 2
-    letters = F.when(n < 26, F.char(F.lit(97) + n)).otherwise(F.concat(F.char(F.lit(96) + F.floor(n / 26)), F.char(F.lit(97) + n % 26)))
+    code = F.lit(96) + F.floor(n / 26)
+    code = F.when(code < 0xD800, code).otherwise(code + 0x800)
+    letters = F.when(n < 26, F.char(F.lit(97) + n)).otherwise(F.concat(sign_of(code), F.char(F.lit(97) + n % 26)))
     return papers.withColumn("_base", key_base()).withColumn("cite_key", F.when(n < 0, F.col("_base")).otherwise(F.concat("_base", letters))).drop("_base")
 
 
