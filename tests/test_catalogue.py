@@ -47,7 +47,7 @@ def test_all_sources_and_labels_are_answered(spark, tmp_path):
     assert catalogue.QUERIES["r08_semantic_vec"](spark, str(tmp_path)).count() == 10_500
 
 
-@pytest.mark.parametrize("name", ["x05_keys"])
+@pytest.mark.parametrize("name", ["x05_keys", "x02_bibtex"])
 def test_keys_of_many_repeats(spark, tmp_path, name):
     """Beyond 4,162 papers of one base the first letter of a key lies beyond the 256 signs of char()."""
     docs = spark.range(4500).select((F.col("id") * 2100).alias("doc_id"), F.lit("same title. and text").alias("text"), F.lit("en").alias("lang"), F.lit("a.org").alias("source"))
@@ -58,4 +58,4 @@ def test_keys_of_many_repeats(spark, tmp_path, name):
         con.sql(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
     told = con.sql(catalogue.ORACLES[name])
     got = [tuple(r) for r in catalogue.QUERIES[name](spark, str(tmp_path)).select(*told.columns).collect()]
-    assert sorted(got) == sorted(told.fetchall()) and len({r[1] for r in got}) == 4500
+    assert sorted(got) == sorted(told.fetchall()) and len({r[1].split("\n")[0] for r in got}) == 4500
