@@ -17,11 +17,11 @@ def cache_key(query: Column, limit: Column, sources: Column, fingerprint: Column
     return F.left(F.sha2(F.concat(*parts).cast("binary"), 256), F.lit(32))
 
 
-def upsert(stored: DataFrame, new: DataFrame, key: list[str], at: str) -> DataFrame:
-    """The latest row of each key; of equal times the new one."""
+def upsert(stored: DataFrame, new: DataFrame, key: list[str], at: str, tie: tuple[str, ...] = ()) -> DataFrame:
+    """The latest row of each key; of equal times the new one, of those the least by the columns of tie, which go."""
     both = stored.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    order = Window.partitionBy(*key).orderBy(F.desc(at), F.desc("_new"))
-    return both.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn", "_new")
+    order = Window.partitionBy(*key).orderBy(F.desc(at), F.desc("_new"), *tie)
+    return both.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn", "_new", *tie)
 
 
 def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

@@ -59,3 +59,19 @@ def test_keys_of_many_repeats(spark, tmp_path, name):
     told = con.sql(catalogue.ORACLES[name])
     got = [tuple(r) for r in catalogue.QUERIES[name](spark, str(tmp_path)).select(*told.columns).collect()]
     assert sorted(got) == sorted(told.fetchall()) and len({r[1].split("\n")[0] for r in got}) == 4500
+
+
+def test_upsert_keeps_the_first_of_equal_versions(spark, tmp_path):
+    """Equal versions in several files: as in the SQL, the row that stands first in the table is kept."""
+    for n, (flag, most) in enumerate((("A", 300), ("R", 30_000), ("N", 3_000))):
+        rows = spark.range(most).select((F.col("id") % 300).alias("l_orderkey"), (F.col("id") % 2 * 3 + 2).cast("int").alias("l_linenumber"), F.lit(flag).alias("l_returnflag"), F.col("id").alias("more"))
+        rows.toPandas().to_parquet(tmp_path / f"part-{n}.parquet")
+    (tmp_path / "lineitem.parquet").mkdir()
+    for n in range(3):
+        (tmp_path / f"part-{n}.parquet").rename(tmp_path / f"lineitem.parquet/part-{n}.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    con.sql(f"create view lineitem as select * from read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    told = con.sql(catalogue.ORACLES["k06_upsert_versions"]).fetchall()
+    got = catalogue.QUERIES["k06_upsert_versions"](spark, str(tmp_path)).select("id", "version", "kept").collect()
+    assert sorted(map(tuple, got)) == sorted(told)
+    assert {r.kept[0] for r in got} == {"A"}
