@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import difflib
+import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,10 +15,13 @@ from pyspark.sql.types import DoubleType
 from ..config import DEFAULTS, Settings
 from ..functions import lexicon as L
 from ..functions import text as T
-from ..tables import keep, release
+from ..tables import keep, release, sized
+from .query import BROADCAST_ROWS
 
 #: Parts that a block of titles is dealt to.
 SALTS = 8
+#: Signs of a title from which on no edit distance is computed, and signs of a run that two titles may share.
+LONG_KEY, GRAM = 400, 4
 _PREPRINTS = tuple(L.PREPRINT_PREFIXES)
 
 
@@ -26,10 +31,43 @@ def preprint_pair(doi_a: Column, doi_b: Column, title_a: Column, title_b: Column
     return doi_a.isNotNull() & doi_b.isNotNull() & (is_preprint(doi_a) | is_preprint(doi_b)) & (title_a == title_b) & (title_a != "")
 
 
-@pandas_udf(DoubleType())
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The matching-blocks ratio of two titles, which no built-in function gives."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
+def _most(x: str, y: str) -> float:
+    """An upper bound of the matching-blocks ratio, from signs in common and runs of GRAM signs in common.
+
+    A sign without a partner spoils at most GRAM of the runs, whichever title it is in, so that u such signs leave at
+    least (runs of the longer - GRAM * u) runs in common. For titles of one byte a sign."""
+    a, b = (np.frombuffer(t.encode("latin-1"), np.uint8) for t in (x, y))
+    both = len(a) + len(b)
+    most = 2.0 * int(np.minimum(np.bincount(a, minlength=256), np.bincount(b, minlength=256)).sum()) / both
+    if min(len(a), len(b)) < GRAM:
+        return most
+    runs = []
+    for t in (a, b):
+        code = np.zeros(len(t) - GRAM + 1, np.uint64)
+        for i in range(GRAM):
+            code = code * np.uint64(256) + t[i : len(code) + i]
+        runs.append(np.unique(code, return_counts=True))
+    (ca, na), (cb, nb) = runs
+    _, i, j = np.intersect1d(ca, cb, assume_unique=True, return_indices=True)
+    common, longer = int(np.minimum(na[i], nb[j]).sum()), max(len(a), len(b)) - GRAM + 1
+    unmatched = -(-(longer - common) // GRAM)
+    return min(most, 2.0 * ((both - unmatched) // 2) / both)
+
+
+def _ratio(least: float):
+    """The matching-blocks ratio of two titles, which no built-in function gives; null where a bound tells that it is
+    under least."""
+
+    def one(x: str | None, y: str | None) -> float | None:
+        if x is None or y is None or (len(x) + len(y) > 400 and _most(x, y) < least):
+            return None
+        return difflib.SequenceMatcher(None, x, y).ratio()
+
+    @pandas_udf(DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return ratio
 
 
 def keyed(papers: DataFrame) -> DataFrame:
@@ -40,19 +78,34 @@ def keyed(papers: DataFrame) -> DataFrame:
 def fuzzy_pairs(papers: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """query_id, left_id and right_id of different title keys that are nearly the same.
 
-    Keys meet within blocks of equal first signs and are compared once each: equal keys are one row before
-    the join. A ratio of r leaves at most (1 - r) * (both lengths) signs unmatched, so no pair with a greater edit
-    distance reaches the ratio; lengths are compared before that. A block's rows are dealt to SALTS parts, so that
-    many titles with one start don't meet in one task. papers: query_id, id, title."""
+    Keys meet within blocks of equal first signs and of lengths that leave the ratio within reach, and are compared
+    once each: equal keys are one row before the join, and those alone in their block take no part. A ratio of r leaves
+    at most (1 - r) * (both lengths) signs unmatched, so no pair with a greater edit distance reaches the ratio; of long
+    keys, for which the distance takes the product of their lengths, common signs and runs of signs are counted
+    instead. A block's rows are dealt to SALTS parts, so that many titles with one start don't meet in one task.
+    papers: query_id, id, title."""
     keys = keyed(papers).where("key <> ''").groupBy("query_id", "key").agg(F.min("id").alias("id"))
-    keys = keys.withColumn("block", F.left("key", F.lit(settings.block_prefix))).where(F.length("key") >= settings.block_prefix)
-    salt = {"left": F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"), "right": F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))}
-    a, b = (keys.select("query_id", "block", salt[side].alias("salt"), F.col("id").alias(f"{side}_id"), F.col("key").alias(f"{side}_key")) for side in ("left", "right"))
-    shorter, longer = (f(F.length("left_key"), F.length("right_key")) for f in (F.least, F.greatest))
-    near = a.join(b, ["query_id", "block", "salt"]).where((F.col("left_id") < F.col("right_id")) & (shorter >= longer * F.lit(settings.length_ratio)))
+    keys = keep(keys.withColumn("block", F.left("key", F.lit(settings.block_prefix))).where(F.length("key") >= settings.block_prefix), "titles")
+    shared = keys.groupBy("query_id", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    keys = keys.join(sized(shared, BROADCAST_ROWS), ["query_id", "block"], "left_semi").withColumn("size", F.length("key"))
+    # Both lengths' sum bounds the ratio: steps of the least quotient of lengths, so that pairs are of one or of neighbouring steps.
+    quotient = min(max(settings.title_similarity / (2 - settings.title_similarity), settings.length_ratio, 1e-9), 0.999)
+    keys = keys.withColumn("step", F.floor(F.log(F.col("size")) / F.lit(-math.log(quotient) * 1.0001)).cast("int"))
+    salt = {"short": F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"), "long": F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))}
+    step = {"short": F.col("step"), "long": F.explode(F.array(F.col("step"), F.col("step") - 1))}
+    a, b = (
+        keys.withColumn("salt", salt[side]).select("query_id", "block", "salt", step[side].alias("step"), F.col("id").alias(f"{side}_id"), F.col("key").alias(f"{side}_key"), F.col("size").alias(f"{side}_size"))
+        for side in ("short", "long")
+    )
+    shorter, longer = F.col("short_size"), F.col("long_size")
+    near = a.join(b, ["query_id", "block", "salt", "step"]).where((shorter < longer) | ((shorter == longer) & (F.col("short_id") < F.col("long_id"))))
+    near = near.where((shorter >= longer * F.lit(settings.length_ratio)) & (F.lit(2.0) * shorter / (shorter + longer) >= settings.title_similarity))
     unmatched = F.floor((shorter + longer) * F.lit(1 - settings.title_similarity) + F.lit(1e-9)).cast("int")
-    near = near.where(F.levenshtein("left_key", "right_key") <= unmatched)
-    near = near.withColumn("ratio", _ratio("left_key", "right_key"))
+    near = near.where((longer > LONG_KEY) | (F.levenshtein("short_key", "long_key") <= unmatched))
+    # The ratio depends on which title comes first.
+    first = F.col("short_id") < F.col("long_id")
+    left, right = ({"id": F.when(first, F.col(f"{x}_id")).otherwise(F.col(f"{y}_id")), "key": F.when(first, F.col(f"{x}_key")).otherwise(F.col(f"{y}_key"))} for x, y in (("short", "long"), ("long", "short")))
+    near = near.select("query_id", left["id"].alias("left_id"), right["id"].alias("right_id"), _ratio(settings.title_similarity)(left["key"], right["key"]).alias("ratio"))
     return near.where(F.col("ratio") >= settings.title_similarity).select("query_id", "left_id", "right_id")
 
 

@@ -58,6 +58,23 @@ def test_fuzzy_pairs_against_brute_force(spark):
     assert got == expected
 
 
+def test_fuzzy_pairs_of_long_titles(spark):
+    """No edit distance is computed for long titles; pairs are those of the ratio all the same."""
+    draw, words = random.Random(3), ["the", "of", "plant", "gene", "soil", "qu7", "x9"]
+    titles = []
+    for n in range(8):
+        base = ["same beginning"] + [draw.choice(words) for _ in range(60 + 40 * n)]
+        titles += [" ".join(base), " ".join([*base, "more"]), " ".join(w if draw.random() > 0.05 else "changed" for w in base), " ".join(base[: int(len(base) * 0.9)])]
+    df = spark.createDataFrame([("q", i, t) for i, t in enumerate(titles)], "query_id string, id int, title string")
+    ratio = lambda i, j: difflib.SequenceMatcher(None, titles[i], titles[j]).ratio()
+    alike = lambda i, j: min(len(titles[i]), len(titles[j])) >= 0.8 * max(len(titles[i]), len(titles[j])) and titles[i] != titles[j] and titles[i][:12] == titles[j][:12]
+    expected = {(i, j) for j in range(len(titles)) for i in range(j) if alike(i, j) and ratio(i, j) >= 0.94}
+    assert all(dedupe._most(titles[i], titles[j]) >= ratio(i, j) for j in range(len(titles)) for i in range(j))
+    pairs = dedupe.fuzzy_pairs(df)
+    assert {(r.left_id, r.right_id) for r in pairs.collect()} == expected and len(expected) > 5
+    assert f"> {dedupe.LONG_KEY})" in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_linked_clusters(spark):
     rows = [("q", "a", "10.1/x", "One title"), ("q", "b", "10.1/x", "Two title"), ("q", "c", None, "two TITLE"), ("q", "d", None, "else")]
     got = {r.id: r.cluster for r in dedupe.linked_clusters(spark.createDataFrame(rows, "query_id string, id string, doi string, title string")).collect()}
