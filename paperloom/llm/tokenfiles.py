@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import work_path
+from .bpe import byte_letters
 from .common import batch, texts
 
 MAGIC = b"RPG2"
@@ -43,6 +45,9 @@ CACHE_CHUNKS = 700_000
 SLICE_BYTES = 10_000_000
 
 _HEAD = struct.Struct("<4s5I")
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: UTF-8 of words of a-z and of the small letters from U+00DF to U+00FF, which no normal form changes.
+_SMALL = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
 
 
 class Grammar:
@@ -117,69 +122,115 @@ def _unpacked(raw: np.ndarray, count: int, bits: int) -> np.ndarray:
     return out
 
 
-def _candidates(code: np.ndarray, valid: np.ndarray) -> np.ndarray:
-    """Places of the pairs that may occur PAIR_COUNT times: those whose 20-bit hash does."""
-    slot = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
-    count = np.bincount(slot[valid], minlength=1 << 20)
-    return np.flatnonzero((count >= PAIR_COUNT)[slot] & valid)
-
-
-def _round(symbols: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One round: the pairs that get a rule, the most frequent first, and the places where each is replaced, with its
-    number. Pairs that overlap are replaced where the more frequent one is."""
-    none = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    if len(symbols) < 2:
-        return none
-    code = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-    valid = ~last[:-1]
-    # Of a run of one symbol, every other pair counts.
-    same = np.flatnonzero(valid & (symbols[:-1] == symbols[1:]))
-    if len(same):
-        first = np.concatenate(([True], np.diff(same) != 1))
-        start = same[np.maximum.accumulate(np.where(first, np.arange(len(same)), 0))]
-        valid[same[(same - start) % 2 == 1]] = False
-    at = _candidates(code, valid)
-    found, number, count = np.unique(code[at], return_inverse=True, return_counts=True)
-    often = np.flatnonzero(count >= PAIR_COUNT)
-    if not len(often):
-        return none
-    # Equal counts go by a hash: in the order of symbols, each pair of a rising row would wait for the one before it.
-    often = often[np.lexsort((found[often] * np.uint64(0x9E3779B97F4A7C15), -count[often]))]
-    rank = np.full(len(found), len(found), np.int32)
-    rank[often] = np.arange(len(often), dtype=np.int32)
-    own = np.full(len(symbols) + 1, len(found), np.int32)  # rank of the pair at each place, shifted by one
-    own[at + 1] = rank[number]
-    at = at[own[at + 1] < len(found)]
-    mine = own[at + 1]
-    take = (mine < own[at]) & (mine <= own[at + 2]) if len(at) else np.empty(0, bool)
-    at, mine = at[take], mine[take]
-    uses = np.bincount(mine, minlength=len(often))
-    # What a more frequent pair left too few of waits for the next round; the first one keeps all its places.
-    kept = np.flatnonzero(uses >= PAIR_COUNT)
-    new = np.full(len(often), -1, np.int64)
-    new[kept] = np.arange(len(kept))
-    stay = new[mine] >= 0
-    return found[often[kept]], at[stay], new[mine[stay]]
+class _Pairs:
+    """The symbols of one block, linked to their neighbours, and the places where a pair may still get a rule.
+
+    A place is where a symbol stands; its pair is that symbol and the next one of the document. What is replaced never
+    makes a pair of two older symbols more frequent, so after the first round only pairs that were frequent in the last
+    one and pairs beside a replaced one are counted again, with the same result as counting all."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray):
+        n = len(ids)
+        self.symbols = ids.astype(np.uint32)
+        self.alive = np.ones(n, bool)
+        #: Places of the neighbours; n beyond a document's ends.
+        self.after, self.before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+        ends = np.cumsum(sizes)
+        self.after[ends - 1] = n
+        self.before[ends - sizes] = n
+        self.none = np.int32(np.iinfo(np.int32).max)
+        self.rank = np.full(n + 1, self.none, np.int32)  # of the frequent pair at each place
+        self.mark = np.zeros(n + 1, bool)
+        self.active = np.flatnonzero(self.after[:n] < n)
+
+    def _frequent(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs that occur PAIR_COUNT times, the most frequent first; the places of each, with its rank and whether
+        the place counts. bits: of the largest symbol."""
+        at = self.active
+        left, right = self.symbols[at].astype(np.uint64), self.symbols[self.after[at]].astype(np.uint64)
+        counts = np.ones(len(at), bool)
+        # Of a run of one symbol, every other pair counts.
+        same = np.flatnonzero(left == right)
+        if len(same):
+            run = at[same]
+            first = np.concatenate(([True], self.after[run[:-1]] != run[1:]))
+            step = np.arange(len(same))
+            counts[same[(step - np.maximum.accumulate(np.where(first, step, 0))) % 2 == 1]] = False
+        code = left << np.uint64(bits) | right
+        if len(at) > 1 << 16:  # only pairs whose 20-bit hash is frequent are sorted
+            slot = ((code * _SPREAD) >> np.uint64(44)).astype(np.int32)
+            often = np.bincount(slot if counts.all() else slot[counts], minlength=1 << 20) >= PAIR_COUNT
+            some = np.flatnonzero(often[slot])
+            at, code, counts = at[some], code[some], counts[some]
+        places = len(at).bit_length()
+        if 2 * bits + places <= 64:  # with its place behind it, a pair is sorted without an index
+            code = np.sort(code << np.uint64(places) | np.arange(len(at), dtype=np.uint64))
+            order = (code & np.uint64((1 << places) - 1)).astype(np.int32)
+            code >>= np.uint64(places)
+        else:
+            order = np.argsort(code, kind="stable")
+            code = code[order]
+        at, counts = at[order], counts[order]
+        starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(at) else order
+        size = np.diff(starts, append=len(at))
+        count = size if counts.all() else np.add.reduceat(counts, starts, dtype=np.int64)
+        often = np.flatnonzero(count >= PAIR_COUNT)
+        found = code[starts[often]]
+        pairs = (found >> np.uint64(bits)) << np.uint64(32) | found & np.uint64((1 << bits) - 1)
+        # Equal counts go by a hash: in the order of symbols, each pair of a rising row would wait for the one before it.
+        sort = np.lexsort((pairs * _SPREAD, -count[often]))
+        rank = np.full(len(starts), -1, np.int32)
+        rank[often[sort]] = np.arange(len(often), dtype=np.int32)
+        ranks = np.repeat(rank, size)
+        met = ranks >= 0
+        return pairs[sort], at[met], ranks[met], counts[met]
+
+    def round(self, lowest: int) -> np.ndarray:
+        """Replaces frequent pairs by the symbols from lowest on and returns them in this order; none if none is left.
+        Pairs that overlap are replaced where the more frequent one is."""
+        if not len(self.active):
+            return np.empty(0, np.uint64)
+        pairs, frequent, ranks, counts = self._frequent(max(lowest - 1, 1).bit_length())
+        at, mine = frequent[counts], ranks[counts]
+        self.rank[at] = mine
+        take = (mine < self.rank[self.before[at]]) & (mine <= self.rank[self.after[at]])
+        self.rank[at] = self.none
+        at, mine = at[take], mine[take]
+        uses = np.bincount(mine, minlength=len(pairs))
+        # What a more frequent pair left too few of waits for the next round; the first one keeps all its places.
+        kept = np.flatnonzero(uses >= PAIR_COUNT)
+        new = np.full(len(pairs), -1, np.int64)
+        new[kept] = np.arange(len(kept))
+        number = new[mine]
+        at, number = at[number >= 0], number[number >= 0]
+        gone = self.after[at]
+        self.symbols[at] = (lowest + number).astype(np.uint32)
+        self.after[at] = self.after[gone]
+        self.before[self.after[at]] = at
+        self.alive[gone] = False
+        n = len(self.alive)
+        self.mark[frequent] = self.mark[at] = self.mark[self.before[at]] = True
+        self.mark[gone] = self.mark[n] = False
+        self.active = np.flatnonzero(self.mark)
+        self.mark[self.active] = False
+        self.active = self.active[self.after[self.active] < n]
+        return pairs[kept]
 
 
 def compress(ids: np.ndarray, sizes: np.ndarray, lowest: int) -> bytes:
     """The payload of one block. ids: below lowest; sizes: ids of each document, at least 1."""
-    symbols, last = ids.astype(np.uint32), np.zeros(len(ids), bool)
-    last[np.cumsum(sizes) - 1] = True
+    block = _Pairs(ids, np.asarray(sizes, np.int64))
     rules: list[np.ndarray] = []
     length = np.ones(lowest, np.uint32)
     while True:
-        pairs, at, number = _round(symbols, last)
+        pairs = block.round(len(length))
         if not len(pairs):
             break
         rules.append(np.stack((pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)), 1).astype(np.uint32))
-        symbols[at] = (len(length) + number).astype(np.uint32)
-        last[at] = last[at + 1]
-        stay = np.ones(len(symbols), bool)
-        stay[at + 1] = False
-        symbols, last = symbols[stay], last[stay]
         length = np.concatenate((length, length[rules[-1]].sum(1, dtype=np.uint32)))
     made = np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
+    symbols = block.symbols[block.alive]
+    last = block.after[:-1][block.alive] == len(block.alive)
     per_doc = np.diff(np.concatenate(([-1], np.flatnonzero(last)))).astype("<u4")
     bits = max(len(length) - 1, 1).bit_length()
     head = _HEAD.pack(MAGIC, lowest, len(made), len(symbols), len(sizes), bits)
@@ -240,12 +291,26 @@ class ChunkCodes:
         #: Whether an id ends a word.
         self.ends = np.zeros(max([*self.tokenizer.get_vocab().values()]) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: The model itself, for words of small Latin letters: normaliser and splits leave those whole.
+        self.letters = {b: letter for letter, b in byte_letters().items()}
+        self.model = None if any(any(c.isalpha() for c in t) and "<" not in t for t in added) else self.tokenizer.model
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _learn(self, words: list[bytes]) -> None:
-        """Remember the ids of each word; words of letters alone are encoded many at a time."""
+        """Remember the ids of each word; words of small Latin letters go to the model, others of letters alone are encoded
+        many at a time."""
+        small = list(filter(_SMALL, words)) if self.model else []
+        if small:
+            ids, ends, tokenize = [], [], self.model.tokenize
+            for word in small:
+                ids += [t.id for t in tokenize(word.decode() if word.isascii() else word.decode("latin-1").translate(self.letters))]
+                ends.append(4 * len(ids))
+            raw = np.array(ids, "<u4").tobytes()
+            self.known.update(zip(small, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+            words = [w for w in words if w not in self.known]
         texts = [w.decode("utf-8") for w in words]
         plain = [n for n, t in enumerate(texts) if t.isalpha()]
         for at in range(0, len(plain), 1000):
@@ -265,25 +330,37 @@ class ChunkCodes:
             if "<" in t:
                 self.known[w] = self._ids(t).tobytes()
 
-    def _ids_of(self, runs: list[bytes]) -> list[bytes]:
+    def _ids_of(self, runs: pa.Array) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each run; what is remembered are words without their stops."""
+        if not len(runs):
+            return []
         if len(self.known) >= CACHE_CHUNKS:
             self.known.clear()
-        stops = (b".", b",")
-        words = [r[:-1] if r.endswith(stops) and r[:-1].isalpha() else r for r in runs]
+        raw, ends = np.frombuffer(runs.buffers()[2] or b"", np.uint8), np.frombuffer(runs.buffers()[1], np.int32)[runs.offset :][: len(runs) + 1]
+        data, bounds = raw[ends[0] : ends[-1]].tobytes(), (ends - ends[0]).tolist()
+        words = [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        stopped = []
+        longer = np.flatnonzero(np.diff(ends) > 1)
+        last = raw[ends[longer + 1] - 1]
+        for n in longer[(last == 44) | (last == 46)].tolist():
+            if (word := words[n][:-1]).isalpha() or _SMALL(word):
+                stopped.append((n, words[n][-1:]))
+                words[n] = word
         found = list(map(self.known.get, words))
         if None in found:
             self._learn(list({w for w, i in zip(words, found, strict=True) if i is None}))
             found = list(map(self.known.__getitem__, words))
-        after = {r: self._ids(r.decode()).tobytes() for r in stops}
-        return [i if w is r else i + after[r[-1:]] for r, w, i in zip(runs, words, found, strict=True)]
+        after = {r: self._ids(r.decode()).tobytes() for r in (b".", b",")}
+        for n, stop in stopped:
+            found[n] += after[stop]
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each has. Each different run is looked up once."""
         low = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)) if self.lowers else texts
         split = pc.ascii_split_whitespace(low)
         coded = split.flatten().dictionary_encode()
-        runs = self._ids_of(coded.dictionary.cast(pa.binary()).to_pylist())
+        runs = self._ids_of(coded.dictionary)
         pool = np.frombuffer(b"".join(runs), "<u4")
         kind = np.int32 if (pc.sum(pc.binary_length(low)).as_py() or 0) < 1 << 28 else np.int64
         length = np.fromiter(map(len, runs), kind, len(runs)) // 4

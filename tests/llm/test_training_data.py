@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -637,6 +638,27 @@ def test_grammar_shrinks_repeats():
     assert len(block.symbols) < 40 and (block.span(0, 99_000, 99_010) == 7).all()
 
 
+def test_later_rounds_count_only_what_has_changed(monkeypatch):
+    """Every round read all symbols; few of them can still make a frequent pair after the first rounds."""
+    seen, count = [], tokenfiles._Pairs.round
+    monkeypatch.setattr(tokenfiles._Pairs, "round", lambda self, lowest: seen.append(len(self.active)) or count(self, lowest))
+    rng = np.random.default_rng(6)
+    ids = (rng.zipf(1.3, 60_000) % 5000).astype(np.uint32)
+    block = tokenfiles.Block(tokenfiles.compress(ids, np.full(600, 100), 5000))
+    assert (block.all() == ids).all() and len(seen) > 3
+    assert sum(seen[3:]) < len(ids) / 10
+
+
+def test_words_of_small_letters_go_to_the_model():
+    codes = tokenfiles.ChunkCodes(open(WORDS, encoding="utf-8").read())
+    texts = ["straße étúdes. ñandú, ÿ øre Éa éà. × ÷ ﬀ", "the unseenwordly, ab. don't", "", ".", ",", "A<|endoftext|>b c."]
+    told = [codes.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    calls, many = [], codes._ids
+    codes._ids = lambda text: calls.append(text) or many(text)
+    assert [x.tolist() for x in codes.encode_all(pa.array(texts))] == told
+    assert not any("unseenwordly" in c or "ñandú" in c for c in calls)
+
+
 def test_no_pair_is_left_that_repeats():
     rng = np.random.default_rng(4)
     for top, n in ((3, 500), (40, 4000), (2, 300)):
