@@ -30,30 +30,53 @@ JOIN_ROWS = 1_000_000
 HOT_LINES = 10_000
 
 
-def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """doc_id, pos, line, its number of words (or characters) and chars (whether it is read by those) of all lines
-    that may be dropped."""
+def _packs(docs: DataFrame) -> bool:
+    """Whether all doc_ids are whole numbers of 32 bits, so that one with a position (31 bits) is a number itself."""
+    if docs.schema["doc_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return False
+    least, most = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    return least is None or (least >= 0 and most < 1 << 32)
+
+
+def _split(docs: DataFrame, packed: bool) -> DataFrame:
+    """at (doc_id and position, as one number if packed, which aggregates by hash; else a struct) and line of all lines."""
     split = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    at = F.shiftleft(F.col("doc_id").cast("bigint"), 31).bitwiseOR(F.col("pos").cast("bigint")) if packed else F.struct("doc_id", "pos")
+    return split.select(at.alias("at"), "line")
+
+
+def _placed(rows: DataFrame, docs: DataFrame, packed: bool) -> DataFrame:
+    """doc_id and pos of rows' at."""
+    if not packed:
+        return rows.select("at.doc_id", "at.pos")
+    doc_id = F.shiftright("at", 31).cast(docs.schema["doc_id"].dataType)
+    return rows.select(doc_id.alias("doc_id"), F.col("at").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("pos"))
+
+
+def _described(split: DataFrame, least: int = 0) -> DataFrame:
+    """at, line, its number of words (or characters) and chars (whether it is read by those) of all lines of so many words."""
     # A word ends at each blank; counting blanks needs no array of words.
-    blanks = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
-    lines = split.withColumn("blanks", blanks).where((F.col("blanks") >= least - 1) & F.col("line").rlike(r"[^ \t\r\f\x0B]"))
+    blanks = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
+    lines = split.withColumn("blanks", blanks)
+    if least:
+        lines = lines.where((F.col("blanks") >= least - 1) & (F.ltrim("line", F.lit(" \t\r\f\x0b")) != ""))
     chars = F.col("blanks") == 0
-    return lines.select("doc_id", "pos", "line", F.when(chars, F.length("line")).otherwise(F.col("blanks") + 1).alias("words"), chars.alias("chars"))
+    return lines.select("at", "line", F.when(chars, F.length("line")).otherwise(F.col("blanks") + 1).alias("words"), chars.alias("chars"))
 
 
 def _words() -> Column:
     return F.when(F.col("chars"), F.split("line", "", -1)).otherwise(F.split("line", " ", -1))
 
 
-def _halves() -> Column:
+def _halves() -> list[Column]:
     """Hashes of the first and of the last half of a line, cut for a partner that is as long or one word shorter."""
     half = "cast(ceil((words - {less}) / 2) as int)"
     cut = {"first": "if(chars, left(line, {half}), substring_index(line, ' ', {half}))", "last": "if(chars, right(line, {half}), substring_index(line, ' ', -{half}))"}
-    return F.array(*[
+    return [
         F.expr(f"xxhash64('{side}', chars, {half}, {text.format(half=half)})".format(less=less))
         for side, text in cut.items()
         for less in (1, 2)
-    ])
+    ]
 
 
 def _within_one(a: str, b: str) -> Column:
@@ -69,21 +92,21 @@ def _within_one(a: str, b: str) -> Column:
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """own (doc_id, pos), role and key of each deletion variant of the lines, and of the lines themselves.
+    """own (the line's at), role and key of each deletion variant of the lines, and of the lines themselves.
 
     A variant's hash is the sum of hashes of its words with their places, in two independent halves of 84
     bits together; running sums give all variants of a line in one pass over its words.
     """
-    words = lines.select("doc_id", "pos", "words", "chars", F.posexplode(_words()).alias("i", "w"))
+    words = lines.select("at", "words", "chars", F.posexplode(_words()).alias("i", "w"))
     for n in (1, 2):
         for name, shift in ((f"a{n}", 0), (f"b{n}", 1)):
             words = words.withColumn(name, F.shiftrightunsigned(F.xxhash64(F.lit(n), F.col("chars"), F.col("w"), F.col("i") - shift), 22))
-    line = Window.partitionBy("doc_id", "pos").orderBy("i")
+    line = Window.partitionBy("at").orderBy("i")
     upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # Running sums from the start alone: a frame that ends with the line would be summed anew for each word.
     sums = words.select(
-        F.struct("doc_id", "pos").alias("own"), "words", "i", "a1", "a2",
+        F.col("at").alias("own"), "words", "i", "a1", "a2",
         *[(F.sum(f"a{n}").over(upto) - F.col(f"a{n}")).alias(f"p{n}") for n in (1, 2)],
         *[(F.sum(f"b{n}").over(whole) - F.sum(f"b{n}").over(upto)).alias(f"s{n}") for n in (1, 2)],
     )
@@ -111,25 +134,27 @@ def _earlier(variants: DataFrame) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, least: int = LEAST_WORDS, near_words: int = NEAR_WORDS, near_chars: int = NEAR_CHARS) -> DataFrame:
     """doc_id and pos (from 0) of the lines to drop. Distinct. Written to the shared folder."""
-    lines = _lines(docs, least)
+    packed = _packs(docs)
+    split = _split(docs, packed)
+    lines = _described(split, max(least, 1))
     long = F.col("words") >= F.when(F.col("chars"), near_chars).otherwise(near_words)
-    hashed = lines.select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.when(long, _halves()).alias("halves"))
-    classes = hashed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("own"), F.count(F.lit(1)).alias("n"), F.first("halves").alias("halves"))
+    sides = [f"half{n}" for n in range(4)]
+    hashed = lines.select("at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), *[F.when(long, x).alias(c) for c, x in zip(sides, _halves(), strict=True)])
+    classes = hashed.groupBy("h1", "h2").agg(F.min("at").alias("own"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in sides])
     classes = keep(classes, "lines")
     again = classes.where("n > 1").select("h1", "h2", "own", "n")
-    same = spread_join(hashed.select("h1", "h2", "doc_id", "pos"), again, ["h1", "h2"], "n")
-    same = same.where((F.col("doc_id") != F.col("own.doc_id")) | (F.col("pos") != F.col("own.pos"))).select("doc_id", "pos")
-    halves = classes.where("halves is not null").select("own", F.explode(F.array_distinct("halves")).alias("half"))
+    same = spread_join(hashed.select("h1", "h2", "at"), again, ["h1", "h2"], "n").where("at <> own").select("at")
+    halves = classes.where("half0 is not null").select("own", F.explode(F.array_distinct(F.array(*sides))).alias("half"))
     shared = keep(halves.groupBy("half").agg(F.count(F.lit(1)).alias("met")).where("met > 1"), "halves")
-    likely = keep(spread_join(halves, shared, ["half"], "met").select("own.doc_id", "own.pos").distinct(), "likely")
-    likely = keep(lines.join(sized(likely, JOIN_ROWS), ["doc_id", "pos"], "left_semi").dropDuplicates(["doc_id", "pos"]), "likely")
+    likely = keep(spread_join(halves, shared, ["half"], "met").select(F.col("own").alias("at")).distinct(), "likely")
+    likely = keep(_described(split.join(sized(likely, JOIN_ROWS), "at", "left_semi")).dropDuplicates(["at"]), "likely")
     found = keep(_earlier(_variants(likely)), "similar")
-    word_lists = likely.select(F.struct("doc_id", "pos").alias("at"), _words().alias("words"))
+    word_lists = likely.select("at", _words().alias("words"))
     # A line that many others resemble is looked up by all of them.
     pairs = spread_lookup(found, word_lists.select(F.col("at").alias("other"), F.col("words").alias("y")), "other", found, HOT_LINES)
     pairs = pairs.join(word_lists.select(F.col("at").alias("own"), F.col("words").alias("x")), "own")
-    similar = pairs.where(_within_one("x", "y")).select("own.doc_id", "own.pos")
-    gone = keep(same.union(similar).distinct(), "gone")
+    similar = pairs.where(_within_one("x", "y")).select(F.col("own").alias("at"))
+    gone = keep(_placed(same.union(similar).distinct(), docs, packed), "gone")
     release(classes, shared, likely, found)
     return gone
 

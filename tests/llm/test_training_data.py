@@ -638,6 +638,19 @@ def test_grammar_shrinks_repeats():
     assert len(block.symbols) < 40 and (block.span(0, 99_000, 99_010) == 7).all()
 
 
+@pytest.mark.parametrize("first", [0, 1 << 40, -5])
+def test_lines_are_summed_by_hash(spark, monkeypatch, first):
+    """Places that are one number are summed without sorting; doc_ids beyond 32 bits give the same."""
+    plans, kept = {}, linededup.keep
+    monkeypatch.setattr(linededup, "keep", lambda df, label: plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString()) and kept(df, label))
+    line = "one two three four five six seven eight nine"
+    texts = [line, f"{line}\nx", line.replace("two", "zwei"), "x\n" + line.replace("nine", "nine ten"), f"\n \ny\n{line}"]
+    docs = documents(spark, texts, list(range(first, first + 5)))
+    got = {r.doc_id - first: r.text for r in linededup.dedup_lines(docs).collect()}
+    assert got == {0: line, 1: "x", 2: "", 3: "", 4: "\n \ny"}
+    assert ("SortAggregate" in plans["lines"] + plans["variants"]) == (first != 0)
+
+
 def test_later_rounds_count_only_what_has_changed(monkeypatch):
     """Every round read all symbols; few of them can still make a frequent pair after the first rounds."""
     seen, count = [], tokenfiles._Pairs.round
