@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import batch, texts
+from .common import batch, lean, remembered, texts
 
 #: Entries of a worker's caches of encoded chunks and of compatible pairs; bounds memory, not results.
 CACHE = 150_000
@@ -204,16 +204,9 @@ class Codec:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec_of(definition: bytes) -> Codec:
-    """The worker's codec of a vocabulary; built once in a Python worker."""
-    key = hashlib.sha256(definition).hexdigest()
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(definition)
-    return _CODECS[key]
+    """The worker's codec of a vocabulary; built once in a Python worker, until it has another operator's tasks."""
+    return remembered("bpe" + hashlib.sha256(definition).hexdigest(), lambda: Codec(definition))
 
 
 def _coded(docs: DataFrame, vocabulary: str, schema: pa.Schema, kind: str, row) -> DataFrame:
@@ -229,7 +222,7 @@ def _coded(docs: DataFrame, vocabulary: str, schema: pa.Schema, kind: str, row)
             yield pa.RecordBatch.from_arrays([part.column(0), *batch(dict(zip(schema.names, cols, strict=True)), schema).columns], names=["doc_id", *schema.names])
 
     source = texts(docs)
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, {kind}")
+    return source.mapInArrow(lean(run, remembers=True), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, {kind}")
 
 
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -256,7 +249,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.string())], names=["doc_id", "text"])
 
     source = encoded.select("doc_id", "ids")
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text string")
+    return source.mapInArrow(lean(run, remembers=True), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def encode_checked(docs: DataFrame, vocabulary: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -112,3 +113,36 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
 
 def batch(columns: dict[str, Iterable], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+#: The one large structure that a Python worker remembers between tasks, such as a vocabulary's codec, by its key.
+_REMEMBERED: dict[str, object] = {}
+
+
+def remembered(key: str, build: Callable[[], object]):
+    """What build() made for this key in this worker; what was remembered for another key is dropped first."""
+    if key not in _REMEMBERED:
+        _REMEMBERED.clear()
+        _REMEMBERED[key] = build()
+    return _REMEMBERED[key]
+
+
+def give_back() -> None:
+    """Memory that is free in this process goes back to the system; the C library and Arrow would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable, remembers: bool = False) -> Callable:
+    """run, a function over a task's batches, such that its worker, which waits beside the JVM for more tasks, holds no
+    memory that it doesn't need: what other operators have remembered goes first, what is free at the end."""
+
+    def leaning(batches):
+        if not remembers:
+            _REMEMBERED.clear()
+        yield from run(batches)
+        give_back()
+
+    return leaning

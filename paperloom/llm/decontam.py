@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batch, distinct, sequence_hashes
+from .common import WordHashes, batch, distinct, lean, sequence_hashes
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -129,7 +129,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
                 ids = part.column(0).take(found.column(0))
                 yield pa.RecordBatch.from_arrays([ids, *found.columns[1:]], names=["doc_id", *out.names[1:]])
 
-        part = source.mapInArrow(search, kind)
+        part = source.mapInArrow(lean(search), kind)
         result = part if result is None else result.unionByName(part)
     if result is None:
         result = spark.createDataFrame([], kind)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import keep, release, sized
-from .common import HOT_GROUP, WordHashes, ascii_lower_words, batch, shingle_set, sliced, spread_join, spread_lookup, texts
+from .common import HOT_GROUP, WordHashes, ascii_lower_words, batch, lean, shingle_set, sliced, spread_join, spread_lookup, texts
 
 WIDTH = 5
 PERCENT = 85
@@ -76,7 +76,7 @@ def _sketched(docs: DataFrame, percent: int) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([part.column(0), *batch(dict(zip(schema.names, cols, strict=True)), schema).columns], names=["doc_id", *schema.names])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, fp binary, n_low bigint, sketch array<bigint>")
+    return docs.mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, fp binary, n_low bigint, sketch array<bigint>")
 
 
 def _full(docs: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def _full(docs: DataFrame) -> DataFrame:
             made = batch({"n": [len(s) for s in sets], "s": sets}, schema)
             yield pa.RecordBatch.from_arrays([part.column(0), *made.columns], names=["doc_id", "n", "s"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, s array<bigint>")
+    return docs.mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, s array<bigint>")
 
 
 def _candidates(classes: DataFrame, percent: int) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import keep
-from .common import batch, texts
+from .common import batch, lean, texts
 
 #: Share of the identity in a class covariance.
 SHRINKAGE = 0.2
@@ -58,7 +58,7 @@ def features(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), made.column(0)], names=["doc_id", "x"])
 
     source = texts(docs)
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, x array<double>")
+    return source.mapInArrow(lean(run), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, x array<double>")
 
 
 class Discriminant:
@@ -113,7 +113,7 @@ def score(x: DataFrame, model: Discriminant) -> DataFrame:
             found = model.scores(flat.reshape(part.num_rows, -1)) if part.num_rows else np.empty(0)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
-    return x.select("doc_id", "x").mapInArrow(run, f"doc_id {x.schema['doc_id'].dataType.simpleString()}, score double")
+    return x.select("doc_id", "x").mapInArrow(lean(run), f"doc_id {x.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def train_rows(docs_ids: DataFrame, labels: DataFrame, label: str, folds: int, held: int) -> DataFrame:

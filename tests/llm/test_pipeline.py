@@ -43,3 +43,20 @@ def test_line_dedup_leaves_columns_of_any_name(spark):
     docs = spark.createDataFrame([(i, "one line of words\nmine " + str(i), 7, 8, 9, 1, 2) for i in range(3)], "doc_id long, text string, n_lines int, n_dropped int, _id int, _gone int, n_chars int")
     left = corpus_pipeline.line_dedup(spark, docs, SMALL).orderBy("doc_id").collect()
     assert [tuple(r) for r in left] == [(0, "one line of words\nmine 0", 7, 8, 9, 1, 2), (1, "mine 1", 7, 8, 9, 1, 6), (2, "mine 2", 7, 8, 9, 1, 6)]
+
+
+def test_waiting_workers_hold_little(spark):
+    """A stage's tasks drop what another stage left in their worker, and documents come in small batches."""
+    from paperloom.llm import common
+
+    assert common.remembered("codec", lambda: [1]) is common.remembered("codec", lambda: [2])
+    assert list(common.lean(iter, remembers=True)([3, 4])) == [3, 4] and common._REMEMBERED == {"codec": [1]}
+    assert list(common.lean(iter)([3, 4])) == [3, 4] and common._REMEMBERED == {}
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, 10_000)
+        corpus_pipeline._start(spark)
+        assert int(spark.conf.get(name)) == corpus_pipeline.BATCH_ROWS
+    finally:
+        spark.conf.set(name, before)
